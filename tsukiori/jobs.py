@@ -24,8 +24,8 @@ from tsukiori.operators.shape import relabel
 from tsukiori.plans.access_points import access_point_rows
 from tsukiori.plans.connections import connection_log
 from tsukiori.scratch import stage
-from tsukiori.sinks import writers
-from tsukiori.sources.readers import read_csv_table, read_month_parquet, conform
+from tsukiori.sinks import files, writers
+from tsukiori.sources.readers import conform, read_csv_table, read_month_parquet
 
 log = logging.getLogger(__name__)
 
@@ -123,6 +123,8 @@ def _write_rejects(
     bad: DataFrame, month_column: str, output: str, job_id: str, report: RunReport
 ) -> None:
     if report.rejected == 0:
+        earlier = f"{output}/rejects/{names.PARTITION_COLUMN}={report.month}"
+        files.delete(bad.sparkSession, earlier)
         return
     log.warning("job %s, month %s: %d rows rejected", job_id, report.month, report.rejected)
     entries = quality.reject_report(bad, month_column, job_id)

@@ -64,6 +64,8 @@ def extend_gazetteer(
     call a service; it runs in ``partitions`` tasks and sees every address once.
     """
 
+    columns = schemas.GAZETTEER.fieldNames()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
@@ -71,10 +73,10 @@ def extend_gazetteer(
                 for address in batch.itertuples(index=False, name=None)
                 if (place := resolve(*address)) is not None
             ]
-            yield pd.DataFrame(rows, columns=schemas.GAZETTEER.fieldNames())
+            yield pd.DataFrame(rows, columns=columns)
 
     resolved = unresolved.select(*ADDRESS).repartition(partitions, *ADDRESS)
-    return gazetteer.select(*schemas.GAZETTEER.fieldNames()).union(
+    return gazetteer.select(*columns).union(
         resolved.mapInPandas(run, schemas.GAZETTEER)
     )
 
