@@ -1,9 +1,9 @@
 """The monthly runs: read, check, publish. Also a command line for spark-submit.
 
-A run computes a month once, into a table in the scratch folder of the cluster.
-Counts and checks come from that table, and all outputs are written from it, so
-nothing is published before the month is known to be good, and a lost executor
-costs no second pass over the inputs.
+Nothing is published before the month is known to hold rows. Counts are read
+from what has been written, not from counters of running tasks, which a lost
+executor would raise twice. A month that goes to several outputs is computed
+once, into a table in the scratch folder of the cluster.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from tsukiori.operators import quality
 from tsukiori.operators.shape import relabel
 from tsukiori.plans.access_points import access_point_rows
 from tsukiori.plans.connections import connection_log
-from tsukiori.scratch import stage
-from tsukiori.sinks import files, writers
+from tsukiori.scratch import staged
+from tsukiori.sinks import writers
 from tsukiori.sources.readers import conform, read_csv_table, read_month_parquet
 
 log = logging.getLogger(__name__)
@@ -60,24 +60,24 @@ def run_access_point_list(
             "rejected": quality.any_missing(rows, required),
         }
     )
-    staged = stage(tagged, "access-points", ("rejected",))
-    report = _report(staged, month)
-    good = staged.filter(~F.col("rejected")).drop("rejected", quality.REASONS)
-    bad = staged.filter("rejected").drop("rejected")
-
-    _write_rejects(bad, "year_month", output, job_id, report)
-    if report.accepted == 0:
-        raise EmptyDataError(f"no publishable access points in month {month}")
-    published = relabel(good, names.ACCESS_POINT_HEADERS)
-    writers.write_month_csv(published, output, month, rows=report.accepted)
-    writers.write_partitioned(
-        published.withColumn(names.PARTITION_COLUMN, F.lit(month)),
-        f"{output}/{names.COMMON_DIR}",
-        [names.PARTITION_COLUMN],
-        compression="uncompressed",
-        replace_all=replace_all,
-    )
-    writers.write_backup_csv(published, output, month, keep=keep_backups, rows=report.accepted)
+    with staged(tagged, "access-points", ("rejected",)) as month_rows:
+        good = month_rows.filter(~F.col("rejected")).drop("rejected", quality.REASONS)
+        bad = month_rows.filter("rejected").drop("rejected")
+        report = RunReport(
+            month, good.count(), _write_rejects(bad, "year_month", output, month, job_id)
+        )
+        if report.accepted == 0:
+            raise EmptyDataError(f"no publishable access points in month {month}")
+        published = relabel(good, names.ACCESS_POINT_HEADERS)
+        writers.write_month_csv(published, output, month, rows=report.accepted)
+        writers.write_partitioned(
+            published.withColumn(names.PARTITION_COLUMN, F.lit(month)),
+            f"{output}/{names.COMMON_DIR}",
+            [names.PARTITION_COLUMN],
+            compression="uncompressed",
+            replace_all=replace_all,
+        )
+        writers.write_backup_csv(published, output, month, keep=keep_backups, rows=report.accepted)
     return report
 
 
@@ -95,41 +95,37 @@ def run_connection_log(
 ) -> RunReport:
     """Publish the connection log of a month, and the rows without a device id."""
     checked = connection_log(connections, user_master, device_master, month)
-    good = stage(relabel(checked.accepted, names.CONNECTION_HEADERS), "connections")
-    bad = stage(checked.rejected, "connection-rejects")
-    report = RunReport(month, good.count(), bad.count())
-
-    _write_rejects(bad, names.PARTITION_COLUMN, output + "_rejects", job_id, report)
-    if report.accepted == 0:
-        raise EmptyDataError(f"no publishable connections in month {month}")
+    published = relabel(checked.accepted, names.CONNECTION_HEADERS)
+    rejected = _write_rejects(
+        checked.rejected, names.PARTITION_COLUMN, output + "_rejects", month, job_id
+    )
+    what = f"publishable connections of month {month}"
     if format == "csv":
-        writers.write_connection_csv(
-            good, output, month, replace_all=replace_all, rows=report.accepted
-        )
+        with staged(published, "connections") as rows:
+            accepted = quality.check_not_empty(rows, what).count()
+            writers.write_connection_csv(
+                rows, output, month, replace_all=replace_all, rows=accepted
+            )
     else:
-        writers.write_month_parquet(good, output, month, replace_all=replace_all)
-    return report
-
-
-def _report(staged: DataFrame, month: str) -> RunReport:
-    row = staged.agg(
-        F.count_if(~F.col("rejected")).alias("accepted"),
-        F.count_if(F.col("rejected")).alias("rejected"),
-    ).first()
-    return RunReport(month, row["accepted"], row["rejected"])
+        quality.check_not_empty(published, what)
+        writers.write_month_parquet(published, output, month, replace_all=replace_all)
+        accepted = read_month_parquet(spark, output, month).count()
+    return RunReport(month, accepted, rejected)
 
 
 def _write_rejects(
-    bad: DataFrame, month_column: str, output: str, job_id: str, report: RunReport
-) -> None:
-    if report.rejected == 0:
-        earlier = f"{output}/rejects/{names.PARTITION_COLUMN}={report.month}"
-        files.delete(bad.sparkSession, earlier)
-        return
-    log.warning("job %s, month %s: %d rows rejected", job_id, report.month, report.rejected)
-    entries = quality.reject_report(bad, month_column, job_id)
-    entries = entries.withColumn(names.PARTITION_COLUMN, F.lit(report.month))
-    writers.write_partitioned(entries, f"{output}/rejects", [names.PARTITION_COLUMN])
+    bad: DataFrame, month_column: str, output: str, month: str, job_id: str
+) -> int:
+    """Replace the reject table of a run month; only their number goes to the log."""
+    directory = f"{output}/rejects/{names.PARTITION_COLUMN}={month}"
+    entries = quality.reject_report(bad, month_column, job_id).withColumnRenamed(
+        names.PARTITION_COLUMN, "row_month"
+    )
+    entries.write.mode("overwrite").parquet(directory)
+    rejected = bad.sparkSession.read.schema(entries.schema).parquet(directory).count()
+    if rejected:
+        log.warning("job %s, month %s: %d rows rejected", job_id, month, rejected)
+    return rejected
 
 
 def _arguments(argv: list[str] | None) -> argparse.Namespace:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from functools import reduce
 from operator import and_
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsukiori import schemas
-from tsukiori.operators.lookup import DEFAULT_LIMIT, BroadcastLimit, left_lookup
+from tsukiori.operators.lookup import DEFAULT_LIMIT, BroadcastLimit, left_lookup, profile
 
 ADDRESS = ("prefecture", "city", "address")
 
@@ -24,10 +25,16 @@ def geocode_missing(
     Such a row gets both values of its address, or two nulls if a part of the
     address is missing or the address is unknown. Other rows stay as they are.
     """
-    places = one_place_per_address(gazetteer).withColumnsRenamed(
-        {"latitude": "_found_lat", "longitude": "_found_lon"}
+    places = _located(gazetteer)
+    measured = profile(places, ADDRESS)
+    if measured.max_per_key > 1:
+        places = one_place_per_address(places)
+        measured = replace(measured, max_per_key=1)
+    found = {"latitude": "_found_lat", "longitude": "_found_lon"}
+    joined = left_lookup(
+        df, places.withColumnsRenamed(found), ADDRESS,
+        needed=_missing() & _complete(), limit=limit, measured=measured,
     )
-    joined = left_lookup(df, places, ADDRESS, needed=_missing() & _complete(), limit=limit)
     filled = {
         "latitude": F.when(_missing(), F.col("_found_lat")).otherwise(F.col("latitude")),
         "longitude": F.when(_missing(), F.col("_found_lon")).otherwise(F.col("longitude")),
@@ -39,7 +46,7 @@ def one_place_per_address(gazetteer: DataFrame, rank: str | None = None) -> Data
     """One pair of coordinates per address: the one of lowest rank, then the smallest."""
     best = F.struct(*([rank] if rank else []), "latitude", "longitude")
     return (
-        gazetteer.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+        _located(gazetteer, rank)
         .groupBy(*ADDRESS)
         .agg(F.min(best).alias("_best"))
         .select(*ADDRESS, "_best.latitude", "_best.longitude")
@@ -81,6 +88,11 @@ def extend_gazetteer(
     )
 
 
+def _located(gazetteer: DataFrame, rank: str | None = None) -> DataFrame:
+    columns = [*schemas.GAZETTEER.fieldNames(), *([rank] if rank else [])]
+    return gazetteer.select(*columns).filter(~_missing())
+
+
 def _missing() -> Column:
     return F.col("latitude").isNull() | F.col("longitude").isNull()
 

@@ -77,24 +77,28 @@ def left_lookup(
     needed: Column | None = None,
     allow_duplicates: bool = False,
     limit: BroadcastLimit = DEFAULT_LIMIT,
+    measured: Profile | None = None,
 ) -> DataFrame:
     """``df`` left outer joined with ``lookup`` on key columns of the same names.
 
     ``needed`` says which rows look anything up; the others get nulls. A key that
     has several lookup rows raises, unless ``allow_duplicates`` asks for the rows
-    a plain join gives. Value columns need names that ``df`` does not have.
+    a plain join gives. Value columns need names that ``df`` does not have. A
+    caller that knows the size of the lookup passes it as ``measured``.
     """
-    measured = profile(lookup, keys)
+    measured = measured or profile(lookup, keys)
     if measured.max_per_key > 1 and not allow_duplicates:
         raise DuplicateKeyError(
             f"a key of {list(keys)} has {measured.max_per_key} lookup rows"
         )
-    needed = F.lit(True) if needed is None else F.coalesce(needed, F.lit(False))
-    needed = needed & _filled(keys)
     values = [c for c in lookup.columns if c not in keys]
     lookup = lookup.filter(_filled(keys))
     if measured.fits(limit):
         return _broadcast_join(df, lookup, keys, values, needed)
+
+    # A null key matches nothing; such rows need no shuffle either.
+    filled = _filled(keys)
+    needed = filled if needed is None else F.coalesce(needed, F.lit(False)) & filled
     if measured.max_per_key > 1:
         idle = df.filter(~needed).withColumns(_nulls(lookup, values))
         return idle.union(_join(df.filter(needed), lookup, keys, values))
@@ -153,7 +157,7 @@ def _join(df, lookup, keys, values, needed=None):
     return df.join(renamed, condition, "left").select(*df.columns, *values)
 
 
-def _broadcast_join(df, lookup, keys, values, needed):
+def _broadcast_join(df, lookup, keys, values, needed=None):
     return _join(df, F.broadcast(lookup), keys, values, needed)
 
 

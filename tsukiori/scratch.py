@@ -9,10 +9,13 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tsukiori.errors import EtlError
+from tsukiori.sinks import files
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -37,9 +40,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """The frame, written once as Parquet and read back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """The frame, written once as Parquet and read back.
+
+    The table stays in the scratch folder, because the result is read lazily.
+    """
+    return _write(df, new_path(df.sparkSession, name))
+
+
+@contextmanager
+def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Iterator[DataFrame]:
+    """The same for the length of a block; the table is deleted at its end."""
+    path = new_path(df.sparkSession, name)
+    try:
+        yield _write(df, path, partition_by)
+    finally:
+        files.delete(df.sparkSession, path)
+
+
+def _write(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
