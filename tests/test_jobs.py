@@ -1,6 +1,7 @@
 """Whole runs from files to published files."""
 
 import csv
+import json
 import logging
 
 import pytest
@@ -159,6 +160,53 @@ def test_crawl_command(spark, inputs, tmp_path):
     assert spark.table("crawl_job.connection").count() == 5
 
 
+def test_access_points_from_the_catalog(spark, inputs, tmp_path):
+    crawled = tmp_path / "crawled"
+    fixtures.write_csv(crawled / "input_ap.csv", fixtures.AP_HEADER, fixtures.AP_ROWS)
+    jobs.main(["crawl", "--input", str(crawled), "--database", "crawl_points",
+               "--warehouse", str(tmp_path / "warehouse")])
+    out = tmp_path / "out"
+    jobs.main(["access-points", "--catalog-table", "crawl_points.input_ap", "--status-master",
+               inputs["status"], "--output", str(out), "--month", "202501"])
+    assert _csv(out / "list_ap_table" / "listap202501.csv") == (
+        fixtures.AP_PUBLISHED_HEADER, sorted(fixtures.AP_PUBLISHED)
+    )
+
+
+def test_recordings_command(spark, tmp_path):
+    path = tmp_path / "recordings.csv"
+    header = [f.name for f in schemas.RECORDING.fields]
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        out = csv.writer(f, quoting=csv.QUOTE_ALL)
+        out.writerow(header)
+        for video, scenario, seconds in (("a", "highway", 180.2), ("b", "city_driving", 300.5)):
+            metadata = json.dumps({"model": "M", "driver_id": "D", "scenario": scenario})
+            out.writerow([video, "v", metadata, seconds, *[""] * 6])
+    target = tmp_path / "summary"
+    jobs.main(["recordings", "--input", str(tmp_path / "absent"), str(path), "--output", str(target)])
+
+    def rows(name):
+        return {tuple(r) for r in spark.read.option("header", True).csv(str(target / name)).collect()}
+
+    assert rows("duration_by_scenario") == {("highway", "180.2"), ("city_driving", "300.5")}
+    assert rows("count_by_model") == {("M", "2")}
+    assert rows("expanded") == {
+        ("a", "v", "M", "D", "highway", "180.2"), ("b", "v", "M", "D", "city_driving", "300.5"),
+    }
+
+
+def test_sql_command(spark, tmp_path, capsys):
+    jobs.main(["sql", "--query", "select 42 as answer", "--output", str(tmp_path / "sql")])
+    assert "42" in capsys.readouterr().out
+    assert spark.read.option("header", True).csv(str(tmp_path / "sql")).first()["answer"] == "42"
+
+
+def test_quote_command(spark, inputs, tmp_path):
+    jobs.main(["quote-csv", "--input", inputs["users"], "--output", str(tmp_path / "quoted")])
+    (part,) = (tmp_path / "quoted").glob("part-*")
+    assert part.read_text(encoding="utf-8").splitlines()[1] == '"ja","ja","国内"'
+
+
 def test_month_is_required_and_checked(inputs, tmp_path):
     with pytest.raises(SystemExit):
         jobs.main(["access-points", "--input", "x", "--status-master", "y", "--output", "z"])

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from tests import fixtures
@@ -159,3 +161,31 @@ def test_access_point_plan_has_no_shuffle(spark, tmp_path, points, status, gazet
     assert plan.count("BroadcastHashJoin") == 2
     assert "Python" not in plan
     assert "IsNotNull(ap_name)" in plan or "isnotnull(ap_name" in plan
+
+
+def _largest_method(spark, df):
+    """Bytes of the largest generated method; the JVM does not compile those above 8000."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        copy = df.select("*")
+        code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(
+            copy._jdf.queryExecution().executedPlan()
+        )
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code))
+
+
+def test_generated_code_is_small_enough_to_be_compiled(
+    spark, tmp_path, points, status, gazetteer, connections, masters
+):
+    points.write.partitionBy("yearmonth").parquet(str(tmp_path / "a"))
+    connections.write.partitionBy("yearmonth").parquet(str(tmp_path / "c"))
+    table = spark.read.schema(schemas.ACCESS_POINT).parquet(str(tmp_path / "a"))
+    log = spark.read.schema(schemas.CONNECTION).parquet(str(tmp_path / "c"))
+    for checked in (
+        access_point_list(table, status, gazetteer, "202501"),
+        connection_log(log, *masters, "202501"),
+    ):
+        assert _largest_method(spark, checked.accepted) < 8000
+        assert _largest_method(spark, checked.rejected) < 8000

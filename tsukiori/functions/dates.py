@@ -18,7 +18,6 @@ _BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0" + "".join(
     map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
 _BLANK = f"[{_BLANKS}]"
-_SEPARATORS = _BLANKS + "/-:.Tt"
 # One or two digits per field; a one-digit day may be padded with a blank.
 _MONTH = r"(?:1[0-2]|0?[1-9])"
 _DAY = r"(?:3[01]|[12]\d|[0 ]?[1-9])"
@@ -43,22 +42,17 @@ def to_iso8601(text: Column) -> Column:
     that is not in the calendar gives null, as does a blank at either end. The
     fraction is printed with six digits when it is not zero.
     """
-    # Null parts carry a mismatch through to the result. One-character separators
-    # keep the split off the regex engine; runs of blanks leave empty parts.
-    fields = F.translate(F.when(text.rlike(_DATE_TEXT), text), _SEPARATORS, " " * len(_SEPARATORS))
-    parts = F.array_remove(F.split(fields, " "), "")
-
-    def two(i: int) -> Column:
-        return F.lpad(F.coalesce(F.get(parts, F.lit(i)), F.lit("0")), 2, "0")
-
-    # The pattern bounds every field; only the length of the month is left open.
-    date = F.concat(F.get(parts, F.lit(0)), F.lit("-"), two(1), F.lit("-"), two(2))
-    fraction = F.rpad(F.coalesce(F.get(parts, F.lit(6)), F.lit("0")), 6, "0")
-    return F.concat(
-        date.try_cast("date").cast("string"),
-        F.lit("T"), two(3), F.lit(":"), two(4), F.lit(":"), two(5),
-        F.when(fraction == "000000", "").otherwise(F.concat(F.lit("."), fraction)),
-    )
+    # The pattern settles what is accepted. The cast then reads one-digit fields
+    # and knows the calendar; it wants "-" in dates and one blank before times.
+    accepted = F.when(text.rlike(_DATE_TEXT), text)
+    plain = F.translate(accepted, f"/Tt{_BLANKS}", "-" + " " * (2 + len(_BLANKS)))
+    plain = F.replace(plain, F.lit("- "), F.lit("-"))
+    date = F.substring_index(plain, " ", 1)
+    time = F.ltrim(F.substring(plain, F.length(date) + 1, F.length(plain)))
+    moment = F.concat(date, F.lit(" "), time).try_cast("timestamp_ntz").cast("string")
+    # Only a fraction makes the text longer than 19; its zeros are cut.
+    padded = F.when(F.length(moment) > 19, F.rpad(moment, 26, "0")).otherwise(moment)
+    return F.replace(padded, F.lit(" "), F.lit("T"))
 
 
 def parse_start_time(text: Column) -> Column:

@@ -23,9 +23,18 @@ from tsukiori.operators import quality
 from tsukiori.operators.shape import relabel
 from tsukiori.plans.access_points import access_point_rows
 from tsukiori.plans.connections import connection_log
+from tsukiori.plans.recordings import recording_summary
 from tsukiori.scratch import staged
 from tsukiori.sinks import writers
-from tsukiori.sources.readers import conform, read_csv_table, read_month_parquet
+from tsukiori.sources.readers import (
+    conform,
+    read_catalog_table,
+    read_csv_table,
+    read_csv_text,
+    read_first_available,
+    read_month_parquet,
+    read_recordings,
+)
 
 log = logging.getLogger(__name__)
 
@@ -139,7 +148,9 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     monthly.add_argument("--replace-all", action="store_true")
 
     points = commands.add_parser("access-points", parents=[monthly])
-    points.add_argument("--input", required=True, help="access points, CSV")
+    source = points.add_mutually_exclusive_group(required=True)
+    source.add_argument("--input", help="access points, CSV")
+    source.add_argument("--catalog-table", help="access points, DATABASE.TABLE")
     points.add_argument("--status-master", required=True, help="CSV")
     points.add_argument("--gazetteer", help="known addresses, Parquet")
     points.add_argument("--keep-backups", type=int)
@@ -158,56 +169,102 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     crawl.add_argument("--warehouse", required=True)
     crawl.add_argument("--mappings")
     crawl.add_argument("--first-row", action="store_true")
+
+    recordings = commands.add_parser("recordings")
+    recordings.add_argument("--input", required=True, nargs="+", help="CSV; the first that exists")
+    recordings.add_argument("--output", required=True)
+
+    sql = commands.add_parser("sql")
+    sql.add_argument("--query", required=True)
+    sql.add_argument("--output", help="directory for the whole result, CSV")
+
+    quote = commands.add_parser("quote-csv")
+    quote.add_argument("--input", required=True)
+    quote.add_argument("--output", required=True)
     return parser.parse_args(argv)
 
 
+def _crawl(spark: SparkSession, args: argparse.Namespace) -> None:
+    crawl_directory(
+        spark, args.input, args.database, args.warehouse,
+        mappings=args.mappings, first_row=args.first_row,
+    )
+
+
+def _access_points(spark: SparkSession, args: argparse.Namespace) -> None:
+    if args.input:
+        source = read_csv_table(spark, args.input, schemas.ACCESS_POINT)
+    else:
+        database, table = args.catalog_table.split(".", 1)
+        source = conform(read_catalog_table(spark, database, table), schemas.ACCESS_POINT)
+    if args.gazetteer:
+        gazetteer = spark.read.schema(schemas.GAZETTEER).parquet(args.gazetteer)
+    else:
+        gazetteer = spark.createDataFrame([], schemas.GAZETTEER)
+    run_access_point_list(
+        spark,
+        source,
+        read_csv_table(spark, args.status_master, schemas.STATUS_MASTER, names.STATUS_MASTER_NAMES),
+        gazetteer,
+        args.output,
+        args.month,
+        job_id=args.job_id,
+        replace_all=args.replace_all,
+        keep_backups=args.keep_backups,
+    )
+
+
+def _connections(spark: SparkSession, args: argparse.Namespace) -> None:
+    if args.input:
+        source = read_csv_table(spark, args.input, schemas.CONNECTION)
+    else:
+        source = conform(read_month_parquet(spark, args.input_table, args.month), schemas.CONNECTION)
+    run_connection_log(
+        spark,
+        source,
+        read_csv_table(spark, args.user_master, schemas.USER_MASTER, names.USER_MASTER_NAMES),
+        read_csv_table(spark, args.device_master, schemas.DEVICE_MASTER, names.DEVICE_MASTER_NAMES),
+        args.output,
+        args.month,
+        job_id=args.job_id,
+        format=args.format,
+        replace_all=args.replace_all,
+    )
+
+
+def _recordings(spark: SparkSession, args: argparse.Namespace) -> None:
+    source = read_first_available(spark, args.input, read_recordings)
+    summary = recording_summary(source)
+    for name, df in {
+        "expanded": summary.expanded,
+        "duration_by_scenario": summary.duration_by_scenario,
+        "count_by_model": summary.count_by_model,
+    }.items():
+        df.write.mode("overwrite").option("header", True).csv(f"{args.output}/{name}")
+
+
+def _sql(spark: SparkSession, args: argparse.Namespace) -> None:
+    writers.sql_to_csv(spark, args.query, args.output).show(truncate=False)
+
+
+def _quote_csv(spark: SparkSession, args: argparse.Namespace) -> None:
+    writers.write_csv_quoted(read_csv_text(spark, args.input), args.output)
+
+
+_COMMANDS = {
+    "access-points": _access_points,
+    "connections": _connections,
+    "crawl": _crawl,
+    "recordings": _recordings,
+    "sql": _sql,
+    "quote-csv": _quote_csv,
+}
+
+
 def main(argv: list[str] | None = None) -> None:
     args = _arguments(argv)
     spark = SparkSession.builder.appName(f"tsukiori {args.command}").getOrCreate()
-    if args.command == "crawl":
-        crawl_directory(
-            spark, args.input, args.database, args.warehouse,
-            mappings=args.mappings, first_row=args.first_row,
-        )
-    elif args.command == "access-points":
-        gazetteer = (
-            spark.read.schema(schemas.GAZETTEER).parquet(args.gazetteer)
-            if args.gazetteer
-            else spark.createDataFrame([], schemas.GAZETTEER)
-        )
-        run_access_point_list(
-            spark,
-            read_csv_table(spark, args.input, schemas.ACCESS_POINT),
-            read_csv_table(
-                spark, args.status_master, schemas.STATUS_MASTER, names.STATUS_MASTER_NAMES
-            ),
-            gazetteer,
-            args.output,
-            args.month,
-            job_id=args.job_id,
-            replace_all=args.replace_all,
-            keep_backups=args.keep_backups,
-        )
-    else:
-        if args.input:
-            source = read_csv_table(spark, args.input, schemas.CONNECTION)
-        else:
-            source = conform(
-                read_month_parquet(spark, args.input_table, args.month), schemas.CONNECTION
-            )
-        run_connection_log(
-            spark,
-            source,
-            read_csv_table(spark, args.user_master, schemas.USER_MASTER, names.USER_MASTER_NAMES),
-            read_csv_table(
-                spark, args.device_master, schemas.DEVICE_MASTER, names.DEVICE_MASTER_NAMES
-            ),
-            args.output,
-            args.month,
-            job_id=args.job_id,
-            format=args.format,
-            replace_all=args.replace_all,
-        )
+    _COMMANDS[args.command](spark, args)
 
 
 if __name__ == "__main__":

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsukiori import names
+from tsukiori import names, schemas
 from tsukiori.errors import SourceNotFoundError
 from tsukiori.functions.dates import check_month
 from tsukiori.functions.naming import name_mapping
@@ -51,6 +51,11 @@ def read_csv_table(
     return conform(read_csv_text(spark, paths, **options), schema, known)
 
 
+def read_recordings(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """CSV of recordings; JSON cells hold quotes, written doubled as CSV has it."""
+    return read_csv_table(spark, paths, schemas.RECORDING, known={}, escape='"')
+
+
 def conform(
     df: DataFrame, schema: T.StructType, known: Mapping[str, str] = names.ENGLISH_NAMES
 ) -> DataFrame:
