@@ -6,6 +6,7 @@ landing the rows are Spark jobs.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,25 +77,30 @@ def crawl_directory(
     *,
     mappings: str | None = None,
     first_row: bool = False,
+    concurrent: int = 4,
 ) -> list[CrawledTable]:
     """Every ``*.csv`` of a directory as a catalog table named after its file.
 
     With ``mappings``, the source names of each table's columns are written there
-    as ``<table>_mapping.csv``.
+    as ``<table>_mapping.csv``. Up to ``concurrent`` tables are crawled at once, so
+    that many small files do not leave the cluster idle between their jobs.
     """
-    tables = []
-    for file in files.list_names(spark, directory):
-        if not file.endswith(".csv"):
-            continue
+
+    def crawl(file: str) -> CrawledTable:
         name = file.removesuffix(".csv")
         table = crawl_table(spark, f"{directory}/{file}", name, warehouse, first_row)
-        register_external_table(spark, database, name, table.types, table.location)
         if mappings:
             columns = column_mapping_table(spark, table.mapping).toDF(*names.MAPPING_HEADERS)
             columns.write.mode("overwrite").option("header", True).csv(
                 f"{mappings}/{name}_mapping.csv"
             )
-        tables.append(table)
+        return table
+
+    found = [f for f in files.list_names(spark, directory) if f.endswith(".csv")]
+    with ThreadPoolExecutor(concurrent) as pool:
+        tables = list(pool.map(crawl, found))
+    for table in tables:
+        register_external_table(spark, database, table.name, table.types, table.location)
     return tables
 
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Cells that make an integer or a decimal column; all else is text.
-INTEGER_PATTERN = r"-?\d+"
-DECIMAL_PATTERN = r"-?\d+\.\d+"
+# Fixed value: an integer cell, or with the fraction a decimal one; all else is text.
+NUMBER_PATTERN = r"-?\d+(?:\.\d+)?"
 
 # From narrow to wide. The type of a column is the widest one among its cells.
 TYPES = ("INT", "BIGINT", "DOUBLE", "STRING")
@@ -17,11 +16,10 @@ def _cell_rank(cell: Column) -> Column:
     """Position in ``TYPES`` of the narrowest type for a cell; null for a blank."""
     digits = F.length(F.ltrim(cell, F.lit("-")))
     integer_rank = F.when(digits <= 9, 0).when(digits <= 18, 1).otherwise(3)
+    number_rank = F.when(cell.contains("."), 2).otherwise(integer_rank)
     return F.when(
         cell != "",
-        F.when(cell.rlike(rf"\A{INTEGER_PATTERN}\z"), integer_rank)
-        .when(cell.rlike(rf"\A{DECIMAL_PATTERN}\z"), 2)
-        .otherwise(3),
+        F.when(cell.rlike(rf"\A{NUMBER_PATTERN}\z"), number_rank).otherwise(3),
     )
 
 

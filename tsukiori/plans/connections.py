@@ -45,7 +45,6 @@ def connection_log(
 ) -> Checked:
     """The connection log of a month, and the rows of any month without a device id."""
     columns = quality.check_contract(connections, schemas.CONNECTION.fieldNames())
-    quality.check_not_empty(columns, "connections")
     identified = quality.check_not_empty(
         quality.drop_null_required(columns, names.CONNECTION_REQUIRED),
         "connections with a device id",
