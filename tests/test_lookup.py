@@ -37,10 +37,11 @@ def _result(joined):
     return sorted((r["id"], r["code"], r["name"]) for r in joined.collect())
 
 
+# The facts have 98 distinct keys, the master 202 rows with a key.
 LIMITS = {
     "broadcast": BroadcastLimit(),
-    "reduced": BroadcastLimit(rows=81),
-    "split": NOTHING,
+    "reduced": BroadcastLimit(rows=98),
+    "shuffled or split": NOTHING,
 }
 
 
@@ -49,26 +50,52 @@ LIMITS = {
 @pytest.mark.parametrize("wanted_only", [False, True])
 def test_all_plans_agree(spark, monkeypatch, plan, hot_keys, wanted_only):
     monkeypatch.setattr(lookup, "HOT_KEYS", hot_keys)
-    facts, master = _facts(spark), _master(spark)
+    facts, master = _facts(spark), _master(spark, 200)
     needed = F.col("wanted") if wanted_only else None
     joined = left_lookup(facts, master, ["code"], needed=needed, limit=LIMITS[plan])
     assert joined.columns == ["id", "code", "wanted", "name"]
-    assert _result(joined) == [
-        (i, code, name) for i, code, name in _plain(facts, master, wanted_only)
-    ]
+    assert _result(joined) == _plain(facts, master, wanted_only)
 
 
-def test_hot_keys_are_not_shuffled_by_key(spark, monkeypatch):
-    """In the split plan the hottest key never reaches a shuffled join."""
-    monkeypatch.setattr(lookup, "HOT_KEYS", 1)
+def _executed(spark, frame_of):
+    """Physical plan without Spark's own broadcasts."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = left_lookup(_facts(spark), _master(spark), ["code"], limit=NOTHING)
-        plan = joined._jdf.queryExecution().executedPlan().toString()
+        return frame_of()._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") == 1
-    assert plan.count("TakeOrderedAndProject(limit=1,") == 2
+
+
+def test_plan_by_size_and_frequency(spark, monkeypatch):
+    facts, master = _facts(spark), _master(spark, 200)
+
+    def plan(limit):
+        return _executed(spark, lambda: left_lookup(facts, master, ["code"], limit=limit))
+
+    assert "SortMergeJoin" not in plan(LIMITS["broadcast"])
+    assert "SortMergeJoin" not in plan(LIMITS["reduced"])
+    monkeypatch.setattr(lookup, "HOT_KEYS", 1)
+    even = plan(NOTHING)
+    assert (even.count("SortMergeJoin"), even.count("BroadcastHashJoin")) == (1, 0)
+    monkeypatch.setattr(lookup, "HOT_KEYS", 10)
+    split = plan(NOTHING)
+    assert split.count("SortMergeJoin") == 1
+    assert split.count("TakeOrderedAndProject(limit=10,") >= 2
+
+
+def test_hot_rows_stay_out_of_the_shuffle(spark, monkeypatch):
+    """A third of the rows share a key, yet no task of the shuffled join gets many rows."""
+    monkeypatch.setattr(lookup, "HOT_KEYS", 10)
+    for setting in ("autoBroadcastJoinThreshold", "adaptive.enabled"):
+        spark.conf.set(f"spark.sql.{setting}", {"adaptive.enabled": "false"}.get(setting, "-1"))
+    try:
+        joined = left_lookup(_facts(spark), _master(spark, 200), ["code"], limit=NOTHING)
+        by_task = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for setting in ("autoBroadcastJoinThreshold", "adaptive.enabled"):
+            spark.conf.unset(f"spark.sql.{setting}")
+    assert sum(r["count"] for r in by_task) == 3000
+    assert max(r["count"] for r in by_task) < 500
 
 
 @pytest.mark.parametrize("limit", [BroadcastLimit(), NOTHING])
@@ -93,13 +120,14 @@ def test_profile_measures_rows_and_bytes(spark):
     measured = profile(master, ["code"])
     assert measured.rows == 2
     assert measured.bytes == 2 + 3 + 1 + 4 * 16
+    assert measured.widest == 2 + 3 + 2 * 16
     assert measured.fits(BroadcastLimit(rows=2, bytes=70))
     assert not measured.fits(BroadcastLimit(rows=1, bytes=70))
     assert not measured.fits(BroadcastLimit(rows=2, bytes=69))
 
 
 def test_profile_of_an_empty_lookup(spark):
-    assert profile(spark.createDataFrame([], "code string"), ["code"]) == lookup.Profile(0, 0, 0)
+    assert profile(spark.createDataFrame([], "code string"), ["code"]) == lookup.Profile(0, 0, 0, 0)
 
 
 def test_lookup_code_labels_what_is_unknown(spark):

@@ -1,16 +1,18 @@
 """Left outer joins of a large table with a lookup of unknown size.
 
-The lookup is measured first. Then one of three plans runs, all with the same
+The lookup is measured first. Then one of four plans runs, all with the same
 result:
 
 1. The lookup is small: broadcast it. The large table is not shuffled.
-2. The lookup is large, but few of its keys occur: reduce it to those keys with
-   one pre-aggregated pass over the key columns, and broadcast the rest.
-3. Many keys occur. Rows of the ``HOT_KEYS`` most frequent keys, which a plain
-   shuffle would send to a few tasks, take a broadcast join with at most that
-   many lookup rows. Rows without a key to look up are joined with nothing. Only
-   the other rows, whose keys hold less than ``1 / HOT_KEYS`` of the rows each,
-   are shuffled.
+2. The lookup is large, but few of its keys occur: one pre-aggregated pass over the
+   key columns finds these, and their part of the lookup is broadcast.
+3. Many keys occur, none of them often: a shuffled join.
+4. Many keys occur, and some hold more than ``1 / HOT_KEYS`` of the rows: a plain
+   shuffle would send these to a few tasks. Rows of the ``HOT_KEYS`` most frequent
+   keys take a broadcast join with at most that many lookup rows; only the other
+   rows are shuffled.
+
+In the last two plans, rows that have nothing to look up are not shuffled.
 """
 
 from __future__ import annotations
@@ -43,10 +45,11 @@ DEFAULT_LIMIT = BroadcastLimit()
 
 @dataclass(frozen=True)
 class Profile:
-    """Measured size of a lookup, and the rows of its most repeated key."""
+    """Measured size of a lookup, its widest row, and the rows of its most repeated key."""
 
     rows: int
     bytes: int
+    widest: int
     max_per_key: int
 
     def fits(self, limit: BroadcastLimit) -> bool:
@@ -62,8 +65,12 @@ def profile(lookup: DataFrame, keys: Sequence[str]) -> Profile:
     row = (
         lookup.filter(_filled(keys))
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("width"))
-        .agg(F.sum("n"), F.sum("width"), F.max("n"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(width).alias("bytes"),
+            F.max(width).alias("widest"),
+        )
+        .agg(F.sum("n"), F.sum("bytes"), F.max("widest"), F.max("n"))
         .first()
     )
     return Profile(*[value or 0 for value in row])
@@ -100,9 +107,8 @@ def left_lookup(
     filled = _filled(keys)
     needed = filled if needed is None else F.coalesce(needed, F.lit(False)) & filled
     if measured.max_per_key > 1:
-        idle = df.filter(~needed).withColumns(_nulls(lookup, values))
-        return idle.union(_join(df.filter(needed), lookup, keys, values))
-    return _reduced_join(df, lookup, keys, values, needed, limit)
+        return _shuffled_join(df, lookup, keys, values, needed)
+    return _join_by_frequency(df, lookup, keys, values, needed, limit, measured.widest)
 
 
 def lookup_code(
@@ -161,19 +167,31 @@ def _broadcast_join(df, lookup, keys, values, needed=None):
     return _join(df, F.broadcast(lookup), keys, values, needed)
 
 
-def _reduced_join(df, lookup, keys, values, needed, limit):
-    # Distinct keys first: the join with the large lookup then has no hot key.
-    wanted = df.filter(needed).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    found = stage(wanted.join(lookup.withColumn("_hit", F.lit(True)), list(keys), "left"), "lookup")
-    hits = found.filter("_hit").select(*keys, *values)
-    if profile(hits, keys).fits(limit):
-        return _broadcast_join(df, hits, keys, values, needed)
-
-    # The order is total, so that both branches see the same hot keys.
-    hot = found.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
-    hot = hot.select(*keys, *values, F.lit(True).alias("_hot"))
-    marked = _broadcast_join(df, hot, keys, [*values, "_hot"], needed)
-    shuffled = needed & F.col("_hot").isNull()
-    settled = marked.filter(~shuffled).drop("_hot")
-    rest = marked.filter(shuffled).drop("_hot", *values)
-    return settled.union(_join(rest, hits, keys, values))
+def _shuffled_join(df, lookup, keys, values, needed):
+    idle = df.filter(~needed).withColumns(_nulls(lookup, values))
+    return idle.union(_join(df.filter(needed), lookup, keys, values))
+
+
+def _join_by_frequency(df, lookup, keys, values, needed, limit, widest):
+    counts = df.filter(needed).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stage(counts, "lookup-keys")
+    distinct, most, total = counts.agg(F.count("*"), F.max("_n"), F.sum("_n")).first()
+    if distinct <= limit.rows and distinct * widest <= limit.bytes:
+        occurring = F.broadcast(counts.select(*keys))
+        reduced = lookup.join(occurring, list(keys), "left_semi").select(*keys, *values)
+        return _broadcast_join(df, reduced, keys, values, needed)
+    if most * HOT_KEYS <= total:
+        return _shuffled_join(df, lookup, keys, values, needed)
+    return _split_join(df, lookup, keys, values, needed, counts)
+
+
+def _split_join(df, lookup, keys, values, needed, counts):
+    # The counts are a stored table and the order is total, so that both branches
+    # below see the same hot keys.
+    frequent = counts.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys)
+    known = lookup.join(F.broadcast(frequent), list(keys), "left_semi").select(*keys, *values)
+    hot = _broadcast_join(frequent, known, keys, values).withColumn("_hot", F.lit(True))
+    settled = _broadcast_join(df, hot, keys, [*values, "_hot"], needed)
+    settled = settled.filter(~needed | F.col("_hot").isNotNull()).drop("_hot")
+    rest = df.filter(needed).join(F.broadcast(frequent), list(keys), "left_anti")
+    return settled.union(_join(rest.select(*df.columns), lookup, keys, values))
