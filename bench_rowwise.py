@@ -8,7 +8,6 @@ driver to one file. Inputs and lookups are the same. Prints one JSON line.
 
 from __future__ import annotations
 
-import datetime as dt
 import json
 import os
 import time
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 
 import bench
 import registered_queries as queries
+from tests.oracle import iso_by_strptime
 from tsukiori import jobs, names
 from tsukiori.functions.identifiers import management_id
 from tsukiori.operators import quality
@@ -27,7 +27,6 @@ from tsukiori.plans.connections import connection_log
 from tsukiori.scratch import new_path
 
 COUNTS = 5
-DATE_LAYOUTS = [f"%Y{s}%m{s}%d{t}" for s in "/-" for t in ("", " %H:%M", " %H:%M:%S", " %H:%M:%S.%f")]
 PLACE = T.StructType().add("lat", T.DoubleType()).add("lon", T.DoubleType())
 
 
@@ -37,15 +36,6 @@ def to_one_file(df, path):
     df.toPandas().to_csv(path, index=False)
 
 
-def iso_per_row(text):
-    for layout in DATE_LAYOUTS if text else ():
-        try:
-            return dt.datetime.strptime(text, layout).isoformat()
-        except ValueError:
-            continue
-    return None
-
-
 def rowwise_access_points(spark, sf_dir, path):
     rows = queries.gazetteer(spark, sf_dir).collect()
     places = {(r["prefecture"], r["city"], r["address"]): (r["latitude"], r["longitude"]) for r in rows}
@@ -55,7 +45,8 @@ def rowwise_access_points(spark, sf_dir, path):
             return places.get((prefecture, city, address), (None, None))
         return lat, lon
 
-    iso, located = F.udf(iso_per_row), F.udf(place, PLACE)
+    iso = F.udf(lambda text: iso_by_strptime(text) if text else None)
+    located = F.udf(place, PLACE)
     points = queries.access_points(spark, sf_dir).filter(F.col("yearmonth") == queries.MONTH)
     points = points.withColumn("_p", located("prefecture", "city", "address", "latitude", "longitude"))
     points = points.withColumns({

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tsukiori import jobs, names, schemas
 from tsukiori.catalog.crawl import (
+    column_mapping_table,
     crawl_directory,
     crawl_table,
     register_external_table,
@@ -32,7 +33,7 @@ from tsukiori.functions.naming import english_name_of
 from tsukiori.operators import aggregate, geocode, lookup, quality, shape
 from tsukiori.plans.access_points import access_point_list
 from tsukiori.plans.connections import connection_log
-from tsukiori.plans.recordings import recording_summary
+from tsukiori.plans import recordings as recording_plan
 from tsukiori.scratch import new_path
 from tsukiori.sinks import writers
 from tsukiori.sources import readers
@@ -47,11 +48,14 @@ ORDER_MONTH = "199803"
 NO_BROADCAST = lookup.BroadcastLimit(rows=0, bytes=0)
 
 
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
+def query(oracle: str | None = None, *, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query with its SQL, under its own name or under ``name``."""
+
     def register(run: Query) -> Query:
-        QUERIES[run.__name__] = run
+        key = name or run.__name__
+        QUERIES[key] = run
         if oracle is not None:
-            ORACLES[run.__name__] = oracle.strip()
+            ORACLES[key] = oracle.strip()
         return run
 
     return register
@@ -410,7 +414,8 @@ def preview(spark, sf_dir):
 
 
 @query(f"""WITH devices AS (SELECT event_id, {MAC_SQL} AS apid FROM events)
-  SELECT event_id, apid, {MANAGEMENT_ID_SQL} AS mgmt_id FROM devices""")
+  SELECT event_id, apid, {MANAGEMENT_ID_SQL} AS mgmt_id FROM devices""",
+       name="management_id")
 def management_ids(spark, sf_dir):
     devices = table(spark, sf_dir, "events").select(
         "event_id", mac_text(F.col("event_id")).alias("apid")
@@ -418,7 +423,8 @@ def management_ids(spark, sf_dir):
     return devices.withColumn("mgmt_id", management_id(F.col("apid")))
 
 
-@query(f"SELECT event_id, {ISO_SQL} AS iso FROM events")
+@query(f"SELECT event_id, {ISO_SQL} AS iso FROM events",
+       name="to_iso8601")
 def iso_dates(spark, sf_dir):
     texts = table(spark, sf_dir, "events").select(
         "event_id", date_text(F.col("ts"), F.col("event_id")).alias("text")
@@ -437,7 +443,8 @@ def year_month_day(spark, sf_dir):
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-  CAST(NULL AS VARCHAR) AS missing FROM events""")
+  CAST(NULL AS VARCHAR) AS missing FROM events""",
+       name="parse_metadata")
 def parsed_metadata(spark, sf_dir):
     schema = T.StructType().add("k", T.IntegerType()).add("missing", T.StringType())
     parsed = table(spark, sf_dir, "events").withColumn(
@@ -452,7 +459,7 @@ def parsed_metadata(spark, sf_dir):
   SELECT c_custkey, CASE WHEN header = '設置場所名称' THEN 'location'
     WHEN header LIKE '顧客%' THEN 'column_' || substr(md5(header), 1, 4)
     ELSE translate(lower(header), ' -', '__') END AS english FROM headers""")
-def translated_names(spark, sf_dir):
+def translate_columns(spark, sf_dir):
     key = F.col("c_custkey") % 4
     header = (
         F.when(key == 0, F.col("c_name"))
@@ -667,7 +674,8 @@ _TYPED = [
 ]
 
 
-@query(_type_sql("lineitem", _TYPED))
+@query(_type_sql("lineitem", _TYPED),
+       name="infer_column_types")
 def infer_types(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     return infer_column_types(lines.select(*[F.col(c).cast("string").alias(c) for c in _TYPED]))
@@ -838,44 +846,52 @@ def sql_to_csv(spark, sf_dir):
 # Catalog
 
 
-@query(ALL_ORDERS_SQL.replace("SELECT *", """SELECT o_orderkey::INTEGER AS o_orderkey,
+@query(f"""WITH {ORDERS_SQL} SELECT o_orderkey::INTEGER AS o_orderkey,
   o_custkey::INTEGER AS o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
-  yearmonth::INTEGER AS yearmonth"""))
-def crawled_table(spark, sf_dir):
-    """A crawled table has the found types and all rows."""
+  yearmonth::INTEGER AS yearmonth FROM orders_by_month""", name="register_external_table")
+def crawled_rows(spark, sf_dir):
+    """A crawled and registered table has the types found and all rows."""
     folder = new_path(spark, "crawl")
     writers.write_csv(orders_by_month(spark, sf_dir), f"{folder}/in/crawled_orders.csv")
-    table_ = crawl_table(spark, f"{folder}/in/crawled_orders.csv", "crawled_orders", f"{folder}/out")
+    found = crawl_table(spark, f"{folder}/in/crawled_orders.csv", "crawled_orders", f"{folder}/out")
     name = folder.rsplit("/", 1)[1].replace("-", "_")
-    register_external_table(spark, "default", name, table_.types, table_.location)
+    register_external_table(spark, "default", name, found.types, found.location)
     return readers.read_catalog_table(spark, "default", name)
 
 
-@query("""SELECT 'crawled_customer' AS "table", c AS "column", t AS type, n FROM
-  (VALUES ('c_custkey', 'INT'), ('c_name', 'STRING'), ('c_nationkey', 'INT'),
-    ('c_acctbal', 'DOUBLE'), ('c_mktsegment', 'STRING')) AS v(c, t),
+_CRAWLED_SQL = """SELECT 'crawled_customer' AS "table", e AS english, o AS original, t AS type, n
+  FROM (VALUES ('column_' || substr(md5('顧客番号'), 1, 4), '顧客番号', 'INT'),
+    ('c_name', 'c_name', 'STRING'), ('prefecture', '都道府県', 'INT'),
+    ('balance_total', 'Balance-Total', 'DOUBLE'), ('category', 'カテゴリ', 'STRING')) AS v(e, o, t),
   (SELECT count(*) AS n FROM customer)
-  UNION ALL SELECT 'crawled_supplier', c, t, n FROM
+  UNION ALL SELECT 'crawled_supplier', c, c, t, n FROM
   (VALUES ('s_suppkey', 'INT'), ('s_name', 'STRING'), ('s_nationkey', 'INT'),
-    ('s_acctbal', 'DOUBLE')) AS v(c, t), (SELECT count(*) AS n FROM supplier)""")
-def crawl(spark, sf_dir):
-    """Columns and types of a crawled directory, with the rows of each landed table."""
+    ('s_acctbal', 'DOUBLE')) AS v(c, t), (SELECT count(*) AS n FROM supplier)"""
+
+
+@query(_CRAWLED_SQL, name="crawl_directory")
+def crawled_catalog(spark, sf_dir):
+    """Names and types of a crawled directory, with the rows of each landed table."""
     folder = new_path(spark, "crawl")
     database = "crawl_" + folder.rsplit("-", 1)[1]
-    for name in ("customer", "supplier"):
-        writers.write_csv(table(spark, sf_dir, name), f"{folder}/in/crawled_{name}.csv")
+    customer = table(spark, sf_dir, "customer").toDF(
+        "顧客番号", "c_name", "都道府県", "Balance-Total", "カテゴリ"
+    )
+    writers.write_csv(customer, f"{folder}/in/crawled_customer.csv")
+    writers.write_csv(table(spark, sf_dir, "supplier"), f"{folder}/in/crawled_supplier.csv")
     spark.sql(f"CREATE DATABASE `{database}` LOCATION '{folder}/database'")
-    found = crawl_directory(spark, f"{folder}/in", database, f"{folder}/out",
-                            mappings=f"{folder}/mappings")
+    found = crawl_directory(spark, f"{folder}/in", database, f"{folder}/out")
     parts = []
     for t in found:
-        columns = F.array(*[
-            F.struct(F.lit(c).alias("column"), F.lit(type_).alias("type"))
-            for c, type_ in t.types.items()
-        ])
+        mapping = column_mapping_table(spark, t.mapping)
+        types = spark.createDataFrame(list(t.types.items()), "english string, type string")
         rows = readers.read_catalog_table(spark, database, t.name).agg(F.count("*").alias("n"))
-        parts.append(rows.select(F.lit(t.name).alias("table"), F.inline(columns), "n"))
-    return parts[0].union(parts[1])
+        parts.append(
+            mapping.join(types, "english").withColumns(
+                {"table": F.lit(t.name), "n": F.lit(rows.first()["n"])}
+            )
+        )
+    return parts[0].union(parts[1]).withColumn("n", F.col("n").cast("bigint"))
 
 
 # ---------------------------------------------------------------------------
@@ -883,7 +899,8 @@ def crawl(spark, sf_dir):
 
 
 @query(f"WITH {CONNECTIONS_SQL}, {USER_MASTER_SQL}, {DEVICE_MASTER_SQL}, {CONNECTION_LOG_SQL} "
-       "SELECT * FROM connection_log")
+       "SELECT * FROM connection_log",
+       name="connection_log")
 def connections_accepted(spark, sf_dir):
     return connection_log(
         connections(spark, sf_dir), user_master(spark, sf_dir), device_master(spark), MONTH
@@ -892,7 +909,7 @@ def connections_accepted(spark, sf_dir):
 
 @query(f"""WITH {CONNECTIONS_SQL} SELECT *, 'apid' AS reasons FROM connections
   WHERE apid IS NULL""")
-def connections_rejected(spark, sf_dir):
+def connection_log_rejects(spark, sf_dir):
     rejected = connection_log(
         connections(spark, sf_dir), user_master(spark, sf_dir), device_master(spark), MONTH
     ).rejected
@@ -911,7 +928,8 @@ def _access_point_list(spark, sf_dir):
     )
 
 
-@query(f"{_POINTS_SQL} {_POINT_COLUMNS_SQL} WHERE {GOOD_POINT_SQL}")
+@query(f"{_POINTS_SQL} {_POINT_COLUMNS_SQL} WHERE {GOOD_POINT_SQL}",
+       name="access_point_list")
 def access_points_accepted(spark, sf_dir):
     return _access_point_list(spark, sf_dir).accepted
 
@@ -924,26 +942,26 @@ _REASONS_SQL = ", ".join(
 
 @query(f"""{_POINTS_SQL} {_POINT_COLUMNS_SQL.replace('*', f"*, concat_ws(',', {_REASONS_SQL}) AS reasons")}
   WHERE NOT ({GOOD_POINT_SQL})""")
-def access_points_rejected(spark, sf_dir):
+def access_point_list_rejects(spark, sf_dir):
     rejected = _access_point_list(spark, sf_dir).rejected
     return rejected.withColumn("reasons", F.array_join(quality.REASONS, ",")).drop(quality.REASONS)
 
 
 @query(f"WITH {EXPANDED_SQL} SELECT * FROM expanded")
-def recordings_expanded(spark, sf_dir):
-    return recording_summary(recordings(spark, sf_dir)).expanded
+def recording_expanded(spark, sf_dir):
+    return recording_plan.recording_summary(recordings(spark, sf_dir)).expanded
 
 
 @query(f"""WITH {EXPANDED_SQL} SELECT scenario, round(sum(recording_duration), 2) AS total_duration
   FROM expanded GROUP BY scenario""")
-def recordings_by_scenario(spark, sf_dir):
-    sums = recording_summary(recordings(spark, sf_dir)).duration_by_scenario
+def recording_summary(spark, sf_dir):
+    sums = recording_plan.recording_summary(recordings(spark, sf_dir)).duration_by_scenario
     return sums.withColumn("total_duration", F.round("total_duration", 2))
 
 
 @query(f'WITH {EXPANDED_SQL} SELECT model, count(*) AS "count" FROM expanded GROUP BY model')
-def recordings_by_model(spark, sf_dir):
-    return recording_summary(recordings(spark, sf_dir)).count_by_model
+def recording_counts(spark, sf_dir):
+    return recording_plan.recording_summary(recordings(spark, sf_dir)).count_by_model
 
 
 def _labelled(headers: dict[str, str], relation: str) -> str:

@@ -1,6 +1,7 @@
-"""Comparison of a Spark result with the result of a SQL text in DuckDB."""
+"""Other ways to the same results: SQL in DuckDB, and dates by ``strptime``."""
 
 import math
+from datetime import datetime
 
 import duckdb
 
@@ -39,3 +40,30 @@ def assert_same(frame, connection, sql):
         for x, y in zip(a, e, strict=True):
             same = math.isclose(x, y, rel_tol=1e-12) if isinstance(x, float) and y is not None else x == y
             assert same, (a, e)
+
+
+# Accepted layouts of date texts.
+DATE_LAYOUTS = (
+    "%Y/%m/%d",
+    "%Y/%m/%d %H:%M",
+    "%Y/%m/%d %H:%M:%S",
+    "%Y/%m/%d %H:%M:%S.%f",
+    "%Y-%m-%d",
+    "%Y-%m-%d %H:%M",
+    "%Y-%m-%d %H:%M:%S",
+    "%Y-%m-%d %H:%M:%S.%f",
+    "%Y-%m-%dT%H:%M:%S",
+)
+
+
+def _parsed(text, layout):
+    try:
+        return datetime.strptime(text, layout)
+    except ValueError:
+        return None
+
+
+def iso_by_strptime(text):
+    """What ``to_iso8601`` must give: the first layout that parses decides."""
+    moments = (_parsed(text, layout) for layout in DATE_LAYOUTS)
+    return next((m.isoformat() for m in moments if m is not None), None)

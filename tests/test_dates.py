@@ -1,4 +1,3 @@
-import datetime as dt
 import random
 
 import pytest
@@ -6,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests.oracle import iso_by_strptime
 from tsukiori.errors import MonthError
 from tsukiori.functions.dates import (
     check_month,
@@ -15,24 +15,10 @@ from tsukiori.functions.dates import (
     year_month_int,
 )
 
-LAYOUTS = [
-    f"%Y{s}%m{s}%d{time}" for s in "/-" for time in ("", " %H:%M", " %H:%M:%S", " %H:%M:%S.%f")
-] + ["%Y-%m-%dT%H:%M:%S"]
-
-
-def expected_iso(text):
-    for layout in LAYOUTS:
-        try:
-            return dt.datetime.strptime(text, layout).isoformat()
-        except ValueError:
-            pass
-    return None
-
-
 def assert_like_strptime(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     for text, iso in df.select("text", to_iso8601(F.col("text"))).collect():
-        assert iso == expected_iso(text), text
+        assert iso == iso_by_strptime(text), text
 
 
 def test_iso_edge_cases(spark):
