@@ -82,3 +82,14 @@ def test_crawl_of_the_sample_files(spark, tmp_path):
 
     again = crawl_directory(spark, str(source), "crawled", str(tmp_path / "out"))
     assert [t.types for t in again] == [t.types for t in tables]
+
+
+def test_landed_texts_are_as_they_were(spark, tmp_path):
+    texts = ["plain", 'a"b', "a,b", "a\\b", "a,\\", " padded ", "it's"]
+    source = tmp_path / "in"
+    source.mkdir()
+    cells = [t.replace("\\", "\\\\").replace('"', '\\"') for t in texts]
+    fixtures.write_csv(source / "odd.csv", ["n", "t"], [[str(i), c] for i, c in enumerate(cells)])
+    crawl_directory(spark, str(source), "odd_texts", str(tmp_path / "it's here"))
+    rows = spark.table("odd_texts.odd").orderBy("n").collect()
+    assert [r["t"] for r in rows] == texts

@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +34,18 @@ def test_management_id(spark, apid, expected):
     assert df.select(management_id(F.col("apid"))).first()[0] == expected
 
 
+def test_management_id_of_any_text(spark):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices("0aF:-x", weights=[4, 4, 4, 3, 3, 1], k=rnd.randint(0, 30)))
+             for _ in range(3000)]
+    texts += [rnd.choice(["", "x-"]) + rnd.choice(":-").join(rnd.choices(["0a", "FF", "9"], k=6))
+              for _ in range(500)]
+    mac = re.compile("(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}")
+    df = spark.createDataFrame([(t,) for t in texts], "apid string")
+    for apid, mgmt in df.select("apid", management_id(F.col("apid"))).collect():
+        assert mgmt == (re.sub("[:-]", "", apid) if mac.search(apid) else apid)
+
+
 # Headers and the names a crawl gives them.
 NAMED = {
     "ap名称": "ap_name",

@@ -201,10 +201,17 @@ def test_sql_command(spark, tmp_path, capsys):
     assert spark.read.option("header", True).csv(str(tmp_path / "sql")).first()["answer"] == "42"
 
 
-def test_quote_command(spark, inputs, tmp_path):
-    jobs.main(["quote-csv", "--input", inputs["users"], "--output", str(tmp_path / "quoted")])
+def test_quote_command(spark, tmp_path):
+    rows = [["a", "b"], ['say "x"', "1,2"], ["two\nlines", "back\\slash"]]
+    with open(tmp_path / "in.csv", "w", encoding="utf-8", newline="") as f:
+        csv.writer(f).writerows(rows)
+    jobs.main(["quote-csv", "--input", str(tmp_path / "in.csv"), "--multi-line",
+               "--output", str(tmp_path / "quoted")])
     (part,) = (tmp_path / "quoted").glob("part-*")
-    assert part.read_text(encoding="utf-8").splitlines()[1] == '"ja","ja","国内"'
+    with open(part, encoding="utf-8", newline="") as f:
+        text = f.read()
+    assert text.startswith('"a","b"')
+    assert list(csv.reader(text.splitlines(keepends=True))) == rows
 
 
 def test_month_is_required_and_checked(inputs, tmp_path):

@@ -60,13 +60,27 @@ def test_small_csv_is_one_file_of_that_name(spark, tmp_path):
     path = writers.write_month_csv(df, str(tmp_path), "202501")
     assert path.endswith("/list_ap_table/listap202501.csv")
     with open(path, encoding="utf-8", newline="") as f:
-        lines = list(csv.reader(f, escapechar="\\"))
+        lines = list(csv.reader(f))
     assert lines == [["s", "d", "n"], ["é,\"x\"", "1.5", ""]]
     assert [p.name for p in (tmp_path / "list_ap_table").iterdir() if p.name[0] != "."] == [
         "listap202501.csv"
     ]
 
 
+ODD_TEXTS = ["plain", 'a"b', '"', "a,b", "a\\b", "a,\\", "\\", " padded ", "　全角　", "x" * 5000]
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_csv_keeps_texts_as_they_are(spark, tmp_path, limit):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS)], "i int, t string")
+    writers.write_csv(df.coalesce(1), str(tmp_path / "x.csv"), single_file_rows=limit)
+    target = tmp_path / "x.csv"
+    (part,) = target.glob("part-*") if target.is_dir() else [target]
+    with open(part, encoding="utf-8", newline="") as f:
+        rows = sorted(list(csv.reader(f))[1:])
+    assert [r[1] for r in rows] == ODD_TEXTS
+
+
 def test_small_csv_replaces_file_and_directory(spark, tmp_path):
     path = str(tmp_path / "x.csv")
     rows = spark.range(3)

@@ -18,6 +18,17 @@ from tsukiori.sinks import files
 from tsukiori.sources.readers import read_csv_text
 
 
+# How landed files are written and registered tables are read.
+LANDED_CSV = {
+    "header": "true",
+    "sep": ",",
+    "quote": '"',
+    "escape": "\\",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
 @dataclass(frozen=True)
 class CrawledTable:
     """A table found by the crawler."""
@@ -34,14 +45,17 @@ class CrawledTable:
 def table_ddl(database: str, table: str, types: dict[str, str], location: str) -> str:
     """Statement that registers a CSV directory with a header as an external table."""
     columns = ",\n".join(f"  `{name}` {type_}" for name, type_ in types.items())
+    options = ", ".join(f"{k} '{_escaped(v)}'" for k, v in LANDED_CSV.items())
     return (
         f"CREATE TABLE IF NOT EXISTS `{database}`.`{table}` (\n{columns}\n)\n"
-        "USING csv\n"
-        "OPTIONS (header 'true', sep ',', quote '\"', escape '\\\\')\n"
-        f"LOCATION '{location}'"
+        f"USING csv\nOPTIONS ({options})\nLOCATION '{_escaped(location)}'"
     )
 
 
+def _escaped(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def register_external_table(
     spark: SparkSession, database: str, table: str, types: dict[str, str], location: str
 ) -> None:
@@ -57,15 +71,20 @@ def column_mapping_table(spark: SparkSession, mapping: dict[str, str]) -> DataFr
 
 
 def crawl_table(
-    spark: SparkSession, path: str, table: str, warehouse: str, first_row: bool = False
+    spark: SparkSession,
+    path: str,
+    table: str,
+    warehouse: str,
+    first_row: bool = False,
+    **csv_options,
 ) -> CrawledTable:
     """Type one CSV file or directory and land it under ``warehouse/<table>``."""
-    source = read_csv_text(spark, path)
+    source = read_csv_text(spark, path, **csv_options)
     mapping = name_mapping(source.columns)
     english = source.toDF(*mapping.values())
     found = {r["column"]: r["type"] for r in infer_column_types(english, first_row).collect()}
     location = f"{warehouse.rstrip('/')}/{table}"
-    english.write.mode("overwrite").option("header", True).csv(location)
+    english.write.mode("overwrite").options(**LANDED_CSV).csv(location)
     return CrawledTable(table, location, mapping, {c: found[c] for c in english.columns})
 
 
@@ -78,17 +97,21 @@ def crawl_directory(
     mappings: str | None = None,
     first_row: bool = False,
     concurrent: int = 4,
+    **csv_options,
 ) -> list[CrawledTable]:
     """Every ``*.csv`` of a directory as a catalog table named after its file.
 
     With ``mappings``, the source names of each table's columns are written there
     as ``<table>_mapping.csv``. Up to ``concurrent`` tables are crawled at once, so
-    that many small files do not leave the cluster idle between their jobs.
+    that many small files do not leave the cluster idle between their jobs. Further
+    options say how the files are written, as for ``read_csv_text``.
     """
 
     def crawl(file: str) -> CrawledTable:
         name = file.removesuffix(".csv")
-        table = crawl_table(spark, f"{directory}/{file}", name, warehouse, first_row)
+        table = crawl_table(
+            spark, f"{directory}/{file}", name, warehouse, first_row, **csv_options
+        )
         if mappings:
             columns = column_mapping_table(spark, table.mapping).toDF(*names.MAPPING_HEADERS)
             columns.write.mode("overwrite").option("header", True).csv(

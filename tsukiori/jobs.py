@@ -181,6 +181,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     quote = commands.add_parser("quote-csv")
     quote.add_argument("--input", required=True)
     quote.add_argument("--output", required=True)
+    quote.add_argument("--multi-line", action="store_true", help="cells hold line breaks")
     return parser.parse_args(argv)
 
 
@@ -240,7 +241,7 @@ def _recordings(spark: SparkSession, args: argparse.Namespace) -> None:
         "duration_by_scenario": summary.duration_by_scenario,
         "count_by_model": summary.count_by_model,
     }.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{args.output}/{name}")
+        df.write.mode("overwrite").options(**writers.CSV_OPTIONS).csv(f"{args.output}/{name}")
 
 
 def _sql(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -248,7 +249,8 @@ def _sql(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _quote_csv(spark: SparkSession, args: argparse.Namespace) -> None:
-    writers.write_csv_quoted(read_csv_text(spark, args.input), args.output)
+    source = read_csv_text(spark, args.input, escape='"', multi_line=args.multi_line)
+    writers.write_csv_quoted(source, args.output)
 
 
 _COMMANDS = {

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsukiori import names
+
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: how many nulls each column holds."""
@@ -33,12 +35,12 @@ def distinct_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns).distinct()
 
 
-def retain_latest(df: DataFrame, n: int = 1, column: str = "yearmonth") -> DataFrame:
-    """Rows of the ``n`` latest months that occur; the list of them has ``n`` rows."""
-    latest = (
-        distinct_keys(df, [column])
-        .filter(F.col(column).isNotNull())
-        .orderBy(F.desc(column))
-        .limit(n)
-    )
-    return df.join(F.broadcast(latest), column, "left_semi")
+def retain_latest(df: DataFrame, n: int = 1, column: str = names.PARTITION_COLUMN) -> DataFrame:
+    """Rows of the ``n`` latest months that occur.
+
+    The months, ``n`` values at most, are fetched first: as constants they prune
+    the other partitions of a table.
+    """
+    months = distinct_keys(df, [column]).filter(F.col(column).isNotNull())
+    latest = [row[0] for row in months.orderBy(F.desc(column)).limit(n).collect()]
+    return df.filter(F.col(column).isin(latest))

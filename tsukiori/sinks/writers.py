@@ -13,6 +13,14 @@ from tsukiori import names
 from tsukiori.functions.dates import check_month
 from tsukiori.sinks import files
 
+# Standard CSV: quotes are doubled, and blanks around a value are part of it.
+CSV_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
 # A published CSV is one file up to this many rows, and a directory of files beyond.
 SINGLE_FILE_ROWS = 1_000_000
 
@@ -40,7 +48,7 @@ def write_partitioned(
     if compression:
         writer = writer.option("compression", compression)
     if format == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV_OPTIONS)
     writer.save(path)
 
 
@@ -71,11 +79,11 @@ def write_csv(
     spark = df.sparkSession
     rows = df.count() if rows is None else rows
     if rows > single_file_rows:
-        df.write.mode("overwrite").option("header", True).csv(path)
+        df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
         return
     parts = f"{path}.parts-{uuid.uuid4().hex}"
     # Not coalesce(1): that would also run the steps before the write in one task.
-    df.repartition(1).write.option("header", True).csv(parts)
+    df.repartition(1).write.options(**CSV_OPTIONS).csv(parts)
     (part,) = [n for n in files.list_names(spark, parts) if n.startswith("part-")]
     files.move(spark, f"{parts}/{part}", path)
     files.delete(spark, parts)
@@ -131,7 +139,7 @@ def drop_other_months(spark: SparkSession, root: str, month: str) -> None:
 
 def write_csv_quoted(df: DataFrame, path: str) -> None:
     """Write CSV with every cell in quotes; null and blank both become ``""``."""
-    df.write.mode("overwrite").options(header=True, quoteAll=True).csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS, quoteAll=True).csv(path)
 
 
 def sql_to_csv(
@@ -141,5 +149,5 @@ def sql_to_csv(
     result = spark.sql(query)
     if path is None:
         return result.limit(n_preview)
-    result.write.mode("overwrite").option("header", True).csv(path)
-    return spark.read.schema(result.schema).option("header", True).csv(path).limit(n_preview)
+    result.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    return spark.read.schema(result.schema).options(**CSV_OPTIONS).csv(path).limit(n_preview)
