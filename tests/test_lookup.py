@@ -149,3 +149,9 @@ def test_lookup_code_with_own_default(spark):
     df = spark.createDataFrame([("q",)], "c string")
     master = spark.createDataFrame([("a", "b")], "k string, v string")
     assert lookup_code(df, "c", master, "k", "v", default="?").first()["c"] == "?"
+
+
+def test_value_columns_may_not_hide_columns(spark):
+    df = spark.createDataFrame([("a", "x")], "code string, name string")
+    with pytest.raises(ValueError, match="name"):
+        left_lookup(df, df, ["code"])

@@ -93,6 +93,9 @@ def left_lookup(
     a plain join gives. Value columns need names that ``df`` does not have. A
     caller that knows the size of the lookup passes it as ``measured``.
     """
+    clash = (set(lookup.columns) - set(keys)) & set(df.columns)
+    if clash:
+        raise ValueError(f"columns of both sides: {sorted(clash)}")
     measured = measured or profile(lookup, keys)
     if measured.max_per_key > 1 and not allow_duplicates:
         raise DuplicateKeyError(
