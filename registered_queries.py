@@ -71,12 +71,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def mac_text(key: Column) -> Column:
     """A device id per key: address with ``:``, address with ``-``, or plain."""
-    digits = F.md5(key.cast("string"))
-    pairs = [F.substring(digits, i, 2) for i in range(1, 12, 2)]
+    digits = F.substring(F.md5(key.cast("string")), 1, 12)
+    address = F.regexp_replace(digits, "(..)(?!$)", "$1:")
     return (
-        F.when(key % 3 == 0, F.concat_ws(":", *pairs))
-        .when(key % 3 == 1, F.upper(F.concat_ws("-", *pairs)))
-        .otherwise(F.substring(digits, 1, 12))
+        F.when(key % 3 == 0, address)
+        .when(key % 3 == 1, F.upper(F.replace(address, F.lit(":"), F.lit("-"))))
+        .otherwise(digits)
     )
 
 
@@ -172,18 +172,14 @@ ISO_SQL = """CASE
     ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END"""
 
 
-def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Address of every customer: region, nation, market segment."""
+def with_address(customers: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region, nation and market segment of rows with customer columns."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return (
-        table(spark, sf_dir, "customer")
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            "c_custkey",
-            F.col("r_name").alias("prefecture"),
-            F.col("n_name").alias("city"),
-            F.col("c_mktsegment").alias("address"),
-            F.col("c_acctbal").alias("balance"),
+        customers.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+        .withColumnsRenamed(
+            {"r_name": "prefecture", "n_name": "city", "c_mktsegment": "address"}
         )
     )
 
@@ -198,12 +194,12 @@ ADDRESSES_SQL = """addresses AS (
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several pairs of coordinates per address; one segment is not covered."""
     return (
-        addresses(spark, sf_dir)
+        with_address(table(spark, sf_dir, "customer"), spark, sf_dir)
         .filter(F.col("address") != "MACHINERY")
         .select(
             "prefecture", "city", "address",
-            (F.col("balance") / 100).alias("latitude"),
-            (F.col("balance") / 50).alias("longitude"),
+            (F.col("c_acctbal") / 100).alias("latitude"),
+            (F.col("c_acctbal") / 50).alias("longitude"),
         )
     )
 
@@ -215,11 +211,12 @@ PLACES_SQL = """places AS (
 
 def access_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as access points at the address of their user."""
-    events = table(spark, sf_dir, "events")
+    customer = table(spark, sf_dir, "customer")
+    events = table(spark, sf_dir, "events").join(
+        customer, F.col("user_id") == F.col("c_custkey"), "left"
+    )
     kind = F.col("event_type")
-    return events.join(
-        addresses(spark, sf_dir), F.col("user_id") == F.col("c_custkey"), "left"
-    ).select(
+    return with_address(events, spark, sf_dir).select(
         mac_text(F.col("event_id")).alias("apid"),
         F.concat(F.lit("AP"), F.col("event_id").cast("string")).alias("ap_name"),
         F.when(kind != "signup", kind).otherwise("").alias("location"),
@@ -230,7 +227,9 @@ def access_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind != "click", F.col("value")).alias("latitude"),
         F.when(~kind.isin("click", "view"), F.col("value") / 2).alias("longitude"),
         kind.alias("status"),
-        date_text(F.col("ts"), F.col("event_id")).alias("start_time"),
+        F.when(kind == "purchase", F.date_format("ts", "yyyy/M/d H:mm"))
+        .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+        .alias("start_time"),
         F.when(kind == "error", "unknown").alias("end_time"),
         F.lit("c").alias("category"),
         F.lit("o").alias("owner_attr"),
@@ -256,7 +255,9 @@ ACCESS_POINT_ROWS_SQL = f"""access_points AS (
     a.prefecture, a.city, a.address, json_extract_string(props, '$.k') AS additional_info,
     CASE WHEN event_type NOT IN ('click', 'view') THEN value ELSE p.latitude END AS latitude,
     CASE WHEN event_type NOT IN ('click', 'view') THEN value / 2 ELSE p.longitude END AS longitude,
-    coalesce(common_status, 'その他') AS status, {ISO_SQL} AS start_time,
+    coalesce(common_status, 'その他') AS status,
+    CASE event_type WHEN 'purchase' THEN strftime(ts, '%Y-%m-%dT%H:%M:00')
+      ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS start_time,
     CAST(NULL AS VARCHAR) AS end_time, 'c' AS category, 'o' AS owner_attr,
     'f' AS facility_attr, CAST(NULL AS VARCHAR) AS station_attr,
     CAST(strftime(ts, '%Y%m') AS INTEGER) AS year_month, 'P' || (user_id % 5) AS provider

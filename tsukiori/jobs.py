@@ -265,7 +265,12 @@ _COMMANDS = {
 
 def main(argv: list[str] | None = None) -> None:
     args = _arguments(argv)
-    spark = SparkSession.builder.appName(f"tsukiori {args.command}").getOrCreate()
+    spark = (
+        SparkSession.builder.appName(f"tsukiori {args.command}")
+        # The JVM does not compile methods above this size; Spark then splits the stage.
+        .config("spark.sql.codegen.hugeMethodLimit", 8000)
+        .getOrCreate()
+    )
     _COMMANDS[args.command](spark, args)
 
 

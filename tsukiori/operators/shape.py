@@ -59,9 +59,9 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.drop(*columns)
 
 
-def blank_to_null(df: DataFrame) -> DataFrame:
-    """Empty strings become null in every text column."""
-    return df.replace("", None)
+def blank_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Empty strings become null in every text column, or in those named."""
+    return df.replace("", None, subset=columns)
 
 
 def preview(df: DataFrame, n: int = 10) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,19 +17,10 @@ from tsukiori.operators.lookup import DEFAULT_LIMIT, BroadcastLimit, unify_statu
 from tsukiori.operators.shape import blank_to_null, filter_month, select_columns
 from tsukiori.plans.results import Checked
 
+COORDINATES = ("latitude", "longitude")
 
-def access_point_rows(
-    access_points: DataFrame,
-    status_master: DataFrame,
-    gazetteer: DataFrame,
-    month: str,
-    limit: BroadcastLimit = DEFAULT_LIMIT,
-) -> DataFrame:
-    """Every row of the month in its published form, good or bad.
 
-    With lookups of broadcast size this is one pass over the month: no shuffle
-    and no Python.
-    """
+def _converted(access_points, status_master, gazetteer, month, limit) -> DataFrame:
     rows = quality.check_not_empty(
         filter_month(access_points, month), f"access points of month {month}"
     )
@@ -40,7 +34,22 @@ def access_point_rows(
             "year_month": F.col(names.PARTITION_COLUMN).try_cast("int"),
         }
     )
-    return blank_to_null(select_columns(rows, list(names.ACCESS_POINT_HEADERS)))
+    return select_columns(rows, list(names.ACCESS_POINT_HEADERS))
+
+
+def access_point_rows(
+    access_points: DataFrame,
+    status_master: DataFrame,
+    gazetteer: DataFrame,
+    month: str,
+    limit: BroadcastLimit = DEFAULT_LIMIT,
+) -> DataFrame:
+    """Every row of the month in its published form, good or bad.
+
+    With lookups of broadcast size this is one pass over the month: no shuffle
+    and no Python.
+    """
+    return blank_to_null(_converted(access_points, status_master, gazetteer, month, limit))
 
 
 def access_point_list(
@@ -51,8 +60,13 @@ def access_point_list(
     limit: BroadcastLimit = DEFAULT_LIMIT,
 ) -> Checked:
     """The access-point list of a month, and the rows that lack a required value."""
-    rows = access_point_rows(access_points, status_master, gazetteer, month, limit)
+    rows = _converted(access_points, status_master, gazetteer, month, limit)
+    required = names.ACCESS_POINT_REQUIRED
+    # Blank required values are filtered before blanks become null elsewhere: the
+    # filters then reach the scan, and each is a plain comparison.
+    filled = rows.filter(reduce(and_, [F.col(c) != "" for c in required if c not in COORDINATES]))
+    optional = [c for c in rows.columns if c not in required]
     return Checked(
-        quality.drop_null_required(rows, names.ACCESS_POINT_REQUIRED),
-        quality.select_rejects(rows, names.ACCESS_POINT_REQUIRED),
+        blank_to_null(quality.drop_null_required(filled, COORDINATES), optional),
+        quality.select_rejects(blank_to_null(rows), required),
     )
