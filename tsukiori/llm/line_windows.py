@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +13,16 @@ from tsukiori.scratch import stage
 WINDOW = 3
 
 
+def _of_lines(text: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the lines of a text, which is split once."""
+    return F.get(F.transform(F.array(F.split(text, "\n", -1)), use), F.lit(0))
+
+
 def _windows(lines: Column, window: int) -> Column:
     """Position and hash of each window that is not blank. Two hashes: 128 bits."""
-    whole = F.size(lines) >= window
 
     def at(i: Column) -> Column:
-        own = [lines[i + k] for k in range(window)]
+        own = [F.get(lines, i + k) for k in range(window)]
         blank = F.trim(F.concat(*own)) == ""
         return F.when(~blank, F.struct(
             i.cast("int").alias("pos"),
@@ -24,8 +30,8 @@ def _windows(lines: Column, window: int) -> Column:
             F.xxhash64(F.lit("second"), *own).alias("h2"),
         ))
 
-    positions = F.sequence(F.lit(0), F.size(lines) - window)
-    return F.filter(F.transform(F.when(whole, positions), at), lambda w: w.isNotNull())
+    positions = F.when(F.size(lines) >= window, F.sequence(F.lit(0), F.size(lines) - window))
+    return F.filter(F.transform(positions, at), lambda w: w.isNotNull())
 
 
 def dedup_lines(
@@ -52,13 +58,13 @@ def dedup_lines(
     The groups are written as a table; the windows join it by a plain equi-join,
     of which adaptive execution splits the hot keys.
     """
-    lines = F.split(F.col(f"`{text}`"), "\n", -1)
+    own = F.col(f"`{text}`")
     key = F.struct(
         F.col(f"`{order}`").alias("id"),
-        F.xxhash64(F.col(f"`{text}`")).alias("t1"),
-        F.xxhash64(F.lit("second"), F.col(f"`{text}`")).alias("t2"),
+        F.xxhash64(own).alias("t1"),
+        F.xxhash64(F.lit("second"), own).alias("t2"),
     )
-    windows = F.explode(_windows(lines, window)).alias("w")
+    windows = F.explode(_of_lines(own, lambda lines: _windows(lines, window))).alias("w")
     found = docs.select(key.alias("doc"), windows).select("doc", "w.*")
     place = F.struct("doc", "pos")
     repeated = stage(
@@ -74,14 +80,19 @@ def dedup_lines(
         .groupBy(F.col("doc").alias("__doc"))
         .agg(F.collect_set("pos").alias("__later"))
     )
-    marked = docs.withColumn("__doc", key).join(later, "__doc", "left")
     covered = F.transform("__later", lambda p: F.sequence(p, p + (window - 1)))
-    gone = F.array_distinct(F.flatten(covered))
-    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: lines[i])
-    left = F.when(gone.isNull(), F.col(f"`{text}`")).otherwise(F.array_join(stay, "\n"))
+    marked = docs.withColumn("__doc", key).join(
+        later.select("__doc", F.array_distinct(F.flatten(covered)).alias("__gone")), "__doc", "left"
+    )
+    gone = F.col("__gone")
+
+    def rest(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
     outputs = {
-        text: left,
-        "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
+        text: F.when(gone.isNull(), own).otherwise(_of_lines(own, rest)),
+        "n_lines": F.coalesce(_of_lines(own, F.size), F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
     }
     kept = [c for c in docs.columns if c == text or c.lower() not in outputs]
