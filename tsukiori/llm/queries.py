@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsukiori.llm import line_windows, wu_manber
+from tsukiori.llm import language_spans, line_windows, multi_index, simple8b, weak_pii, wordpiece, wu_manber
 from tsukiori.llm.registry import ORACLES, QUERIES, query, table
+from tsukiori.scratch import new_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op2_weak_pii")
+def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in each document."""
+    found = weak_pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    return found.select(
+        "doc_id",
+        *[(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in weak_pii.BASE_KINDS],
+        F.sha2(weak_pii.span_text(base).cast("binary"), 256).alias("base_sha256"),
+        weak_pii.span_text(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op3_simple8b")
+def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids lie in files of packed words, and their checksum as read back."""
+    path = new_path(spark, "token-ids")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    simple8b.write_token_ids(table(spark, sf_dir, "documents"), path, tokenizer, end_id=2)
+    return simple8b.checksums(simple8b.read_token_ids(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query("op4_wu_manber", """
 WITH doc_words AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -52,6 +77,23 @@ def op4_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_wordpiece")
+def op5_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and word-pieces of each document."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query("op6_language_spans")
+def op6_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = language_spans.train(docs.where(~held_out))
+    found = language_spans.label_spans(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op9_line_windows", """
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 windows AS (
@@ -73,3 +115,10 @@ def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents without the lines of repeated windows."""
     left = line_windows.dedup_lines(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query("op10_multi_index")
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)

@@ -21,11 +21,16 @@ Work = Callable[[np.ndarray, np.ndarray], list[pa.Array]]
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes, and the offsets of the texts in them. Null texts are empty."""
-    texts = pc.cast(pc.fill_null(texts, ""), pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    if not len(texts):
+    return flat(pc.fill_null(texts, ""))
+
+
+def flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of texts or binaries, none of them null, and the offsets of the values in them."""
+    if not len(values):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    blob = texts.buffers()[2]
+    values = pc.cast(values, pa.large_string() if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pa.large_binary())
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    blob = values.buffers()[2]
     data = np.frombuffer(blob, np.uint8) if blob is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 

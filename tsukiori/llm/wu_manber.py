@@ -256,16 +256,15 @@ def find_test_items(
 
 def _merged(parts):
     """Runs of hit words from several lists of runs: joined where they meet or overlap."""
-    pairs = [F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / 2) - 1), lambda i, p=p: F.struct(p[2 * i].alias("s"), p[2 * i + 1].alias("e"))) for p in parts]
-    pairs = [F.when(F.size(p) > 0, pair).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>")) for p, pair in zip(parts, pairs, strict=True)]
-    ordered = F.array_sort(F.concat(*pairs))
+    def pairs(runs):
+        paired = F.transform(runs, lambda x, i: F.struct(x.alias("s"), F.get(runs, i + 1).alias("e")))
+        return F.filter(paired, lambda _, i: i % 2 == 0)
+
+    ordered = F.array_sort(F.concat(*[pairs(runs) for runs in parts]))
 
     def step(done, pair):
-        last = F.element_at(done, -1)
-        return (
-            F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) >= pair["s"]),
-                   F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.greatest(last, pair["e"]))))
-            .otherwise(F.concat(done, F.array(pair["s"], pair["e"])))
-        )
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.greatest(last, pair["e"])))
+        return F.when(last >= pair["s"], joined).otherwise(F.concat(done, F.array(pair["s"], pair["e"])))
 
     return F.aggregate(ordered, F.array().cast("array<bigint>"), step)
