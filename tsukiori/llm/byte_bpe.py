@@ -3,7 +3,7 @@
 A word's bytes are an array of pieces, written in hexadecimal. A fold over the
 array merges, each time, the leftmost of the adjacent pairs whose concatenation
 has the lowest rank, until no pair has one. The ranks are a literal: an array of
-small maps, of which a piece's checksum selects one. Decoding takes the pieces
+small maps, of which a piece's hash selects one. Decoding takes the pieces
 of the ids from a literal array and concatenates them.
 """
 
@@ -11,10 +11,9 @@ from __future__ import annotations
 
 import base64
 import json
-import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsukiori.scratch import stage
@@ -33,12 +32,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
+def _bucket(piece: Column, buckets: int) -> Column:
+    return F.pmod(F.hash(piece), F.lit(buckets))
+
+
+def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
     """The literal: an array of maps from pieces, in hexadecimal, to ranks."""
+    rows = [(piece.hex().upper(), rank) for piece, rank in ranks.items()]
+    placed = spark.createDataFrame(rows, "piece string, rank int").select("*", _bucket(F.col("piece"), BUCKETS).alias("at"))
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
+    for row in placed.toLocalIterator():
+        buckets[row["at"]][row["piece"]] = row["rank"]
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
 
 
@@ -50,38 +54,97 @@ def piece_array(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
 
 
-def _let(value: Column, use) -> Column:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with the value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def rank_of(piece: Column, ranks: Column) -> Column:
-    """The rank of a piece in hexadecimal; null if it has none."""
-    bucket = F.get(ranks, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int"))
-    return F.try_element_at(bucket, piece)
-
-
 def encode_word(word: Column, ranks: Column) -> Column:
     """The ids of one word, in hexadecimal: its own rank, or those of its merged pieces."""
-    singles = F.transform(F.sequence(F.lit(1), F.length(word), F.lit(2)), lambda i: F.substring(word, i, F.lit(2)))
 
-    def merge(pieces: Column, step: Column) -> Column:
-        pairs = F.transform(
-            F.sequence(F.lit(0), F.size(pieces) - 2),
-            lambda i: (rank_of(F.concat(pieces[i], pieces[i + 1]), ranks).cast("long") * (1 << 32)) + i,
-        )
+    def rank_of(piece: Column) -> Column:
+        return F.try_element_at(F.get(ranks, _bucket(piece, BUCKETS)), piece)
+
+    def merge(pieces: Column, _: Column) -> Column:
+        pairs = F.zip_with(
+            F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.slice(pieces, F.lit(2), F.size(pieces)),
+            lambda left, right: rank_of(F.concat(left, right)),
+        )
+
+        def at(place: Column) -> Column:
+            both = F.concat(F.element_at(pieces, place), F.element_at(pieces, place + 1))
+            return F.concat(F.slice(pieces, F.lit(1), place - 1), F.array(both), F.slice(pieces, place + 2, F.size(pieces)))
+
+        def lowest(found: Column) -> Column:
+            place = F.array_position(found, F.array_min(found)).cast("int")  # null where no pair has a rank
+            return F.coalesce(_let(place, lambda p: F.when(p > 0, at(p))), F.array_append(pieces, F.lit("")))
+
+        done = (F.size(pieces) < 2) | (F.element_at(pieces, -1) == "")  # an empty piece marks the end
+        return F.when(done, pieces).otherwise(_let(pairs, lowest))
+
+    def merged(own: Column) -> Column:
+        singles = F.transform(F.sequence(F.lit(1), F.length(own), F.lit(2)), lambda i: F.substring(own, i, F.lit(2)))
+        pieces = _let(singles, lambda parts: F.aggregate(parts, parts, merge))
+        return F.transform(F.filter(pieces, lambda p: p != ""), rank_of)
+
+    return _let(word, lambda own: F.coalesce(_let(rank_of(own), lambda r: F.when(r.isNotNull(), F.array(r))), merged(own)))
+
+
+def _hex(word: Column) -> Column:
+    return F.hex(F.encode(word, "UTF-8"))
+
+
+def _frequent(words: DataFrame, ranks: Column) -> DataFrame:
+    """One row: an array of maps from frequent words to their ids, by the words' hash."""
+    top = words.where(F.octet_length("word") <= FREQUENT_BYTES).groupBy("word").count()
+    top = top.orderBy(F.desc("count"), "word").limit(FREQUENT)
+    coded = stage(top.select("word", encode_word(_hex(F.col("word")), ranks).alias("ids")), "frequent-words")
+    held = coded.groupBy(_bucket(F.col("word"), BUCKETS).cast("long").alias("id")).agg(F.collect_list(F.struct("word", "ids")).alias("held"))
+    every = coded.sparkSession.range(BUCKETS).join(held, "id", "left").groupBy().agg(F.array_sort(F.collect_list(F.struct("id", "held"))).alias("rows"))
+    return every.select(F.transform("rows", lambda r: F.map_from_entries(F.coalesce(r["held"], F.array().cast("array<struct<word:string,ids:array<int>>>")))).alias("words"))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
+    """The kept columns of each document, and ``ids`` (array of int): its text in tokens.
+
+    Each match of ``pattern``, a regular expression, is a word and is encoded by
+    itself: by its rank, if it has one, else by merging its bytes as described
+    above. Every single byte must have a rank.
+
+    No document is shuffled. The most frequent words of about ``SAMPLE``
+    documents, ``FREQUENT`` of at most ``FREQUENT_BYTES`` bytes, are encoded
+    first and sent to all tasks, which look them up and encode all other words
+    where they find them; so the sample has a say in the time, not in the result.
+
+    Null and empty texts have no ids. Repeated documents each get their row.
+    Other columns are not looked at, and a kept one named ``ids`` is replaced. The time grows with the
+    square of the longest word.
+    """
+    keep = [name for name in dict.fromkeys(keep) if name.lower() != "ids"]
+    literal = rank_map(docs.sparkSession, ranks)
+    own = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    words = F.regexp_extract_all(own, F.lit(f"(?U){pattern}"), F.lit(0))
+    every = docs.count()
+    some = docs
+    if every > SAMPLE:
+        some = docs.where(F.xxhash64(own).bitwiseAND(F.lit((1 << 62) - 1)) < F.lit(int(SAMPLE / every * (1 << 62))))
+    frequent = _frequent(some.select(F.explode(words).alias("word")), literal)
+    split = docs.select(*[f"`{c}`" for c in keep], words.alias("__words"), frequent.scalar().alias("__frequent"))
+
+    def ids_of(word: Column) -> Column:
+        known = F.try_element_at(F.get("__frequent", _bucket(word, BUCKETS)), word)
+        return F.coalesce(known, encode_word(_hex(word), literal))
 
-        def at(i: Column) -> Column:
-            merged = F.array(F.concat(pieces[i], pieces[i + 1]))
-            return F.concat(F.slice(pieces, F.lit(1), i), merged, F.slice(pieces, i + 3, F.size(pieces)))
+    return split.select(*[f"`{c}`" for c in keep], F.flatten(F.transform("__words", ids_of)).alias("ids"))
 
-        def apply(best: Column) -> Column:
-            return F.when(best.isNull(), F.array_append(pieces, F.lit(""))).otherwise(at(best.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")))
 
-        done = (F.size(pieces) < 2) | (F.element_at(pieces, -1) == "")
-        return F.when(done, pieces).otherwise(_let(F.array_min(pairs), apply))
+def decode(tokens: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
+    """The kept columns, and ``decoded`` (binary): the pieces of the ids, concatenated.
 
-    merged = F.aggregate(F.sequence(F.lit(4), F.length(word), F.lit(2)), singles, merge)
-    whole = rank_of(word, ranks)
-    ids = F.transform(F.filter(merged, lambda p: p != ""), lambda p: rank_of(p, ranks))
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(ids)
+    Null ids give null; an id that no piece has adds nothing. A kept column
+    named ``decoded`` is replaced. No shuffle.
+    """
+    keep = [name for name in dict.fromkeys(keep) if name.lower() != "decoded"]
+    pieces = piece_array(ranks)
+    text = F.array_join(F.transform(F.col(f"`{ids}`"), lambda i: F.get(pieces, i)), "")
+    return tokens.select(*[f"`{c}`" for c in keep], F.unhex(text).alias("decoded"))

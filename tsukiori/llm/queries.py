@@ -6,13 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsukiori.llm import language_spans, line_windows, multi_index, simple8b, weak_pii, wordpiece, wu_manber
+from tsukiori.llm import byte_bpe, language_spans, line_windows, multi_index, simple8b, weak_pii, wordpiece, wu_manber
 from tsukiori.llm.registry import ORACLES, QUERIES, query, table
 from tsukiori.scratch import new_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_byte_bpe")
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's token ids, and the bytes they decode to."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    tokens = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.decode(tokens, ranks, keep=["doc_id", "ids"]).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op2_weak_pii")
 def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in each document."""
