@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsukiori.llm import byte_bpe, language_spans, line_windows, multi_index, simple8b, weak_pii, wordpiece, wu_manber
+from tsukiori.llm import byte_bpe, language_spans, line_windows, multi_index, parity_join, simple8b, weak_pii, wordpiece, wu_manber
 from tsukiori.llm.registry import ORACLES, QUERIES, query, table
 from tsukiori.scratch import new_path
 
@@ -107,6 +107,36 @@ def op6_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op7_parity_join", """
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, hash(array_to_string(w[p:p + 3], ' ')) AS s
+    FROM words, unnest(range(1, greatest(len(w) - 2, 2))) AS t(p) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+joint AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y USING (s)
+    WHERE x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (
+    SELECT a, b FROM joint JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+    WHERE 100 * k >= 85 * (p.n + q.n - k)),
+paths AS (
+    WITH RECURSIVE r(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM documents
+        UNION
+        SELECT r.doc_id, CASE WHEN l.a = r.other THEN l.b ELSE l.a END
+        FROM r JOIN links l ON l.a = r.other OR l.b = r.other)
+    SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN paths USING (doc_id)
+""")
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with a similarity of 0.85 or more by runs of four words."""
+    return parity_join.link_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 @query("op9_line_windows", """
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 windows AS (

@@ -116,7 +116,7 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 def random_words(seed: int, count: int) -> np.ndarray:
-    return mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    return mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed << 32))
 
 
 class Rolling:
