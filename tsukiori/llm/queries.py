@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsukiori.llm import byte_bpe, language_spans, line_windows, multi_index, parity_join, simple8b, weak_pii, wordpiece, wu_manber
+from tsukiori.llm import byte_bpe, language_spans, line_windows, multi_index, parity_join, simple8b, suffix_dedup, weak_pii, wordpiece, wu_manber
 from tsukiori.llm.registry import ORACLES, QUERIES, query, table
 from tsukiori.scratch import new_path
 
@@ -137,6 +137,16 @@ def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.link_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What strings of 200 bytes that occur more than once cover in each document."""
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", length.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 @query("op9_line_windows", """
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 windows AS (

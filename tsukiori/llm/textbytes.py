@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: Bytes of text worked on at a time, if a single text is not longer: bounds a task's memory.
 SLICE_BYTES = 2 << 20
 
-Work = Callable[[np.ndarray, np.ndarray], list[pa.Array]]
+Work = Callable[..., list[pa.Array]]
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,17 +47,18 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 
 def per_document(
-    docs: DataFrame, text: str, keep: Iterable[str], outputs: list[T.StructField], make: Callable[[], Work]
-) -> DataFrame:
+    docs: DataFrame, text: str, keep: Iterable[str], outputs: list[T.StructField], make: Callable[[], Work],
+    also: Iterable[str] = (),
+) -> DataFrame:
     """One row per document: the kept columns, then what the work says of its text.
 
-    ``make`` runs once in a task and gives the work, which gets bytes and
-    offsets and returns an array per output. A kept column with the name of an
+    ``make`` runs once in a task and gives the work, which gets bytes, offsets
+    and the columns named in ``also``, and returns an array per output. A kept column with the name of an
     output gives way to it.
     """
     names = {field.name.lower() for field in outputs}
     keep = [name for name in dict.fromkeys(keep) if name.lower() not in names]
-    source = docs.select(*[docs[f"`{name}`"].alias(f"k{i}") for i, name in enumerate(keep)], docs[f"`{text}`"].cast("string").alias("text"))
+    source = docs.select(*[docs[f"`{name}`"].alias(f"k{i}") for i, name in enumerate(keep)], docs[f"`{text}`"].cast("string").alias("text"), *[docs[f"`{name}`"].alias(f"a{i}") for i, name in enumerate(also)])
     fields = [T.StructField(name, docs.schema[name].dataType) for name in keep]
     schema = T.StructType([*fields, *outputs])
     labels = [field.name for field in schema]
@@ -69,7 +70,7 @@ def per_document(
             texts = batch.column(count)
             for start, stop in slices(texts):
                 part = batch.slice(start, stop - start)
-                made = work(*utf8(part.column(count)))
+                made = work(*utf8(part.column(count)), *part.columns[count + 1 :])
                 yield pa.RecordBatch.from_arrays([*part.columns[:count], *made], names=labels)
 
     return source.mapInArrow(run, schema)
