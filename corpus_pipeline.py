@@ -1,29 +1,65 @@
 """From raw documents to token ids: five stages, each written before the next reads it.
 
-STAGES lists them; each takes (spark, docs, sf_dir) and returns a frame.
+STAGES lists them; each takes (spark, docs, sf_dir) and returns a frame. All but
+the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsukiori.llm import line_windows, wu_manber
+from tsukiori.llm import byte_bpe, language_spans, line_windows, parity_join, wu_manber
 from tsukiori.scratch import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Least share of a text that must be in its main language.
+MAIN_LANGUAGE = 0.5
+#: Words of a shingle, and the similarity in hundredths from which texts are near duplicates.
+SHINGLE, SIMILAR = 5, 80
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language, which fills in a null ``lang``.
+
+    Rejected are texts that are null or have no letter, and those of which no
+    language has ``MAIN_LANGUAGE``. The model learns from the labelled documents;
+    if there are none, no text with letters is rejected.
+    """
+    model = language_spans.train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = language_spans.label_spans(docs, model, keep=COLUMNS)
+    kept = found.where((F.col("lang_pred") != language_spans.UNKNOWN) & (F.col("score") >= MAIN_LANGUAGE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of windows that occur earlier."""
+    """Documents without the lines of windows that occur earlier; ``n_chars`` counts what is left.
+
+    A document that loses lines goes if nothing but white space is left.
+    """
     left = line_windows.dedup_lines(docs)
+    left = left.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of least id.
+
+    Documents without an id or without words are in no group and stay. Rows of
+    one id are one document and stay or go together.
+    """
+    groups = parity_join.link_groups(docs, size=SHINGLE, percent=SIMILAR)
+    others = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents no word of which lies in a passage of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -31,9 +67,21 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.where(~F.col("contaminated")).select(*COLUMNS)
 
 
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the hash of the bytes they decode to."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    tokens = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return byte_bpe.decode(tokens, ranks, keep=["doc_id", "ids"]).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language ID", identify_language),
     ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_documents),
     ("benchmark decontamination", decontaminate),
+    ("byte-level BPE encoding and decoding", tokenize),
 ]
 
 #: Rows of run() in SQL; none, because language ID and tokenization have no SQL.
