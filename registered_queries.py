@@ -6,6 +6,7 @@ derived from the tables by Spark, on all of their rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,12 +30,13 @@ from tsukiori.functions.dates import (
 )
 from tsukiori.functions.identifiers import management_id
 from tsukiori.functions.metadata import parse_metadata
+from tsukiori.functions import naming
 from tsukiori.functions.naming import english_name_of
 from tsukiori.operators import aggregate, geocode, lookup, quality, shape
 from tsukiori.plans.access_points import access_point_list
 from tsukiori.plans.connections import connection_log
 from tsukiori.plans import recordings as recording_plan
-from tsukiori.scratch import new_path
+from tsukiori.scratch import at_clean, new_path
 from tsukiori.sinks import writers
 from tsukiori.sources import readers
 
@@ -43,7 +45,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MONTH = "202401"
+MONTH = "202402"
 ORDER_MONTH = "199803"
 NO_BROADCAST = lookup.BroadcastLimit(rows=0, bytes=0)
 
@@ -84,14 +86,23 @@ _PAIRS = ", ".join(f"substr(md5(cast(event_id as varchar)), {i}, 2)" for i in ra
 MAC_SQL = f"""CASE event_id % 3 WHEN 0 THEN concat_ws(':', {_PAIRS})
     WHEN 1 THEN upper(concat_ws('-', {_PAIRS}))
     ELSE substr(md5(cast(event_id as varchar)), 1, 12) END"""
-MANAGEMENT_ID_SQL = """CASE WHEN regexp_matches(apid, '([0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}')
+MANAGEMENT_ID_SQL = f"""CASE WHEN regexp_matches(apid, '{names.MAC_PATTERN}')
     THEN regexp_replace(apid, '[-:]', '', 'g') ELSE apid END"""
 
 
+def events_of_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, two thirds of them one or two months later."""
+    later = F.expr("ts + make_ym_interval(0, CAST(event_id % 3 AS INT))")
+    return table(spark, sf_dir, "events").withColumn("ts", later)
+
+
+EVENTS_SQL = """(SELECT * REPLACE (CAST(ts AS TIMESTAMP) + to_months(CAST(event_id % 3 AS INTEGER)) AS ts)
+    FROM events) AS events"""
+
+
 def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as connections; errors have no device id, some times do not parse."""
-    events = table(spark, sf_dir, "events")
-    return events.select(
+    return events_of_months(spark, sf_dir).select(
         F.when(F.col("event_type") != "error", mac_text(F.col("event_id"))).alias("apid"),
         F.when(F.col("user_id") % 10 == 7, F.date_format("ts", "yyyy/MM/dd"))
         .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
@@ -109,7 +120,7 @@ CONNECTIONS_SQL = f"""connections AS (
       ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS start_time,
     'NATION_' || (user_id % 30) AS user_attr, event_type AS device_attr,
     'P' || (user_id % 5) AS provider, strftime(ts, '%Y%m') AS yearmonth
-  FROM events)"""
+  FROM {EVENTS_SQL})"""
 
 
 def user_master(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +152,8 @@ DEVICE_MASTER_SQL = """device_master(operator_device_attr, common_device_attr) A
 CONNECTION_LOG_SQL = f"""connection_log AS (
   SELECT {MANAGEMENT_ID_SQL} AS mgmt_id, apid,
     CASE WHEN ts IS NOT NULL THEN start_time END AS start_time,
-    coalesce(common_user_attr, 'その他') AS user_attr,
-    coalesce(common_device_attr, 'その他') AS device_attr,
+    coalesce(common_user_attr, '{names.OTHER}') AS user_attr,
+    coalesce(common_device_attr, '{names.OTHER}') AS device_attr,
     CAST(year(ts) * 100 + month(ts) AS INTEGER) AS year_month,
     CAST(day(ts) AS INTEGER) AS day, provider
   FROM (SELECT *, try_strptime(start_time, '%Y-%m-%d %H:%M:%S') AS ts FROM connections
@@ -212,7 +223,7 @@ PLACES_SQL = """places AS (
 def access_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as access points at the address of their user."""
     customer = table(spark, sf_dir, "customer")
-    events = table(spark, sf_dir, "events").join(
+    events = events_of_months(spark, sf_dir).join(
         customer, F.col("user_id") == F.col("c_custkey"), "left"
     )
     kind = F.col("event_type")
@@ -255,13 +266,13 @@ ACCESS_POINT_ROWS_SQL = f"""access_points AS (
     a.prefecture, a.city, a.address, json_extract_string(props, '$.k') AS additional_info,
     CASE WHEN event_type NOT IN ('click', 'view') THEN value ELSE p.latitude END AS latitude,
     CASE WHEN event_type NOT IN ('click', 'view') THEN value / 2 ELSE p.longitude END AS longitude,
-    coalesce(common_status, 'その他') AS status,
+    coalesce(common_status, '{names.OTHER}') AS status,
     CASE event_type WHEN 'purchase' THEN strftime(ts, '%Y-%m-%dT%H:%M:00')
       ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS start_time,
     CAST(NULL AS VARCHAR) AS end_time, 'c' AS category, 'o' AS owner_attr,
     'f' AS facility_attr, CAST(NULL AS VARCHAR) AS station_attr,
     CAST(strftime(ts, '%Y%m') AS INTEGER) AS year_month, 'P' || (user_id % 5) AS provider
-  FROM events LEFT JOIN addresses a ON user_id = c_custkey
+  FROM {EVENTS_SQL} LEFT JOIN addresses a ON user_id = c_custkey
   LEFT JOIN places p ON a.prefecture = p.prefecture AND a.city = p.city AND a.address = p.address
   LEFT JOIN status_master ON event_type = operator_status
   WHERE strftime(ts, '%Y%m') = '{MONTH}')"""
@@ -313,6 +324,39 @@ def orders_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(*[F.col(c).cast("string").alias(c) for c in orders.columns])
 
 
+def orders_with_texts(spark: SparkSession, sf_dir: str, breaks: bool = False) -> DataFrame:
+    """Orders whose priorities hold quotes, commas, backslashes, blanks, and line breaks if asked."""
+    kind, text = F.col("o_orderkey") % 6, F.col("o_orderpriority")
+    tricky = (
+        F.when(kind == 1, F.concat(F.lit('say "hi", '), text))
+        .when(kind == 2, F.concat(F.lit("\\"), text, F.lit("\\")))
+        .when(kind == 3, F.concat(F.lit("  "), text, F.lit(" ")))
+        .when(kind == 4, F.concat(F.lit('"'), text, F.lit('"')))
+        .when(kind == 5, F.concat(text, F.lit("\n" if breaks else ","), text))
+        .otherwise(text)
+    )
+    return orders_by_month(spark, sf_dir).withColumn("o_orderpriority", tricky)
+
+
+def _texts_sql(breaks: bool = False) -> str:
+    between = "chr(10)" if breaks else "','"
+    return f"""WITH {ORDERS_SQL}, texts AS (SELECT * REPLACE (CASE o_orderkey % 6
+      WHEN 1 THEN 'say "hi", ' || o_orderpriority WHEN 2 THEN '\\' || o_orderpriority || '\\'
+      WHEN 3 THEN '  ' || o_orderpriority || ' ' WHEN 4 THEN '"' || o_orderpriority || '"'
+      WHEN 5 THEN o_orderpriority || {between} || o_orderpriority
+      ELSE o_orderpriority END AS o_orderpriority) FROM orders_by_month)
+      SELECT * FROM texts"""
+
+
+TEXTS_SQL, BROKEN_TEXTS_SQL = _texts_sql(), _texts_sql(breaks=True)
+MONTH_TEXTS_SQL = f"{TEXTS_SQL} WHERE yearmonth = '{ORDER_MONTH}'"
+
+
+def published(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Orders as the library reads what it publishes."""
+    return readers.read_csv_table(spark, path, ORDER_SCHEMA, known={}, multi_line=multi_line)
+
+
 # ---------------------------------------------------------------------------
 # Projections, filters, cleaning
 
@@ -346,12 +390,12 @@ def select_columns(spark, sf_dir):
     return shape.select_columns(orders, ["o_totalprice", "o_custkey", "o_orderkey"])
 
 
-@query("""SELECT o_orderkey, coalesce(c_mktsegment, 'その他') AS segment
+@query(f"""SELECT o_orderkey, coalesce(c_mktsegment, '{names.OTHER}') AS segment
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
 def sql_transform(spark, sf_dir):
     return shape.sql_transform(
         spark,
-        """SELECT o.o_orderkey, coalesce(c.c_mktsegment, 'その他') AS segment
+        f"""SELECT o.o_orderkey, coalesce(c.c_mktsegment, '{names.OTHER}') AS segment
            FROM o LEFT OUTER JOIN c ON o.o_custkey = c.c_custkey""",
         {"o": table(spark, sf_dir, "orders"), "c": table(spark, sf_dir, "customer")},
     )
@@ -405,9 +449,12 @@ def drop_columns(spark, sf_dir):
     return shape.drop_columns(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderpriority"])
 
 
-@query()
+@query("SELECT least(10, count(*)) AS n FROM orders")
 def preview(spark, sf_dir):
-    return shape.preview(table(spark, sf_dir, "orders"))
+    """As many rows as asked for, all of them rows of the table."""
+    orders = table(spark, sf_dir, "orders")
+    seen = shape.preview(orders, 10).join(orders, orders.columns, "left_semi")
+    return seen.agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------------------
@@ -459,8 +506,8 @@ def parsed_metadata(spark, sf_dir):
     WHEN 2 THEN '顧客' || c_name ELSE '設置場所名称' END AS header FROM customer)
   SELECT c_custkey, CASE WHEN header = '設置場所名称' THEN 'location'
     WHEN header LIKE '顧客%' THEN 'column_' || substr(md5(header), 1, 4)
-    ELSE translate(lower(header), ' -', '__') END AS english FROM headers""")
-def translate_columns(spark, sf_dir):
+    ELSE translate(lower(header), ' -', '__') END AS english FROM headers""", name="english_names")
+def translated_names(spark, sf_dir):
     key = F.col("c_custkey") % 4
     header = (
         F.when(key == 0, F.col("c_name"))
@@ -473,11 +520,25 @@ def translate_columns(spark, sf_dir):
     )
 
 
+_HASHED = f"column_{hashlib.md5('顧客番号'.encode()).hexdigest()[:4]}"
+
+
+@query(f"""SELECT c_custkey AS {_HASHED}, c_name AS location, c_nationkey AS nation_key,
+  c_acctbal AS balance_total, c_mktsegment FROM customer""")
+def translate_columns(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"
+    )
+    return naming.translate_columns(
+        customer.toDF("顧客番号", "設置場所名称", "Nation Key", "Balance-Total", "c_mktsegment")
+    )
+
+
 # ---------------------------------------------------------------------------
 # Joins
 
 
-@query(f"""WITH {USER_MASTER_SQL} SELECT event_id, coalesce(common_user_attr, 'その他') AS code
+@query(f"""WITH {USER_MASTER_SQL} SELECT event_id, coalesce(common_user_attr, '{names.OTHER}') AS code
   FROM events LEFT JOIN user_master ON 'NATION_' || (user_id % 30) = operator_user_attr""")
 def lookup_code(spark, sf_dir):
     coded = table(spark, sf_dir, "events").select(
@@ -488,7 +549,7 @@ def lookup_code(spark, sf_dir):
     return lookup.lookup_code(coded, "code", master, "operator_user_attr", "common_user_attr")
 
 
-@query(f"""WITH {STATUS_MASTER_SQL} SELECT event_id, coalesce(common_status, 'その他') AS status
+@query(f"""WITH {STATUS_MASTER_SQL} SELECT event_id, coalesce(common_status, '{names.OTHER}') AS status
   FROM events LEFT JOIN status_master ON event_type = operator_status""")
 def unify_status(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("status"))
@@ -496,7 +557,7 @@ def unify_status(spark, sf_dir):
 
 
 @query(f"""WITH {CONNECTIONS_SQL}, {USER_MASTER_SQL} SELECT start_time, device_attr, provider,
-  coalesce(common_user_attr, 'その他') AS user_attr
+  coalesce(common_user_attr, '{names.OTHER}') AS user_attr
   FROM connections LEFT JOIN user_master ON user_attr = operator_user_attr""")
 def unify_user_attr(spark, sf_dir):
     rows = connections(spark, sf_dir).drop("apid", "yearmonth")
@@ -504,7 +565,7 @@ def unify_user_attr(spark, sf_dir):
 
 
 @query(f"""WITH {CONNECTIONS_SQL}, {DEVICE_MASTER_SQL} SELECT start_time, user_attr, provider,
-  coalesce(common_device_attr, 'その他') AS device_attr
+  coalesce(common_device_attr, '{names.OTHER}') AS device_attr
   FROM connections LEFT JOIN device_master ON device_attr = operator_device_attr""")
 def unify_device_attr(spark, sf_dir):
     rows = connections(spark, sf_dir).drop("apid", "yearmonth")
@@ -535,6 +596,62 @@ def left_lookup_large(spark, sf_dir):
     return joined.drop("event_type")
 
 
+@query("""SELECT event_id, user_id, CASE WHEN rare THEN c_name END AS c_name FROM
+  (SELECT *, event_type = 'error' AND user_id % 4 = 0 AS rare FROM events)
+  LEFT JOIN customer ON user_id = c_custkey""")
+def left_lookup_reduced(spark, sf_dir):
+    """The plan for a large lookup of which few keys occur."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    joined = lookup.left_lookup(
+        events, customers, ["user_id"],
+        needed=(F.col("event_type") == "error") & (F.col("user_id") % 4 == 0),
+        limit=lookup.BroadcastLimit(rows=customers.count() - 1),
+    )
+    return joined.drop("event_type")
+
+
+@query("""SELECT o.o_orderkey, o.o_custkey, p.o_orderpriority FROM orders o
+  LEFT JOIN orders p ON o.o_orderkey = p.o_orderkey AND p.o_orderkey % 7 <> 0""")
+def left_lookup_shuffled(spark, sf_dir):
+    """The plan for a large lookup and keys of which none is frequent."""
+    orders = table(spark, sf_dir, "orders")
+    priorities = orders.filter("o_orderkey % 7 <> 0").select("o_orderkey", "o_orderpriority")
+    return lookup.left_lookup(
+        orders.select("o_orderkey", "o_custkey"), priorities, ["o_orderkey"], limit=NO_BROADCAST
+    )
+
+
+_SKEWED_SQL = """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 10 <> 1 THEN user_id END
+  AS user_id FROM events"""
+
+
+def _skewed(spark, sf_dir):
+    """Events of which a third has one user, and some have none."""
+    user = F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 10 != 1, F.col("user_id"))
+    return table(spark, sf_dir, "events").select("event_id", user.cast("bigint").alias("user_id"))
+
+
+@query(f"""SELECT event_id, user_id, c_name FROM ({_SKEWED_SQL}) LEFT JOIN customer ON user_id = c_custkey""")
+def left_lookup_split(spark, sf_dir):
+    """The plan for a large lookup and a frequent key."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return lookup.left_lookup(_skewed(spark, sf_dir), customers, ["user_id"], limit=NO_BROADCAST)
+
+
+@query(f"""SELECT event_id, user_id, c_name || k AS c_name FROM ({_SKEWED_SQL}) LEFT JOIN
+  (SELECT c_custkey, c_name, k FROM customer, (VALUES (''), ('+'), ('-')) AS v(k)) ON user_id = c_custkey""")
+def left_lookup_duplicates(spark, sf_dir):
+    """The same where each key has three rows in the lookup."""
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("user_id"),
+        F.explode(F.array(*[F.concat("c_name", F.lit(k)) for k in ("", "+", "-")])).alias("c_name"),
+    )
+    return lookup.left_lookup(
+        _skewed(spark, sf_dir), customers, ["user_id"], allow_duplicates=True, limit=NO_BROADCAST
+    )
+
+
 def _places_to_fill(spark, sf_dir):
     points = access_points(spark, sf_dir)
     return points.select("ap_name", *geocode.ADDRESS, "latitude", "longitude")
@@ -585,9 +702,13 @@ def unresolved_addresses(spark, sf_dir):
 def extend_gazetteer(spark, sf_dir):
     known = gazetteer(spark, sf_dir)
     unresolved = geocode.unresolved_addresses(_places_to_fill(spark, sf_dir), known)
-    return geocode.extend_gazetteer(
-        known, unresolved, lambda prefecture, city, address: (float(len(prefecture)), float(len(city)))
-    )
+
+    def resolve(addresses):
+        return addresses.assign(
+            latitude=addresses["prefecture"].str.len().astype(float), longitude=addresses["city"].str.len().astype(float)
+        )
+
+    return geocode.extend_gazetteer(known, unresolved, resolve, tasks=2)
 
 
 # ---------------------------------------------------------------------------
@@ -706,14 +827,24 @@ def read_csv_table(spark, sf_dir):
     return readers.read_csv_table(spark, path, schemas.CONNECTION)
 
 
-@query(ALL_ORDERS_SQL)
+@query(BROKEN_TEXTS_SQL)
+def read_csv_lines(spark, sf_dir):
+    """Cells with quotes, separators, blanks and line breaks come back as they were."""
+    path = new_path(spark, "orders-lines")
+    writers.write_csv(orders_with_texts(spark, sf_dir, breaks=True), path)
+    return published(spark, path, multi_line=True)
+
+
+@query(TEXTS_SQL)
 def read_csv_options(spark, sf_dir):
     path = new_path(spark, "orders-semicolon")
-    orders = orders_by_month(spark, sf_dir)
+    orders = orders_with_texts(spark, sf_dir)
     by_status = orders.withColumn("folder", F.col("o_orderstatus"))
-    by_status.write.partitionBy("folder").options(header=True, sep=";", quote="'").csv(path)
+    by_status.write.partitionBy("folder").options(
+        header=True, sep=";", quote="'", escape="'", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
     return readers.read_csv_table(
-        spark, path, ORDER_SCHEMA, known={}, sep=";", quote="'", recurse=True
+        spark, path, ORDER_SCHEMA, known={}, sep=";", quote="'", escape="'", recurse=True
     )
 
 
@@ -740,6 +871,7 @@ def read_catalog_table(spark, sf_dir):
     types = {f.name: f.dataType.simpleString() for f in ORDER_SCHEMA.fields}
     name = path.rsplit("/", 1)[1].replace("-", "_")
     register_external_table(spark, "default", name, types, path)
+    at_clean(lambda: spark.sql(f"DROP TABLE IF EXISTS `default`.`{name}`"))
     return readers.read_catalog_table(spark, "default", name)
 
 
@@ -788,46 +920,71 @@ def replace_all(spark, sf_dir):
     return spark.read.schema(ORDER_SCHEMA).parquet(path)
 
 
-@query(ONE_MONTH_SQL)
+def _month_with_texts(spark, sf_dir, month=ORDER_MONTH):
+    return shape.filter_month(orders_with_texts(spark, sf_dir), month)
+
+
+@query(MONTH_TEXTS_SQL)
 def write_month_csv(spark, sf_dir):
-    month = shape.filter_month(orders_by_month(spark, sf_dir), ORDER_MONTH)
-    path = writers.write_month_csv(month, new_path(spark, "orders-list"), ORDER_MONTH)
-    return spark.read.schema(ORDER_SCHEMA).option("header", True).csv(path)
+    root = new_path(spark, "orders-list")
+    return published(spark, writers.write_month_csv(_month_with_texts(spark, sf_dir), root, ORDER_MONTH))
 
 
-@query(ALL_ORDERS_SQL)
+@query(MONTH_TEXTS_SQL)
+def write_month_csv_single(spark, sf_dir):
+    """The same as one file."""
+    root = new_path(spark, "orders-list")
+    path = writers.write_month_csv(_month_with_texts(spark, sf_dir), root, ORDER_MONTH, single_file=True)
+    return published(spark, path)
+
+
+@query(MONTH_TEXTS_SQL)
+def replace_all_lists(spark, sf_dir):
+    """With ``replace_all`` the lists of other months are gone."""
+    root = new_path(spark, "orders-lists")
+    writers.write_month_csv(_month_with_texts(spark, sf_dir, "199802"), root, "199802")
+    writers.write_month_csv(_month_with_texts(spark, sf_dir), root, ORDER_MONTH, replace_all=True)
+    return published(spark, f"{root}/{names.LIST_DIR}/*")
+
+
+@query(TEXTS_SQL)
 def write_csv_directory(spark, sf_dir):
-    """Beyond the single-file limit the path becomes a directory of files."""
     path = new_path(spark, "orders-directory") + "/orders.csv"
-    writers.write_csv(orders_by_month(spark, sf_dir), path, single_file_rows=0)
-    return spark.read.schema(ORDER_SCHEMA).option("header", True).csv(path)
+    writers.write_csv(orders_with_texts(spark, sf_dir), path)
+    return published(spark, path)
 
 
-@query(ONE_MONTH_SQL)
+@query(MONTH_TEXTS_SQL)
 def write_backup_csv(spark, sf_dir):
     """Of two backups the later one is kept."""
     root = new_path(spark, "orders-backup")
-    orders = orders_by_month(spark, sf_dir)
     for month in ("199802", ORDER_MONTH):
-        writers.write_backup_csv(shape.filter_month(orders, month), root, month, keep=1)
-    return (
-        spark.read.schema(ORDER_SCHEMA).option("header", True).csv(f"{root}/{names.BACKUP_DIR}")
-    )
+        writers.write_backup_csv(_month_with_texts(spark, sf_dir, month), root, month, keep=1)
+    return published(spark, f"{root}/{names.BACKUP_DIR}/*")
+
+
+@query(MONTH_TEXTS_SQL)
+def write_backup_csv_late(spark, sf_dir):
+    """A backup of an earlier month, written last, is kept."""
+    root = new_path(spark, "orders-backup")
+    for month in ("199804", ORDER_MONTH):
+        writers.write_backup_csv(_month_with_texts(spark, sf_dir, month), root, month, keep=1, single_file=True)
+    return published(spark, f"{root}/{names.BACKUP_DIR}")
 
 
 @query(ONE_MONTH_SQL)
 def write_connection_csv(spark, sf_dir):
     root = new_path(spark, "orders-connection")
     month = shape.filter_month(orders_by_month(spark, sf_dir), ORDER_MONTH)
-    writers.write_connection_csv(month.drop("yearmonth"), root, ORDER_MONTH)
+    writers.write_connection_csv(month.drop("yearmonth"), root, ORDER_MONTH, single_file=True)
     return spark.read.schema(ORDER_SCHEMA).option("header", True).csv(root)
 
 
-@query(ALL_ORDERS_SQL)
+@query(TEXTS_SQL)
 def write_csv_quoted(spark, sf_dir):
     path = new_path(spark, "orders-quoted")
-    writers.write_csv_quoted(orders_by_month(spark, sf_dir), path)
-    return spark.read.schema(ORDER_SCHEMA).option("header", True).csv(path)
+    writers.write_csv_quoted(orders_with_texts(spark, sf_dir), path)
+    return published(spark, path)
 
 
 @query("""SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total
@@ -847,19 +1004,47 @@ def sql_to_csv(spark, sf_dir):
 # Catalog
 
 
-@query(f"""WITH {ORDERS_SQL} SELECT o_orderkey::INTEGER AS o_orderkey,
-  o_custkey::INTEGER AS o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
-  yearmonth::INTEGER AS yearmonth FROM orders_by_month""", name="register_external_table")
+_CRAWLED_ORDERS_SQL = f"""SELECT * REPLACE (o_orderkey::INTEGER AS o_orderkey,
+  o_custkey::INTEGER AS o_custkey, yearmonth::INTEGER AS yearmonth) FROM ({BROKEN_TEXTS_SQL})"""
+
+
+@query(_CRAWLED_ORDERS_SQL, name="register_external_table")
 def crawled_rows(spark, sf_dir):
     """A crawled and registered table has the types found and all rows."""
     folder = new_path(spark, "crawl")
-    writers.write_csv(orders_by_month(spark, sf_dir), f"{folder}/in/crawled_orders.csv")
-    found = crawl_table(spark, f"{folder}/in/crawled_orders.csv", "crawled_orders", f"{folder}/out")
+    writers.write_csv(orders_with_texts(spark, sf_dir, breaks=True), f"{folder}/in/crawled_orders.csv")
+    found = crawl_table(
+        spark, f"{folder}/in/crawled_orders.csv", "crawled_orders", f"{folder}/out", multi_line=True
+    )
     name = folder.rsplit("/", 1)[1].replace("-", "_")
-    register_external_table(spark, "default", name, found.types, found.location)
+    register_external_table(spark, "default", name, found.types, found.location, multi_line=True)
+    at_clean(lambda: spark.sql(f"DROP TABLE IF EXISTS `default`.`{name}`"))
     return readers.read_catalog_table(spark, "default", name)
 
 
+def _new_database(spark, folder):
+    database = "crawl_" + folder.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE `{database}` LOCATION '{folder}/database'")
+    at_clean(lambda: spark.sql(f"DROP DATABASE IF EXISTS `{database}` CASCADE"))
+    return database
+
+
+@query("""SELECT c_acctbal AS balance, c_custkey::INTEGER AS id, c_name AS name, c_mktsegment AS segment
+  FROM customer""")
+def crawl_again(spark, sf_dir):
+    """A second crawl finds other columns in another order, and the table has them."""
+    folder = new_path(spark, "crawl")
+    database = _new_database(spark, folder)
+    customer = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"),
+    )
+    for columns in (["id", "name", "balance"], ["balance", "id", "segment", "name"]):
+        writers.write_csv(customer.select(*columns), f"{folder}/in/crawled.csv")
+        crawl_directory(spark, f"{folder}/in", database, f"{folder}/out", replace=True)
+    return readers.read_catalog_table(spark, database, "crawled")
+
+
 _CRAWLED_SQL = """SELECT 'crawled_customer' AS "table", e AS english, o AS original, t AS type, n
   FROM (VALUES ('column_' || substr(md5('顧客番号'), 1, 4), '顧客番号', 'INT'),
     ('c_name', 'c_name', 'STRING'), ('prefecture', '都道府県', 'INT'),
@@ -874,13 +1059,12 @@ _CRAWLED_SQL = """SELECT 'crawled_customer' AS "table", e AS english, o AS origi
 def crawled_catalog(spark, sf_dir):
     """Names and types of a crawled directory, with the rows of each landed table."""
     folder = new_path(spark, "crawl")
-    database = "crawl_" + folder.rsplit("-", 1)[1]
+    database = _new_database(spark, folder)
     customer = table(spark, sf_dir, "customer").toDF(
         "顧客番号", "c_name", "都道府県", "Balance-Total", "カテゴリ"
     )
     writers.write_csv(customer, f"{folder}/in/crawled_customer.csv")
     writers.write_csv(table(spark, sf_dir, "supplier"), f"{folder}/in/crawled_supplier.csv")
-    spark.sql(f"CREATE DATABASE `{database}` LOCATION '{folder}/database'")
     found = crawl_directory(spark, f"{folder}/in", database, f"{folder}/out")
     parts = []
     for t in found:
@@ -982,6 +1166,21 @@ def run_connection_log(spark, sf_dir):
     return readers.read_month_parquet(spark, output, MONTH)
 
 
+@query(f"""WITH {CONNECTIONS_SQL} SELECT yearmonth AS row_month, 'apid' AS reasons,
+  CAST(json_object('apid', apid, 'start_time', start_time, 'user_attr', user_attr,
+    'device_attr', device_attr, 'provider', provider, 'yearmonth', yearmonth) AS VARCHAR) AS "row"
+  FROM connections WHERE apid IS NULL AND yearmonth IN ('202401', '202402')""")
+def run_connection_rejects(spark, sf_dir):
+    """The rejects of two runs over one input, each once."""
+    output = new_path(spark, "run-rejects")
+    for month in ("202401", "202402"):
+        jobs.run_connection_log(
+            spark, connections(spark, sf_dir), user_master(spark, sf_dir), device_master(spark), output, month
+        )
+    entries = spark.read.parquet(f"{output}_rejects/rejects")
+    return entries.select("row_month", F.array_join(quality.REASONS, ",").alias("reasons"), "row")
+
+
 @query(f"""{_POINTS_SQL}, published AS ({_POINT_COLUMNS_SQL} WHERE {GOOD_POINT_SQL})
   SELECT *, '{MONTH}' AS yearmonth FROM ({_labelled(names.ACCESS_POINT_HEADERS, 'published')})""")
 def run_access_point_list(spark, sf_dir):

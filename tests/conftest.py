@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from tsukiori import scratch  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -24,4 +26,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    scratch.clean(session)
+    left = [p for p in (base / "scratch").rglob("*") if p.is_file() and not p.name.endswith(".crc")]
+    assert not left, left
     session.stop()

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tsukiori.errors import MonthError
+from tsukiori.errors import MonthError, NameCollisionError
 from tsukiori.operators import aggregate, shape
 
 
@@ -81,3 +81,16 @@ def test_sum_by_skips_null_values_and_keeps_null_keys(spark):
 def test_relabel_orders_and_renames(spark):
     df = spark.range(1).select(F.lit(1).alias("a"), F.lit(2).alias("b"), F.lit(3).alias("c"))
     assert shape.relabel(df, {"b": "乙", "a": "甲"}).columns == ["乙", "甲"]
+
+
+@pytest.mark.parametrize(
+    "mappings",
+    [
+        [("a", "string", "b", "string")],  # beside the unlisted b
+        [("a", "string", "x", "string"), ("A", "string", "y", "string")],
+        [("a", "string", "x", "string"), ("b", "string", "X", "string")],
+    ],
+)
+def test_mappings_may_not_hide_columns(spark, mappings):
+    with pytest.raises(NameCollisionError):
+        shape.apply_mapping(spark.createDataFrame([("1", "2")], "a string, b string"), mappings)

@@ -10,9 +10,9 @@ def test_known_table_has_declared_types(spark, tmp_path):
     path = fixtures.write_csv(tmp_path / "ap.csv", fixtures.AP_HEADER, fixtures.AP_ROWS)
     df = readers.read_csv_table(spark, path, schemas.ACCESS_POINT)
     assert df.dtypes == [(f.name, f.dataType.simpleString()) for f in schemas.ACCESS_POINT.fields]
-    first = df.filter("apid = '00:11:22:33:44:55'").first()
+    first = df.filter("apid = '02:4f:9a:10:c3:7e'").first()
     assert (first["latitude"], first["start_time"], first["yearmonth"]) == (
-        35.689634, "2025/01/01 09:00", "202501",
+        36.238654, "2024/03/04 08:15", "202403",
     )
 
 
@@ -71,7 +71,7 @@ def test_unquoted_master(spark, tmp_path):
     )
     df = readers.read_csv_table(spark, path, schemas.USER_MASTER, names.USER_MASTER_NAMES)
     assert df.columns == ["operator_user_attr", "common_user_attr", "label_ja"]
-    assert df.count() == 4
+    assert df.count() == len(fixtures.USER_ROWS)
 
 
 def test_headerless_csv(spark, tmp_path):
@@ -82,22 +82,22 @@ def test_headerless_csv(spark, tmp_path):
 
 
 def test_partition_column_of_csv_directories_is_text(spark, tmp_path):
-    for month in ("202501", "202502"):
+    for month in ("202403", "202404"):
         fixtures.write_csv(tmp_path / "t" / f"yearmonth={month}" / "x.csv", ["a"], [[month]])
     df = readers.read_csv_text(spark, str(tmp_path / "t"))
     assert df.dtypes == [("a", "string"), ("yearmonth", "string")]
-    assert {tuple(r) for r in df.collect()} == {("202501", "202501"), ("202502", "202502")}
+    assert {tuple(r) for r in df.collect()} == {("202403", "202403"), ("202404", "202404")}
 
 
 def test_month_of_parquet_lists_one_directory(spark, tmp_path):
     root = str(tmp_path / "p")
-    spark.createDataFrame([(1, "202501"), (2, "202502")], "v int, yearmonth string").write.partitionBy(
+    spark.createDataFrame([(1, "202403"), (2, "202404")], "v int, yearmonth string").write.partitionBy(
         "yearmonth"
     ).parquet(root)
-    month = readers.read_month_parquet(spark, root, "202502")
-    assert [tuple(r) for r in month.collect()] == [(2, "202502")]
+    month = readers.read_month_parquet(spark, root, "202404")
+    assert [tuple(r) for r in month.collect()] == [(2, "202404")]
     assert month.dtypes[-1] == ("yearmonth", "string")
-    assert all("yearmonth=202502" in f for f in month.inputFiles())
+    assert all("yearmonth=202404" in f for f in month.inputFiles())
 
 
 def test_first_available(spark, tmp_path):
@@ -111,3 +111,21 @@ def test_first_available(spark, tmp_path):
 def test_rows_to_df(spark):
     df = readers.rows_to_df(spark, [["a", "b"]], schemas.STATUS_MASTER)
     assert df.first().asDict() == {"operator_status": "a", "common_status": "b"}
+
+
+def test_a_location_that_does_not_load_is_passed_over(spark, tmp_path):
+    other = fixtures.write_csv(tmp_path / "other.csv", ["x"], [["1"]])
+    good = fixtures.write_csv(tmp_path / "good.csv", fixtures.STATUS_HEADER, fixtures.STATUS_ROWS)
+
+    def read(session, path):
+        return readers.read_csv_table(session, path, schemas.STATUS_MASTER, names.STATUS_MASTER_NAMES)
+
+    assert readers.read_first_available(spark, [other, good], read).count() == len(fixtures.STATUS_ROWS)
+    with pytest.raises(SourceNotFoundError, match="missing columns"):
+        readers.read_first_available(spark, [other], read)
+
+
+def test_cells_as_a_csv_library_writes_them(spark, tmp_path):
+    rows = [['say "hi", you', "1"], ["back\\slash", "2"], [" blanks ", "3"], ["two\nlines", "4"]]
+    path = fixtures.write_csv(tmp_path / "t.csv", ["a", "b"], rows, quoted=False)
+    assert sorted(map(tuple, readers.read_csv_text(spark, path, multi_line=True).collect())) == sorted(map(tuple, rows))

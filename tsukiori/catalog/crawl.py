@@ -6,6 +6,7 @@ landing the rows are Spark jobs.
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -13,17 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tsukiori import names
 from tsukiori.catalog.types import infer_column_types
+from tsukiori.errors import ContractError
 from tsukiori.functions.naming import name_mapping
 from tsukiori.sinks import files
 from tsukiori.sources.readers import read_csv_text
 
 
-# How landed files are written and registered tables are read.
+# How landed files are written and registered tables are read: standard CSV.
 LANDED_CSV = {
     "header": "true",
     "sep": ",",
     "quote": '"',
-    "escape": "\\",
+    "escape": '"',
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
@@ -37,15 +39,19 @@ class CrawledTable:
     location: str
     mapping: dict[str, str]
     types: dict[str, str]
+    multi_line: bool = False
 
     def ddl(self, database: str) -> str:
-        return table_ddl(database, self.name, self.types, self.location)
+        return table_ddl(database, self.name, self.types, self.location, self.multi_line)
 
 
-def table_ddl(database: str, table: str, types: dict[str, str], location: str) -> str:
+def table_ddl(
+    database: str, table: str, types: dict[str, str], location: str, multi_line: bool = False
+) -> str:
     """Statement that registers a CSV directory with a header as an external table."""
     columns = ",\n".join(f"  `{name}` {type_}" for name, type_ in types.items())
-    options = ", ".join(f"{k} '{_escaped(v)}'" for k, v in LANDED_CSV.items())
+    csv = LANDED_CSV | {"multiLine": "true"} if multi_line else LANDED_CSV
+    options = ", ".join(f"{k} '{_escaped(v)}'" for k, v in csv.items())
     return (
         f"CREATE TABLE IF NOT EXISTS `{database}`.`{table}` (\n{columns}\n)\n"
         f"USING csv\nOPTIONS ({options})\nLOCATION '{_escaped(location)}'"
@@ -57,11 +63,32 @@ def _escaped(text: str) -> str:
 
 
 def register_external_table(
-    spark: SparkSession, database: str, table: str, types: dict[str, str], location: str
-) -> None:
-    """Register a CSV directory in the catalog; an existing table stays as it is."""
+    spark: SparkSession, database: str, table: str, types: dict[str, str], location: str,
+    *, multi_line: bool = False, replace: bool = False,
+) -> None:
+    """Register a CSV directory in the catalog, or point a table of these columns to it.
+
+    A table of that name with other columns raises ``ContractError``, unless
+    ``replace`` says to drop it. Files are never deleted.
+    """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
-    spark.sql(table_ddl(database, table, types, location))
+    check_registered(spark, database, table, types, replace=replace)
+    # External: dropping the entry leaves the files where they are.
+    spark.sql(f"DROP TABLE IF EXISTS `{database}`.`{table}`")
+    spark.sql(table_ddl(database, table, types, location, multi_line))
+
+
+def check_registered(
+    spark: SparkSession, database: str, table: str, types: dict[str, str], *, replace: bool = False
+) -> None:
+    """Raise if the catalog has a table of this name that may not be replaced."""
+    if not spark.catalog.tableExists(f"`{database}`.`{table}`"):
+        return
+    if spark.catalog.getTable(f"`{database}`.`{table}`").tableType != "EXTERNAL":
+        raise ContractError(f"{database}.{table} is not an external table")
+    registered = [(c.name, c.dataType.upper()) for c in spark.catalog.listColumns(f"`{database}`.`{table}`")]
+    if registered != [(name, type_.upper()) for name, type_ in types.items()] and not replace:
+        raise ContractError(f"{database}.{table} has other columns: {registered}, found {list(types.items())}")
 
 
 def column_mapping_table(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
@@ -75,17 +102,27 @@ def crawl_table(
     path: str,
     table: str,
     warehouse: str,
-    first_row: bool = False,
+    *,
+    database: str | None = None,
+    replace: bool = False,
+    multi_line: bool = False,
     **csv_options,
 ) -> CrawledTable:
-    """Type one CSV file or directory and land it under ``warehouse/<table>``."""
-    source = read_csv_text(spark, path, **csv_options)
+    """Type one CSV file or directory and land it in a new folder below ``warehouse/<table>``.
+
+    With ``database``, a table of the catalog that has other columns stops this
+    before anything is landed, unless ``replace`` is set.
+    """
+    source = read_csv_text(spark, path, multi_line=multi_line, **csv_options)
     mapping = name_mapping(source.columns)
     english = source.toDF(*mapping.values())
-    found = {r["column"]: r["type"] for r in infer_column_types(english, first_row).collect()}
-    location = f"{warehouse.rstrip('/')}/{table}"
-    english.write.mode("overwrite").options(**LANDED_CSV).csv(location)
-    return CrawledTable(table, location, mapping, {c: found[c] for c in english.columns})
+    found = {r["column"]: r["type"] for r in infer_column_types(english).collect()}
+    types = {c: found[c] for c in english.columns}
+    if database is not None:
+        check_registered(spark, database, table, types, replace=replace)
+    location = f"{warehouse.rstrip('/')}/{table}/version-{uuid.uuid4().hex}"
+    english.write.options(**LANDED_CSV).csv(location)
+    return CrawledTable(table, location, mapping, types, multi_line)
 
 
 def crawl_directory(
@@ -95,22 +132,29 @@ def crawl_directory(
     warehouse: str,
     *,
     mappings: str | None = None,
-    first_row: bool = False,
+    ddl: str | None = None,
+    replace: bool = False,
     concurrent: int = 4,
     **csv_options,
 ) -> list[CrawledTable]:
     """Every ``*.csv`` of a directory as a catalog table named after its file.
 
+    A crawl that finds the columns a table already has lands its rows in a new
+    folder and switches the table to it; the folder before is deleted. If any
+    table has other columns, nothing is switched, unless ``replace`` is set.
+
     With ``mappings``, the source names of each table's columns are written there
-    as ``<table>_mapping.csv``. Up to ``concurrent`` tables are crawled at once, so
-    that many small files do not leave the cluster idle between their jobs. Further
-    options say how the files are written, as for ``read_csv_text``.
+    as ``<table>_mapping.csv``; with ``ddl``, the statements of the crawl to that
+    file. Up to ``concurrent`` tables are crawled at once, so that many small
+    files do not leave the cluster idle between their jobs. Further options say
+    how the files are written, as for ``read_csv_text``.
     """
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
 
     def crawl(file: str) -> CrawledTable:
         name = file.removesuffix(".csv")
         table = crawl_table(
-            spark, f"{directory}/{file}", name, warehouse, first_row, **csv_options
+            spark, f"{directory}/{file}", name, warehouse, database=database, replace=replace, **csv_options
         )
         if mappings:
             columns = column_mapping_table(spark, table.mapping).toDF(*names.MAPPING_HEADERS)
@@ -123,7 +167,16 @@ def crawl_directory(
     with ThreadPoolExecutor(concurrent) as pool:
         tables = list(pool.map(crawl, found))
     for table in tables:
-        register_external_table(spark, database, table.name, table.types, table.location)
+        register_external_table(
+            spark, database, table.name, table.types, table.location,
+            multi_line=table.multi_line, replace=replace,
+        )
+        folder, _, version = table.location.rpartition("/")
+        for old in files.list_names(spark, folder):
+            if old != version:
+                files.delete(spark, f"{folder}/{old}")
+    if ddl:
+        files.write_text(spark, ddl, ddl_script(tables, database))
     return tables
 
 

@@ -1,4 +1,4 @@
-"""Column types of text tables, found from all rows or from the first."""
+"""Column types of text tables, found from all rows."""
 
 from __future__ import annotations
 
@@ -11,36 +11,51 @@ NUMBER_PATTERN = r"-?\d+(?:\.\d+)?"
 # From narrow to wide. The type of a column is the widest one among its cells.
 TYPES = ("INT", "BIGINT", "DOUBLE", "STRING")
 
+# What an integer column needs to stay exact beside decimals: a DOUBLE holds this many digits.
+_DOUBLE_DIGITS = 15
+
 
 def _cell_rank(cell: Column) -> Column:
-    """Position in ``TYPES`` of the narrowest type for a cell; null for a blank."""
+    """What a column's type depends on, by cell: null for a blank, else a number.
+
+    0 and 1: an integer for INT and BIGINT; 2: one for BIGINT that a DOUBLE would
+    round; 4: a decimal; 8: text. Without its digits a number is ``-``, ``.`` or
+    ``-.`` or nothing, so a pattern is tried on few cells.
+    """
+    rest = F.translate(cell, "0123456789", "")
     digits = F.length(F.ltrim(cell, F.lit("-")))
-    integer_rank = F.when(digits <= 9, 0).when(digits <= 18, 1).otherwise(3)
-    number_rank = F.when(cell.contains("."), 2).otherwise(integer_rank)
-    return F.when(
-        cell != "",
-        F.when(cell.rlike(rf"\A{NUMBER_PATTERN}\z"), number_rank).otherwise(3),
-    )
+    whole = F.when(digits <= 9, 0).when(digits <= _DOUBLE_DIGITS, 1).when(digits <= 18, 2).otherwise(8)
+    integer = ((rest == "") | ((rest == "-") & cell.startswith("-"))) & (digits > 0)
+    decimal = rest.isin(".", "-.") & cell.rlike(rf"\A{NUMBER_PATTERN}\z")
+    return F.when(cell != "", F.when(integer, whole).when(decimal, 4).otherwise(8))
 
 
-def infer_column_types(df: DataFrame, first_row: bool = False) -> DataFrame:
+def infer_column_types(df: DataFrame) -> DataFrame:
     """``(position, column, type)`` for every column of a frame of texts.
 
-    Blanks say nothing about a type; a column of blanks is text. One global
-    aggregate finds all columns in one pass, without a row per cell.
-    ``first_row`` looks at the first row only.
+    All rows have a say. Blanks say nothing about a type; a column of blanks is
+    text, and so is one of decimals and integers of more than 15 digits, which a
+    DOUBLE would round. One global aggregate finds all columns in one pass,
+    without a row per cell.
     """
-    rows = df.limit(1) if first_row else df
-    ranks = rows.agg(*[
-        F.coalesce(F.max(_cell_rank(F.col(f"`{c}`"))), F.lit(3)).alias(f"_{i}")
-        for i, c in enumerate(df.columns)
-    ])
-    type_names = F.array(*[F.lit(t) for t in TYPES])
+    ranks = df.agg(*[F.bit_or(_cell_rank(F.col(f"`{c}`"))).alias(f"_{i}") for i, c in enumerate(df.columns)])
+
+    def type_of(seen: Column) -> Column:
+        def has(bit: int) -> Column:
+            return seen.bitwiseAND(F.lit(bit)) > 0
+
+        return (
+            F.when(seen.isNull() | has(8) | (has(4) & has(2)), TYPES[3])
+            .when(has(4), TYPES[2])
+            .when(has(1) | has(2), TYPES[1])
+            .otherwise(TYPES[0])
+        )
+
     entries = [
         F.struct(
             F.lit(i).alias("position"),
             F.lit(c).alias("column"),
-            F.get(type_names, F.col(f"_{i}")).alias("type"),
+            type_of(F.col(f"_{i}")).alias("type"),
         )
         for i, c in enumerate(df.columns)
     ]

@@ -3,15 +3,18 @@
 Nothing is published before the month is known to hold rows. Counts are read
 from what has been written, not from counters of running tasks, which a lost
 executor would raise twice. A month that goes to several outputs is computed
-once, into a table in the scratch folder of the cluster.
+once, into a table in the scratch folder of the cluster, which is deleted at the end.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import logging
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +23,13 @@ from tsukiori.catalog.crawl import crawl_directory
 from tsukiori.errors import EmptyDataError
 from tsukiori.functions.dates import check_month
 from tsukiori.operators import quality
-from tsukiori.operators.shape import relabel
+from tsukiori.operators.aggregate import null_counts
+from tsukiori.operators.geocode import extend_gazetteer, unresolved_addresses
+from tsukiori.operators.shape import filter_month, relabel
 from tsukiori.plans.access_points import access_point_rows
 from tsukiori.plans.connections import connection_log
 from tsukiori.plans.recordings import recording_summary
-from tsukiori.scratch import staged
+from tsukiori.scratch import cleaned, staged
 from tsukiori.sinks import writers
 from tsukiori.sources.readers import (
     conform,
@@ -41,11 +46,12 @@ log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class RunReport:
-    """What a run did."""
+    """What a run did; ``missing`` has the empty values of each column of the month's rows."""
 
     month: str
     accepted: int
     rejected: int
+    missing: dict[str, int] = field(default_factory=dict)
 
 
 def run_access_point_list(
@@ -59,35 +65,50 @@ def run_access_point_list(
     job_id: str = "local",
     replace_all: bool = False,
     keep_backups: int | None = None,
+    single_file: bool = False,
+    resolve: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+    resolve_tasks: int = 1,
 ) -> RunReport:
-    """Publish the list, the common table and the backup of a month, and its rejects."""
-    rows = access_point_rows(access_points, status_master, gazetteer, month)
-    required = names.ACCESS_POINT_REQUIRED
-    tagged = rows.withColumns(
-        {
-            quality.REASONS: quality.reject_reasons(rows, required),
-            "rejected": quality.any_missing(rows, required),
-        }
-    )
-    with staged(tagged, "access-points", ("rejected",)) as month_rows:
-        good = month_rows.filter(~F.col("rejected")).drop("rejected", quality.REASONS)
-        bad = month_rows.filter("rejected").drop("rejected")
-        report = RunReport(
-            month, good.count(), _write_rejects(bad, "year_month", output, month, job_id)
-        )
-        if report.accepted == 0:
-            raise EmptyDataError(f"no publishable access points in month {month}")
-        published = relabel(good, names.ACCESS_POINT_HEADERS)
-        writers.write_month_csv(published, output, month, rows=report.accepted)
-        writers.write_partitioned(
-            published.withColumn(names.PARTITION_COLUMN, F.lit(month)),
-            f"{output}/{names.COMMON_DIR}",
-            [names.PARTITION_COLUMN],
-            compression="uncompressed",
-            replace_all=replace_all,
+    """Publish the list, the common table and the backup of a month, and its rejects.
+
+    With ``resolve``, addresses that the gazetteer lacks are asked once each, in
+    ``resolve_tasks`` tasks (see ``extend_gazetteer``). With ``replace_all`` the
+    list and the table of all other months are deleted.
+    """
+    output = output.rstrip("/")
+    with cleaned(spark):
+        if resolve is not None:
+            unresolved = unresolved_addresses(filter_month(access_points, month), gazetteer)
+            gazetteer = extend_gazetteer(gazetteer, unresolved, resolve, resolve_tasks)
+        rows = access_point_rows(access_points, status_master, gazetteer, month)
+        required = names.ACCESS_POINT_REQUIRED
+        tagged = rows.withColumns(
+            {
+                quality.REASONS: quality.reject_reasons(rows, required),
+                "rejected": quality.any_missing(rows, required),
+            }
         )
-        writers.write_backup_csv(published, output, month, keep=keep_backups, rows=report.accepted)
-    return report
+        with staged(tagged, "access-points", ("rejected",)) as month_rows:
+            good = month_rows.filter(~F.col("rejected")).drop("rejected", quality.REASONS)
+            bad = month_rows.filter("rejected").drop("rejected")
+            accepted = good.count()
+            if accepted == 0 and bad.isEmpty():
+                raise EmptyDataError(f"no access points in month {month}")
+            rejected = _write_rejects(bad, "year_month", output, month, job_id)
+            if accepted == 0:
+                raise EmptyDataError(f"no publishable access points in month {month}")
+            missing = null_counts(month_rows, rows.columns).first().asDict()
+            published = relabel(good, names.ACCESS_POINT_HEADERS)
+            writers.write_month_csv(published, output, month, replace_all=replace_all, single_file=single_file)
+            writers.write_partitioned(
+                published.withColumn(names.PARTITION_COLUMN, F.lit(month)),
+                f"{output}/{names.COMMON_DIR}",
+                [names.PARTITION_COLUMN],
+                compression="uncompressed",
+                replace_all=replace_all,
+            )
+            writers.write_backup_csv(published, output, month, keep=keep_backups, single_file=single_file)
+    return RunReport(month, accepted, rejected, missing)
 
 
 def run_connection_log(
@@ -101,31 +122,39 @@ def run_connection_log(
     job_id: str = "local",
     format: str = "parquet",
     replace_all: bool = False,
+    single_file: bool = False,
 ) -> RunReport:
-    """Publish the connection log of a month, and the rows without a device id."""
-    checked = connection_log(connections, user_master, device_master, month)
-    published = relabel(checked.accepted, names.CONNECTION_HEADERS)
-    rejected = _write_rejects(
-        checked.rejected, names.PARTITION_COLUMN, output + "_rejects", month, job_id
-    )
-    what = f"publishable connections of month {month}"
-    if format == "csv":
-        with staged(published, "connections") as rows:
-            accepted = quality.check_not_empty(rows, what).count()
-            writers.write_connection_csv(
-                rows, output, month, replace_all=replace_all, rows=accepted
-            )
-    else:
-        quality.check_not_empty(published, what)
-        writers.write_month_parquet(published, output, month, replace_all=replace_all)
-        accepted = read_month_parquet(spark, output, month).count()
+    """Publish the connection log of a month, and the month's rows without a device id.
+
+    Rejected rows are written even if no row of the month can be published.
+    Those without a month go to a part of their own, which each run replaces.
+    """
+    output = output.rstrip("/")
+    with cleaned(spark):
+        checked = connection_log(connections, user_master, device_master, month)
+        published = relabel(checked.accepted, names.CONNECTION_HEADERS)
+        row_month = F.col(names.PARTITION_COLUMN)
+        bad = checked.rejected.filter((row_month == month) | row_month.isNull())
+        with staged(bad, "rejects") as bad, staged(published, "connections") as rows:
+            accepted = rows.count()
+            if accepted == 0 and bad.isEmpty():
+                raise EmptyDataError(f"no connections in month {month}")
+            own, homeless = bad.filter(row_month.isNotNull()), bad.filter(row_month.isNull())
+            rejected = _write_rejects(own, names.PARTITION_COLUMN, f"{output}_rejects", month, job_id)
+            _write_rejects(homeless, names.PARTITION_COLUMN, f"{output}_rejects", "unknown", job_id)
+            if accepted == 0:
+                raise EmptyDataError(f"no publishable connections in month {month}")
+            if format == "csv":
+                writers.write_connection_csv(rows, output, month, replace_all=replace_all, single_file=single_file)
+            else:
+                writers.write_month_parquet(rows, output, month, replace_all=replace_all)
     return RunReport(month, accepted, rejected)
 
 
 def _write_rejects(
     bad: DataFrame, month_column: str, output: str, month: str, job_id: str
 ) -> int:
-    """Replace the reject table of a run month; only their number goes to the log."""
+    """Replace the reject table of a month; only their number goes to the log."""
     directory = f"{output}/rejects/{names.PARTITION_COLUMN}={month}"
     entries = quality.reject_report(bad, month_column, job_id).withColumnRenamed(
         names.PARTITION_COLUMN, "row_month"
@@ -146,16 +175,25 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     monthly.add_argument("--output", required=True)
     monthly.add_argument("--job-id", default="local")
     monthly.add_argument("--replace-all", action="store_true")
+    monthly.add_argument("--single-file", action="store_true", help="CSV as one file, written by one task")
 
-    points = commands.add_parser("access-points", parents=[monthly])
+    dialect = argparse.ArgumentParser(add_help=False)
+    dialect.add_argument("--sep", default=",")
+    dialect.add_argument("--quote", default='"')
+    dialect.add_argument("--escape", default='"', help="what stands before a quote in a quoted cell")
+    dialect.add_argument("--multi-line", action="store_true", help="cells hold line breaks")
+
+    points = commands.add_parser("access-points", parents=[monthly, dialect])
     source = points.add_mutually_exclusive_group(required=True)
     source.add_argument("--input", help="access points, CSV")
     source.add_argument("--catalog-table", help="access points, DATABASE.TABLE")
     points.add_argument("--status-master", required=True, help="CSV")
     points.add_argument("--gazetteer", help="known addresses, Parquet")
     points.add_argument("--keep-backups", type=int)
+    points.add_argument("--resolver", help="MODULE:FUNCTION that finds addresses the gazetteer lacks")
+    points.add_argument("--resolver-tasks", type=int, default=1, help="tasks that call it at a time")
 
-    connections = commands.add_parser("connections", parents=[monthly])
+    connections = commands.add_parser("connections", parents=[monthly, dialect])
     source = connections.add_mutually_exclusive_group(required=True)
     source.add_argument("--input", help="connections, CSV")
     source.add_argument("--input-table", help="Parquet with yearmonth= directories")
@@ -163,14 +201,15 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     connections.add_argument("--device-master", required=True, help="CSV")
     connections.add_argument("--format", choices=["csv", "parquet"], default="parquet")
 
-    crawl = commands.add_parser("crawl")
+    crawl = commands.add_parser("crawl", parents=[dialect])
     crawl.add_argument("--input", required=True, help="directory of CSV files")
     crawl.add_argument("--database", required=True)
     crawl.add_argument("--warehouse", required=True)
     crawl.add_argument("--mappings")
-    crawl.add_argument("--first-row", action="store_true")
+    crawl.add_argument("--ddl", help="file for the statements")
+    crawl.add_argument("--replace", action="store_true", help="tables may get other columns")
 
-    recordings = commands.add_parser("recordings")
+    recordings = commands.add_parser("recordings", parents=[dialect])
     recordings.add_argument("--input", required=True, nargs="+", help="CSV; the first that exists")
     recordings.add_argument("--output", required=True)
 
@@ -178,23 +217,31 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     sql.add_argument("--query", required=True)
     sql.add_argument("--output", help="directory for the whole result, CSV")
 
-    quote = commands.add_parser("quote-csv")
+    quote = commands.add_parser("quote-csv", parents=[dialect])
     quote.add_argument("--input", required=True)
     quote.add_argument("--output", required=True)
-    quote.add_argument("--multi-line", action="store_true", help="cells hold line breaks")
     return parser.parse_args(argv)
 
 
+def _dialect(args: argparse.Namespace) -> dict[str, object]:
+    return {name: getattr(args, name) for name in ("sep", "quote", "escape", "multi_line")}
+
+
 def _crawl(spark: SparkSession, args: argparse.Namespace) -> None:
     crawl_directory(
         spark, args.input, args.database, args.warehouse,
-        mappings=args.mappings, first_row=args.first_row,
+        mappings=args.mappings, ddl=args.ddl, replace=args.replace, **_dialect(args),
     )
 
 
+def _named_function(name: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def _access_points(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.input:
-        source = read_csv_table(spark, args.input, schemas.ACCESS_POINT)
+        source = read_csv_table(spark, args.input, schemas.ACCESS_POINT, **_dialect(args))
     else:
         database, table = args.catalog_table.split(".", 1)
         source = conform(read_catalog_table(spark, database, table), schemas.ACCESS_POINT)
@@ -205,36 +252,42 @@ def _access_points(spark: SparkSession, args: argparse.Namespace) -> None:
     run_access_point_list(
         spark,
         source,
-        read_csv_table(spark, args.status_master, schemas.STATUS_MASTER, names.STATUS_MASTER_NAMES),
+        read_csv_table(spark, args.status_master, schemas.STATUS_MASTER, names.STATUS_MASTER_NAMES, **_dialect(args)),
         gazetteer,
         args.output,
         args.month,
         job_id=args.job_id,
         replace_all=args.replace_all,
         keep_backups=args.keep_backups,
+        single_file=args.single_file,
+        resolve=_named_function(args.resolver) if args.resolver else None,
+        resolve_tasks=args.resolver_tasks,
     )
 
 
 def _connections(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.input:
-        source = read_csv_table(spark, args.input, schemas.CONNECTION)
+        source = read_csv_table(spark, args.input, schemas.CONNECTION, **_dialect(args))
     else:
         source = conform(read_month_parquet(spark, args.input_table, args.month), schemas.CONNECTION)
     run_connection_log(
         spark,
         source,
-        read_csv_table(spark, args.user_master, schemas.USER_MASTER, names.USER_MASTER_NAMES),
-        read_csv_table(spark, args.device_master, schemas.DEVICE_MASTER, names.DEVICE_MASTER_NAMES),
+        read_csv_table(spark, args.user_master, schemas.USER_MASTER, names.USER_MASTER_NAMES, **_dialect(args)),
+        read_csv_table(spark, args.device_master, schemas.DEVICE_MASTER, names.DEVICE_MASTER_NAMES, **_dialect(args)),
         args.output,
         args.month,
         job_id=args.job_id,
         format=args.format,
         replace_all=args.replace_all,
+        single_file=args.single_file,
     )
 
 
 def _recordings(spark: SparkSession, args: argparse.Namespace) -> None:
-    source = read_first_available(spark, args.input, read_recordings)
+    source = read_first_available(
+        spark, args.input, lambda session, path: read_recordings(session, path, **_dialect(args))
+    )
     summary = recording_summary(source)
     for name, df in {
         "expanded": summary.expanded,
@@ -245,11 +298,11 @@ def _recordings(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _sql(spark: SparkSession, args: argparse.Namespace) -> None:
-    writers.sql_to_csv(spark, args.query, args.output).show(truncate=False)
+    writers.sql_to_csv(spark, args.query, args.output).show(20, truncate=False)
 
 
 def _quote_csv(spark: SparkSession, args: argparse.Namespace) -> None:
-    source = read_csv_text(spark, args.input, escape='"', multi_line=args.multi_line)
+    source = read_csv_text(spark, args.input, **_dialect(args))
     writers.write_csv_quoted(source, args.output)
 
 
@@ -271,7 +324,8 @@ def main(argv: list[str] | None = None) -> None:
         .config("spark.sql.codegen.hugeMethodLimit", 8000)
         .getOrCreate()
     )
-    _COMMANDS[args.command](spark, args)
+    with cleaned(spark):
+        _COMMANDS[args.command](spark, args)
 
 
 if __name__ == "__main__":

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsukiori import names
+from tsukiori.operators.quality import is_missing
 
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: how many nulls each column holds."""
-    return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    """One row: how many values each column lacks; NaN counts as missing."""
+    return df.agg(*[F.count_if(is_missing(df, c)).alias(c) for c in columns])
 
 
 def row_count(df: DataFrame) -> DataFrame:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import replace
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tsukiori import schemas
 from tsukiori.operators.lookup import DEFAULT_LIMIT, BroadcastLimit, left_lookup, profile
+from tsukiori.scratch import stage
 
 ADDRESS = ("prefecture", "city", "address")
 
@@ -20,16 +20,14 @@ ADDRESS = ("prefecture", "city", "address")
 def geocode_missing(
     df: DataFrame, gazetteer: DataFrame, *, limit: BroadcastLimit = DEFAULT_LIMIT
 ) -> DataFrame:
-    """Fill ``latitude`` and ``longitude`` where at least one of them is null.
+    """Fill ``latitude`` and ``longitude`` where at least one of them is null or NaN.
 
     Such a row gets both values of its address, or two nulls if a part of the
     address is missing or the address is unknown. Other rows stay as they are.
+    The gazetteer is grouped once, and what is measured is what is joined.
     """
-    places = _located(gazetteer)
+    places = stage(one_place_per_address(gazetteer), "places")
     measured = profile(places, ADDRESS)
-    if measured.max_per_key > 1:
-        places = one_place_per_address(places)
-        measured = replace(measured, max_per_key=1)
     found = {"latitude": "_found_lat", "longitude": "_found_lon"}
     joined = left_lookup(
         df, places.withColumnsRenamed(found), ADDRESS,
@@ -56,36 +54,31 @@ def one_place_per_address(gazetteer: DataFrame, rank: str | None = None) -> Data
 def unresolved_addresses(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Distinct addresses that ``geocode_missing`` would look up in vain."""
     wanted = df.filter(_missing() & _complete()).select(*ADDRESS).distinct()
-    return wanted.join(one_place_per_address(gazetteer).select(*ADDRESS), list(ADDRESS), "left_anti")
+    return wanted.join(_located(gazetteer).select(*ADDRESS), list(ADDRESS), "left_anti")
 
 
 def extend_gazetteer(
     gazetteer: DataFrame,
     unresolved: DataFrame,
-    resolve: Callable[[str, str, str], tuple[float, float] | None],
-    partitions: int = 8,
+    resolve: Callable[[pd.DataFrame], pd.DataFrame],
+    tasks: int,
 ) -> DataFrame:
     """The gazetteer plus the addresses that ``resolve`` knows.
 
-    ``resolve`` answers (latitude, longitude) or None for one address and may
-    call a service; it runs in ``partitions`` tasks and sees every address once.
+    ``resolve`` gets a batch of addresses and returns those it knows, with
+    ``latitude`` and ``longitude``. It may call a service: at most ``tasks`` tasks
+    run at a time, and the result is written once, so that whatever is computed
+    from it later asks nothing again. Only a task that is lost asks again.
     """
-
     columns = schemas.GAZETTEER.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (*address, *place)
-                for address in batch.itertuples(index=False, name=None)
-                if (place := resolve(*address)) is not None
-            ]
-            yield pd.DataFrame(rows, columns=columns)
-
-    resolved = unresolved.select(*ADDRESS).repartition(partitions, *ADDRESS)
-    return gazetteer.select(*columns).union(
-        resolved.mapInPandas(run, schemas.GAZETTEER)
-    )
+            yield resolve(batch)[columns]
+
+    asked = unresolved.select(*ADDRESS).distinct().repartition(tasks, *ADDRESS)
+    resolved = stage(asked.mapInPandas(run, schemas.GAZETTEER), "resolved")
+    return gazetteer.select(*columns).union(resolved)
 
 
 def _located(gazetteer: DataFrame, rank: str | None = None) -> DataFrame:
@@ -94,7 +87,8 @@ def _located(gazetteer: DataFrame, rank: str | None = None) -> DataFrame:
 
 
 def _missing() -> Column:
-    return F.col("latitude").isNull() | F.col("longitude").isNull()
+    """A coordinate that is null or NaN, as in the quality checks."""
+    return reduce(or_, [F.col(c).isNull() | F.isnan(c) for c in ("latitude", "longitude")])
 
 
 def _complete() -> Column:

@@ -1,23 +1,22 @@
 """Left outer joins of a large table with a lookup of unknown size.
 
-The lookup is measured first. Then one of four plans runs, all with the same
+The lookup is measured first. Then one of three plans runs, all with the same
 result:
 
 1. The lookup is small: broadcast it. The large table is not shuffled.
 2. The lookup is large, but few of its keys occur: one pre-aggregated pass over the
    key columns finds these, and their part of the lookup is broadcast.
-3. Many keys occur, none of them often: a shuffled join.
-4. Many keys occur, and some hold more than ``1 / HOT_KEYS`` of the rows: a plain
-   shuffle would send these to a few tasks. Rows of the ``HOT_KEYS`` most frequent
-   keys take a broadcast join with at most that many lookup rows; only the other
-   rows are shuffled.
-
-In the last two plans, rows that have nothing to look up are not shuffled.
+3. Many keys occur: a shuffled join, after which each task should have about as
+   many rows. A key that would give more than a task's share is dealt to several
+   tasks by a salt, and its lookup rows go to each of these. Rows with nothing to
+   look up are dealt by their content. So the large table is read once more, and
+   no value of the lookup is broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -29,8 +28,6 @@ from tsukiori import names
 from tsukiori.errors import DuplicateKeyError
 from tsukiori.scratch import stage
 
-HOT_KEYS = 1000
-
 
 @dataclass(frozen=True)
 class BroadcastLimit:
@@ -76,6 +73,12 @@ def profile(lookup: DataFrame, keys: Sequence[str]) -> Profile:
     return Profile(*[value or 0 for value in row])
 
 
+def code_profiles(masters: Sequence[tuple[DataFrame, str]]) -> list[Profile]:
+    """Measure several masters by their code columns, all at the same time."""
+    with ThreadPoolExecutor(len(masters)) as pool:
+        return list(pool.map(lambda master: profile(master[0], [master[1]]), masters))
+
+
 def left_lookup(
     df: DataFrame,
     lookup: DataFrame,
@@ -106,12 +109,9 @@ def left_lookup(
     if measured.fits(limit):
         return _broadcast_join(df, lookup, keys, values, needed)
 
-    # A null key matches nothing; such rows need no shuffle either.
-    filled = _filled(keys)
+    filled = _filled(keys)  # a null key matches nothing
     needed = filled if needed is None else F.coalesce(needed, F.lit(False)) & filled
-    if measured.max_per_key > 1:
-        return _shuffled_join(df, lookup, keys, values, needed)
-    return _join_by_frequency(df, lookup, keys, values, needed, limit, measured.widest)
+    return _join_by_frequency(df, lookup, keys, values, needed, limit, measured)
 
 
 def lookup_code(
@@ -124,10 +124,13 @@ def lookup_code(
     default: str = names.OTHER,
     allow_duplicates: bool = False,
     limit: BroadcastLimit = DEFAULT_LIMIT,
+    measured: Profile | None = None,
 ) -> DataFrame:
     """Replace an operator's code by the common one, or by ``default`` where there is none."""
     codes = master.select(F.col(key).alias(column), F.col(value).alias("_common"))
-    joined = left_lookup(df, codes, [column], allow_duplicates=allow_duplicates, limit=limit)
+    joined = left_lookup(
+        df, codes, [column], allow_duplicates=allow_duplicates, limit=limit, measured=measured
+    )
     common = F.coalesce(F.col("_common"), F.lit(default)).alias(column)
     return joined.select(*[common if c == column else F.col(c) for c in df.columns])
 
@@ -155,10 +158,6 @@ def _filled(keys: Sequence[str]) -> Column:
     return reduce(and_, [F.col(k).isNotNull() for k in keys])
 
 
-def _nulls(lookup: DataFrame, values: Sequence[str]) -> dict[str, Column]:
-    return {c: F.lit(None).cast(lookup.schema[c].dataType) for c in values}
-
-
 def _join(df, lookup, keys, values, needed=None):
     renamed = lookup.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values)
     match = reduce(and_, [F.col(k) == F.col(f"_key_{k}") for k in keys])
@@ -170,31 +169,49 @@ def _broadcast_join(df, lookup, keys, values, needed=None):
     return _join(df, F.broadcast(lookup), keys, values, needed)
 
 
-def _shuffled_join(df, lookup, keys, values, needed):
-    idle = df.filter(~needed).withColumns(_nulls(lookup, values))
-    return idle.union(_join(df.filter(needed), lookup, keys, values))
-
-
-def _join_by_frequency(df, lookup, keys, values, needed, limit, widest):
+def _join_by_frequency(df, lookup, keys, values, needed, limit, measured):
     counts = df.filter(needed).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    counts = stage(counts, "lookup-keys")
+    if measured.max_per_key > 1:  # what counts is the rows that come out
+        found = lookup.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+        counts = counts.join(found, list(keys), "left").withColumn("_n", F.col("_n") * F.coalesce("_m", F.lit(1)))
+    counts = stage(counts.select(*keys, "_n"), "lookup-keys")
     distinct, most, total = counts.agg(F.count("*"), F.max("_n"), F.sum("_n")).first()
-    if distinct <= limit.rows and distinct * widest <= limit.bytes:
+    rows = distinct * max(measured.max_per_key, 1)
+    if rows <= limit.rows and rows * measured.widest <= limit.bytes:
         occurring = F.broadcast(counts.select(*keys))
         reduced = lookup.join(occurring, list(keys), "left_semi").select(*keys, *values)
         return _broadcast_join(df, reduced, keys, values, needed)
-    if most * HOT_KEYS <= total:
-        return _shuffled_join(df, lookup, keys, values, needed)
-    return _split_join(df, lookup, keys, values, needed, counts)
-
-
-def _split_join(df, lookup, keys, values, needed, counts):
-    # The counts are a stored table and the order is total, so that both branches
-    # below see the same hot keys.
-    frequent = counts.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys)
-    known = lookup.join(F.broadcast(frequent), list(keys), "left_semi").select(*keys, *values)
-    hot = _broadcast_join(frequent, known, keys, values).withColumn("_hot", F.lit(True))
-    settled = _broadcast_join(df, hot, keys, [*values, "_hot"], needed)
-    settled = settled.filter(~needed | F.col("_hot").isNotNull()).drop("_hot")
-    rest = df.filter(needed).join(F.broadcast(frequent), list(keys), "left_anti")
-    return settled.union(_join(rest.select(*df.columns), lookup, keys, values))
+    return _salted_join(df, lookup, keys, values, needed, _salts(counts, keys, most, total, measured, limit))
+
+
+def _salts(counts, keys, most, total, measured, limit):
+    """Keys with more rows than a task's share, and their number of salts; None without such keys.
+
+    A salt is a quarter of a task's share, so that salts that meet in one task do
+    little harm. There are fewer such keys than tasks. If even these are more bytes than may
+    be broadcast, the most frequent ones that fit.
+    """
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not most or most * tasks <= total:
+        return None
+    fit = limit.bytes // max(measured.widest, 1) if limit.bytes else tasks
+    most_keys = max(1, min(tasks, fit))
+    hot = counts.filter(F.col("_n") * tasks > total).orderBy(F.desc("_n"), *keys).limit(most_keys)
+    return hot.select(*keys, F.ceil(F.col("_n") * (4 * tasks) / total).cast("int").alias("_salts"))
+
+
+def _salted_join(df, lookup, keys, values, needed, hot):
+    content = F.xxhash64(*df.columns)
+    if hot is None:
+        salted, own = df, F.lit(0)
+        lookup = lookup.withColumn("_salt", F.lit(0))
+    else:
+        salted = _broadcast_join(df, hot, keys, ["_salts"], needed)
+        own = F.pmod(content, F.coalesce("_salts", F.lit(1))).cast("int")
+        copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+        lookup = _broadcast_join(lookup, hot, keys, ["_salts"]).withColumn("_salt", F.explode(copies))
+    # A salt below zero, which no lookup row has, for rows with nothing to look up.
+    idle = -1 - F.pmod(content, F.lit(1 << 30)).cast("int")
+    salted = salted.withColumn("_salt", F.when(needed, own).otherwise(idle))
+    joined = _join(salted, lookup.select(*keys, "_salt", *values), [*keys, "_salt"], values)
+    return joined.select(*df.columns, *values)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsukiori import names
+from tsukiori.errors import NameCollisionError
 from tsukiori.functions.dates import check_month
 
 Mapping4 = tuple[str, str, str, str]
@@ -24,8 +26,11 @@ def apply_mapping(
     """Rename and cast by ``(source, source type, target, target type)`` entries.
 
     An entry whose source column is missing is skipped. A value that does not
-    fit the target type becomes null. Columns without an entry stay in place.
+    fit the target type becomes null. Columns without an entry stay in place. Two
+    entries for one source, or two columns that get one name, raise.
     """
+    mappings = list(mappings)
+    _check_unique("source columns mapped twice", [src for src, *_ in mappings])
     targets = {src.lower(): (dst, dst_type) for src, _, dst, dst_type in mappings}
     columns = []
     for field in df.schema.fields:
@@ -36,7 +41,15 @@ def apply_mapping(
             continue
         dst, dst_type = target
         columns.append(F.col(_quoted(field.name)).try_cast(dst_type).alias(dst))
-    return df.select(*columns)
+    mapped = df.select(*columns)
+    _check_unique("columns of one name", mapped.columns)
+    return mapped
+
+
+def _check_unique(what: str, found: Sequence[str]) -> None:
+    count = Counter(name.lower() for name in found)
+    if twice := sorted(name for name, n in count.items() if n > 1):
+        raise NameCollisionError(f"{what}: {twice}")
 
 
 def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -21,10 +21,7 @@ COORDINATES = ("latitude", "longitude")
 
 
 def _converted(access_points, status_master, gazetteer, month, limit) -> DataFrame:
-    rows = quality.check_not_empty(
-        filter_month(access_points, month), f"access points of month {month}"
-    )
-    rows = geocode_missing(rows, gazetteer, limit=limit)
+    rows = geocode_missing(filter_month(access_points, month), gazetteer, limit=limit)
     rows = unify_status(rows, status_master, limit=limit)
     rows = rows.withColumns(
         {

@@ -13,6 +13,7 @@ from tsukiori.operators import quality
 from tsukiori.operators.lookup import (
     DEFAULT_LIMIT,
     BroadcastLimit,
+    code_profiles,
     unify_device_attr,
     unify_user_attr,
 )
@@ -43,16 +44,19 @@ def connection_log(
     month: str,
     limit: BroadcastLimit = DEFAULT_LIMIT,
 ) -> Checked:
-    """The connection log of a month, and the rows of any month without a device id."""
+    """The connection log of a month, and the rows of any month without a device id.
+
+    Only the masters are measured when this is called.
+    """
     columns = quality.check_contract(connections, schemas.CONNECTION.fieldNames())
-    identified = quality.check_not_empty(
-        quality.drop_null_required(columns, names.CONNECTION_REQUIRED),
-        "connections with a device id",
+    identified = quality.drop_null_required(columns, names.CONNECTION_REQUIRED)
+    user, device = code_profiles(
+        [(user_master, "operator_user_attr"), (device_master, "operator_device_attr")]
     )
     log = (
         filter_month(identified, month)
-        .transform(unify_user_attr, user_master, limit=limit)
-        .transform(unify_device_attr, device_master, limit=limit)
+        .transform(unify_user_attr, user_master, limit=limit, measured=user)
+        .transform(unify_device_attr, device_master, limit=limit, measured=device)
         .withColumn("mgmt_id", management_id(F.col("apid")))
         .transform(with_start_date)
         .transform(select_columns, list(names.CONNECTION_HEADERS))

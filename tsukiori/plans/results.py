@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class Checked:
-    """Publishable rows and rejected rows of one plan; neither is computed yet."""
+    """Publishable rows and rejected rows of one plan; neither is computed when a plan returns."""
 
     accepted: DataFrame
     rejected: DataFrame

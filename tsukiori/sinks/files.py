@@ -15,6 +15,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, p = _resolve(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
 def list_names(spark: SparkSession, directory: str) -> list[str]:
     """Names of the direct children of a directory, sorted; none if it is missing."""
     fs, p = _resolve(spark, directory)
@@ -23,6 +28,16 @@ def list_names(spark: SparkSession, directory: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(p))
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text as one file, replacing what is there."""
+    fs, p = _resolve(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _resolve(spark, path)
     fs.delete(p, True)
@@ -34,10 +49,17 @@ def make_parent(spark: SparkSession, path: str) -> None:
 
 
 def move(spark: SparkSession, source: str, target: str) -> None:
-    """Rename; an existing target is replaced."""
+    """Rename; an existing file of the target's name is replaced in the same step.
+
+    A directory of that name, as another layout leaves it, is deleted first.
+    """
     fs, p = _resolve(spark, target)
     _, s = _resolve(spark, source)
-    if fs.exists(p):
+    if fs.exists(p) and fs.getFileStatus(p).isDirectory():
         fs.delete(p, True)
-    if not fs.rename(s, p):
-        raise OSError(f"could not rename {source} to {target}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    rename = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(s), fs.makeQualified(p), options)

@@ -1,4 +1,4 @@
-"""Writers. All but small published files are written by many tasks."""
+"""Writers. All but single published files are written by many tasks."""
 
 from __future__ import annotations
 
@@ -21,9 +21,6 @@ CSV_OPTIONS = {
     "ignoreTrailingWhiteSpace": False,
 }
 
-# A published CSV is one file up to this many rows, and a directory of files beyond.
-SINGLE_FILE_ROWS = 1_000_000
-
 
 def write_partitioned(
     df: DataFrame,
@@ -67,64 +64,86 @@ def write_month_parquet(
     )
 
 
-def write_csv(
-    df: DataFrame, path: str, *, rows: int | None = None, single_file_rows: int = SINGLE_FILE_ROWS
-) -> None:
+def write_csv(df: DataFrame, path: str, *, single_file: bool = False) -> None:
     """Write CSV with a header under exactly this path, replacing what is there.
 
-    Up to ``single_file_rows`` rows make one file of that name. More rows make a
-    directory of that name, written in parallel, that reads as the same table.
-    ``rows`` saves the count where the caller knows it.
+    That is a directory of files, written in parallel, or with ``single_file`` one
+    file, which one task writes. The number of rows has no say in it.
     """
     spark = df.sparkSession
-    rows = df.count() if rows is None else rows
-    if rows > single_file_rows:
+    if not single_file:
+        if files.is_file(spark, path):
+            files.delete(spark, path)
         df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
         return
-    parts = f"{path}.parts-{uuid.uuid4().hex}"
-    # Not coalesce(1): that would also run the steps before the write in one task.
-    df.repartition(1).write.options(**CSV_OPTIONS).csv(parts)
-    (part,) = [n for n in files.list_names(spark, parts) if n.startswith("part-")]
-    files.move(spark, f"{parts}/{part}", path)
-    files.delete(spark, parts)
-
-
-def write_month_csv(df: DataFrame, root: str, month: str, **options) -> str:
-    """Publish the access-point list of a month; returns the path."""
-    path = f"{root}/{names.LIST_DIR}/{names.LIST_FILE.format(month=check_month(month))}"
-    write_csv(df, path, **options)
-    return path
+    folder, _, name = path.rstrip("/").rpartition("/")
+    parts = f"{folder}/_{name}.parts-{uuid.uuid4().hex}"  # readers of the folder skip such names
+    try:
+        # Not coalesce(1): that would also run the steps before the write in one task.
+        df.repartition(1).write.options(**CSV_OPTIONS).csv(parts)
+        (part,) = [n for n in files.list_names(spark, parts) if n.startswith("part-")]
+        files.move(spark, f"{parts}/{part}", path)
+    finally:
+        files.delete(spark, parts)
+
+
+def write_month_csv(
+    df: DataFrame, root: str, month: str, *, replace_all: bool = False, single_file: bool = False
+) -> str:
+    """Publish the access-point list of a month; returns the path.
+
+    With ``replace_all`` the lists of all other months are deleted, once this one
+    has been written.
+    """
+    name = names.LIST_FILE.format(month=check_month(month))
+    folder = f"{root}/{names.LIST_DIR}"
+    write_csv(df, f"{folder}/{name}", single_file=single_file)
+    if replace_all:
+        for other in _monthly(df.sparkSession, folder, names.LIST_FILE):
+            if other != name:
+                files.delete(df.sparkSession, f"{folder}/{other}")
+    return f"{folder}/{name}"
 
 
 def write_backup_csv(
-    df: DataFrame, root: str, month: str, keep: int | None = None, **options
+    df: DataFrame, root: str, month: str, keep: int | None = None, *, single_file: bool = False
 ) -> str:
-    """Back up the list of a month; with ``keep``, drop all but that many latest backups."""
+    """Back up the list of a month; with ``keep``, drop all but that many backups.
+
+    This month's stays, whatever later ones there are, and the latest others.
+    """
     folder = f"{root}/{names.BACKUP_DIR}"
     path = f"{folder}/{names.BACKUP_FILE.format(month=check_month(month))}"
-    write_csv(df, path, **options)
+    if keep is not None and keep < 1:
+        raise ValueError("at least this month's backup is kept")
+    write_csv(df, path, single_file=single_file)
     if keep is not None:
-        drop_old_backups(df.sparkSession, folder, keep)
+        drop_old_backups(df.sparkSession, folder, month, keep)
     return path
 
 
-def drop_old_backups(spark: SparkSession, folder: str, keep: int) -> list[str]:
-    """Delete all but the ``keep`` latest backups; returns the names deleted."""
-    pattern = names.BACKUP_FILE.format(month="[0-9]" * 6)
-    backups = fnmatch.filter(files.list_names(spark, folder), pattern)
-    old = backups[: max(len(backups) - keep, 0)]
+def drop_old_backups(spark: SparkSession, folder: str, month: str, keep: int) -> list[str]:
+    """Delete all but the backup of a month and the ``keep - 1`` latest others; returns the names deleted."""
+    own = names.BACKUP_FILE.format(month=check_month(month))
+    others = [name for name in _monthly(spark, folder, names.BACKUP_FILE) if name != own]
+    old = others[: max(len(others) - (keep - 1), 0)]
     for name in old:
         files.delete(spark, f"{folder}/{name}")
     return old
 
 
+def _monthly(spark: SparkSession, folder: str, file: str) -> list[str]:
+    """Published files of a folder, from the earliest month on."""
+    return fnmatch.filter(files.list_names(spark, folder), file.format(month="[0-9]" * 6))
+
+
 def write_connection_csv(
-    df: DataFrame, root: str, month: str, *, replace_all: bool = False, **options
+    df: DataFrame, root: str, month: str, *, replace_all: bool = False, single_file: bool = False
 ) -> str:
     """Publish the connection log of a month under ``yearmonth=<month>``; returns the path."""
     directory = f"{names.PARTITION_COLUMN}={check_month(month)}"
     path = f"{root}/{directory}/{names.CONNECTION_FILE}"
-    write_csv(df, path, **options)
+    write_csv(df, path, single_file=single_file)
     if replace_all:
         drop_other_months(df.sparkSession, root, month)
     return path
@@ -142,12 +161,15 @@ def write_csv_quoted(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**CSV_OPTIONS, quoteAll=True).csv(path)
 
 
-def sql_to_csv(
-    spark: SparkSession, query: str, path: str | None = None, n_preview: int = 20
-) -> DataFrame:
-    """Run a SQL text, optionally write its result as CSV, and return its first rows."""
+def sql_to_csv(spark: SparkSession, query: str, path: str | None = None) -> DataFrame:
+    """Run a SQL text, optionally write its result as CSV, and return the whole result.
+
+    What was written is read back, so the text does not run twice; blank and null
+    cells stay apart in it, null being an empty cell and blank ``""``.
+    """
     result = spark.sql(query)
     if path is None:
-        return result.limit(n_preview)
+        return result
     result.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
-    return spark.read.schema(result.schema).options(**CSV_OPTIONS).csv(path).limit(n_preview)
+    read_back = {**CSV_OPTIONS, "emptyValue": "", "nullValue": "\0", "multiLine": True}
+    return spark.read.schema(result.schema).options(**read_back).csv(path)

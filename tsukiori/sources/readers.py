@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tsukiori import names, schemas
-from tsukiori.errors import SourceNotFoundError
+from tsukiori.errors import EtlError, SourceNotFoundError
 from tsukiori.functions.dates import check_month
 from tsukiori.functions.naming import name_mapping
 from tsukiori.operators.quality import check_contract
@@ -23,17 +23,21 @@ def read_csv_text(
     header: bool = True,
     sep: str = ",",
     quote: str = '"',
-    escape: str = "\\",
+    escape: str = '"',
     recurse: bool = False,
     multi_line: bool = False,
 ) -> DataFrame:
     """CSV with every column as text. Blank cells are null.
 
+    Quotes in a quoted cell are doubled, as CSV libraries write them, unless
+    another ``escape`` is named; blanks around a value are part of it. Cells may
+    hold line breaks if ``multi_line`` says so, at the cost of a task per file.
     With a header, every file must have the header of the first one.
     """
     reader = spark.read.options(
         header=header, sep=sep, quote=quote, escape=escape,
         recursiveFileLookup=recurse, multiLine=multi_line,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     columns = reader.csv(paths).columns
     text = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
@@ -51,9 +55,9 @@ def read_csv_table(
     return conform(read_csv_text(spark, paths, **options), schema, known)
 
 
-def read_recordings(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """CSV of recordings; JSON cells hold quotes, written doubled as CSV has it."""
-    return read_csv_table(spark, paths, schemas.RECORDING, known={}, escape='"')
+def read_recordings(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:
+    """CSV of recordings; their JSON cells hold quotes."""
+    return read_csv_table(spark, paths, schemas.RECORDING, known={}, **options)
 
 
 def conform(
@@ -95,13 +99,15 @@ def read_first_available(
     paths: Iterable[str],
     read: Callable[[SparkSession, str], DataFrame] = read_csv_text,
 ) -> DataFrame:
-    """The first of several locations that can be read."""
+    """The first of several locations that loads: that exists and holds what ``read`` expects."""
     failures = []
     for path in paths:
         try:
             return read(spark, path)
         except AnalysisException as failure:
             failures.append(f"{path}: {failure.getCondition()}")
+        except EtlError as failure:
+            failures.append(f"{path}: {failure}")
     raise SourceNotFoundError("; ".join(failures) or "no location given")
 
 
