@@ -90,30 +90,43 @@ def split(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class WordCache:
     """What a tokenizer makes of single words, kept for the life of a worker.
 
-    Words are known by two 64-bit hashes. A table of fixed size finds most; what
-    it has no room for is looked up in a dictionary, which is emptied when it
-    holds ``most`` words. So the memory is bounded, and every word is encoded by
-    the tokenizer, if not each time.
+    Words are known by two 64-bit hashes, and each has a place by either in a
+    table of fixed size; a word that finds both taken drives out the other. When
+    ``most`` words are held, all are forgotten. So the memory is bounded, and
+    every word is encoded by the tokenizer, if not each time.
+
+    ``encode`` gives the ids of one text. New words are encoded as one text, with
+    line feeds between them: one is a word by itself before any word that does
+    not end in white space, and its own id marks where the next word's start.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1 << 20):
+    def __init__(self, encode: Callable[[str], list[int]], most: int = 1 << 21):
         self.encode, self.most = encode, most
         self.rolling = tb.Rolling(8), tb.Rolling(9)
-        self.bits = 21
+        self.bits = most.bit_length() + 1
+        (self.mark,) = encode("\n")
         self._empty()
 
     def _empty(self) -> None:
-        self.slot = np.zeros(1 << self.bits, np.int64)  # number of the word kept there; 0 is none
-        self.known: dict[int, int] = {}
+        self.slot = np.zeros(1 << self.bits, np.int32)  # number of the word kept there; 0 is none
         self.hashes = np.zeros((2, 1 << 12), np.uint64)
         self.start = np.zeros((1 << 12) + 1, np.int64)
         self.ids = np.zeros(1 << 14, np.int32)
         self.count = 1
 
-    def _add(self, words: list[bytes], hashes: np.ndarray) -> None:
-        made = self.encode([word.decode() for word in words])
-        flat = np.array([i for ids in made for i in ids], np.int32)
-        count, used = self.count + len(made), int(self.start[self.count]) + len(flat)
+    def _add(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        texts = [word.decode() for word in words]
+        alone = np.array([text[-1].isspace() or "\n" in text for text in texts])
+        order = np.argsort(alone, kind="stable")
+        joined = np.array(self.encode("".join(f"\n{texts[i]}" for i in order[: len(order) - alone.sum()])), np.int32)
+        cuts = np.flatnonzero(joined == self.mark)
+        if len(cuts) + alone.sum() != len(texts):
+            raise ValueError("the tokenizer does not keep a line feed apart")
+        made = [self.encode(texts[i]) for i in order[len(cuts) :]]
+        lengths = np.concatenate([np.diff(np.append(cuts, len(joined))) - 1, np.array([len(ids) for ids in made], np.int64)])
+        flat = np.concatenate([joined[joined != self.mark], *(np.array(ids, np.int32) for ids in made)])
+        hashes = hashes[:, order]
+        count, used = self.count + len(texts), int(self.start[self.count]) + len(flat)
         while self.hashes.shape[1] < count:
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], axis=1)
             self.start = np.concatenate([self.start, np.zeros(len(self.start) - 1, np.int64)])
@@ -121,21 +134,32 @@ class WordCache:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[used - len(flat) : used] = flat
         self.hashes[:, self.count : count] = hashes
-        lengths = np.array([len(ids) for ids in made], np.int64)
         self.start[self.count + 1 : count + 1] = self.start[self.count] + np.cumsum(lengths)
-        numbers = range(self.count, count)
-        self.known.update(zip(zip(*hashes.tolist(), strict=True), numbers, strict=True))
-        self.slot[(hashes[0] >> np.uint64(64 - self.bits)).astype(np.int64)] = numbers
+        numbers = np.arange(self.count, count)
+        one, other = self._places(hashes)
+        free = self.slot[one] == 0
+        self.slot[np.where(free, one, other)] = numbers
         self.count = count
+        out = np.empty_like(numbers)
+        out[order] = numbers
+        return out
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _is(self, number: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        return (number > 0) & (self.hashes[0, number] == hashes[0]) & (self.hashes[1, number] == hashes[1])
 
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in turn, and how many of them each word has."""
         if self.count > self.most:
             self._empty()
         hashes = np.stack([r.between(r.prefix(data), starts, ends) for r in self.rolling])
-        place = (hashes[0] >> np.uint64(64 - self.bits)).astype(np.int64)
-        number = self.slot[place]
-        missed = np.flatnonzero((self.hashes[0, number] != hashes[0]) | (self.hashes[1, number] != hashes[1]) | (number == 0))
+        one, other = self._places(hashes)
+        number = self.slot[one].astype(np.int64)
+        missed = np.flatnonzero(~self._is(number, hashes))
+        number[missed] = self.slot[other[missed]]
+        missed = missed[~self._is(number[missed], hashes[:, missed])]
         if len(missed):
             number[missed] = self._missed(data, starts[missed], ends[missed], hashes[:, missed])
         counts = self.start[number + 1] - self.start[number]
@@ -143,10 +167,8 @@ class WordCache:
         return self.ids[np.repeat(self.start[number], counts) + within], counts
 
     def _missed(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        keys = list(zip(*hashes.tolist(), strict=True))
-        new = {key: at for at, key in enumerate(keys) if key not in self.known}
-        if new:
-            at = np.fromiter(new.values(), np.int64, len(new))
-            whole = data.tobytes()
-            self._add([whole[starts[i] : ends[i]] for i in at.tolist()], hashes[:, at])
-        return np.fromiter((self.known[key] for key in keys), np.int64, len(keys))
+        _, at, same = np.unique(hashes[0], return_index=True, return_inverse=True)
+        if (hashes[1, at[same]] != hashes[1]).any():  # two words of one first hash
+            at = same = np.arange(len(starts))
+        whole = data.tobytes()
+        return self._add([whole[starts[i] : ends[i]] for i in at.tolist()], hashes[:, at])[same]

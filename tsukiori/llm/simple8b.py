@@ -53,10 +53,8 @@ def encode(ids: np.ndarray, block_starts: np.ndarray) -> tuple[np.ndarray, np.nd
     ids = ids.astype(_U)
     if not len(ids):
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    bits = np.zeros(len(ids), np.int64)
-    for power in (32, 16, 8, 4, 2, 1):
-        bits += np.where(ids >> bits.astype(_U) >> _U(power) > 0, power, 0)
-    room = _ROOM[bits + (ids > 0)]
+    bits = np.frexp(ids.astype(float))[1]  # may be one too many for more than 52 bits, which only costs room
+    room = _ROOM[np.minimum(bits, 64)]
     stop = np.append(block_starts[1:], len(ids))
     position, lane, cursor = block_starts.copy(), np.arange(len(block_starts)), np.zeros(len(block_starts), np.int64)
     made = []
@@ -88,9 +86,13 @@ def encode(ids: np.ndarray, block_starts: np.ndarray) -> tuple[np.ndarray, np.nd
     word = chosen.astype(_U) << _U(60)
     for number in _PACKED:
         mine = np.flatnonzero(chosen == number)
-        for k in range(int(COUNTS[number]) if len(mine) else 0):
-            mine = mine[held[mine] > k] if k else mine
-            word[mine] |= ids[at[mine] + k] << _U(k * int(BITS[number]))
+        short = held[mine] < COUNTS[number]
+        for some, count in ((mine[~short], int(COUNTS[number])), *((mine[[i]], int(held[mine[i]])) for i in np.flatnonzero(short))):
+            if len(some):
+                packed, first = word[some], at[some]
+                for k in range(count):
+                    packed |= ids[first + k] << _U(k * int(BITS[number]))
+                word[some] = packed
     words[target] = word
     words[target[chosen == 0] + 1] = ids[at[chosen == 0]]
     return words, cursor
@@ -184,12 +186,8 @@ def _word_cache(path: str) -> WordCache:
         tokenizer.no_padding()
         tokenizer.no_truncation()
 
-        def encode(words: list[str]) -> list[list[int]]:
-            made = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-            out: list[list[int]] = [[] for _ in words]
-            for word, number in zip(made.word_ids, made.ids, strict=True):
-                out[word].append(number)
-            return out
+        def encode(words: str) -> list[int]:
+            return tokenizer.encode_batch_fast([words], add_special_tokens=False)[0].ids
 
         _loaded[path] = WordCache(encode)
     return _loaded[path]
