@@ -1,0 +1,95 @@
+"""Personal data: base spans against the patterns as given, and what the model adds."""
+
+import random
+import re
+
+from tests.llm.rows import clashing, collected, no_documents, odd_documents
+from tsukiori.llm import weak_pii as w
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    doubled = [int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(digits[::-1], 1)]
+    return sum(doubled) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for match in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", match[0])
+            good = {
+                "email": lambda found, digits: True,
+                "ip": lambda found, digits: all(int(p) <= 255 for p in found.split(".")),
+                "card": lambda found, digits: 13 <= len(digits) <= 19 and luhn(digits),
+                "phone": lambda found, digits: 9 <= len(digits) <= 15,
+            }[kind]
+            if good(match[0], digits):
+                out.append((kind, *match.span()))
+    return out
+
+
+def test_base_spans_are_those_of_the_patterns():
+    random.seed(1)
+    letters = "ab1.2@@+-  ()9x%_é5 0.25512"
+    for _ in range(20000):
+        text = "".join(random.choice(letters) for _ in range(random.randrange(40)))
+        assert w.base_spans(text) == brute(text)
+    for text in ("x@y.com.z@w.org", "4111 1111-1111 1111", "+1 (209) 555-2713", "0255.1.1.1", "300.1.1.1 1.2.3.4.5", "9" * 5000):
+        assert w.base_spans(text) == brute(text)
+
+
+def test_candidates_do_not_overlap():
+    random.seed(2)
+    for _ in range(5000):
+        text = "".join(random.choice("ab1 =:'\"(7-.,Mr Dr Anna token") for _ in range(60))
+        found = w.candidates(text)
+        assert all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+        assert all(0 <= s < e <= len(text) for _, s, e in found)
+
+
+def test_em_learns_which_labelers_to_trust():
+    """A labeler that always agrees with the truth counts for more than one that votes at random."""
+    counts = {}
+    random.seed(3)
+    for _ in range(4000):
+        truth = random.random() < 0.4
+        good = "p" if truth else "n"
+        poor = random.choice("pn")
+        pattern = ("p" if truth and random.random() < 0.5 else "0") + good + good + poor + "0000" + "11"
+        counts[pattern] = counts.get(pattern, 0) + 1
+    model = w.fit(counts)
+    assert model.reliability[1, 1, 1] > 0.9 > 0.6 > model.reliability[1, 3, 1]
+    for pattern, score in model.probability.items():
+        assert (score > 0.5) == (pattern[1] == "p")
+    assert w.fit({}).probability == {}
+
+
+def test_spans_of_a_table(spark):
+    lines = [
+        f"some words here and password=k{'%08x' % (i * 7919)}q{'%08x' % (i * 104729)} and chapter {i}, mail a{i}@b.org or call +1 (209) 555-27{i:02}"
+        for i in range(40)
+    ]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    rows = w.find_personal_data(docs, keep=["doc_id", "text"]).collect()
+    for row in rows:
+        base = [(s["kind"], s["start"], s["end"]) for s in row["spans"] if s["base"]]
+        assert base == brute(row["text"])
+        added = {s["kind"]: row["text"][s["start"] : s["end"]] for s in row["spans"] if not s["base"]}
+        assert added.get("secret", "").startswith("k%08x" % (row["doc_id"] * 7919))
+        assert not any(row["text"][s["start"] - 8 : s["start"]] == "chapter " for s in row["spans"])
+
+
+def test_odd_documents(spark):
+    docs = odd_documents(spark)
+    rows = w.find_personal_data(docs)
+    assert rows.count() == docs.count()
+    assert collected(rows) == collected(w.find_personal_data(clashing(docs)))
+    assert {tuple(r["spans"]) for r in rows.where("doc_id IN (1, 2, 3)").collect()} == {()}
+    assert w.find_personal_data(no_documents(spark)).collect() == []
