@@ -9,6 +9,12 @@ be compared. The bound, and with it the number of parts, goes by bands of set
 sizes. Parts of a single shingle are no keys, because passages that many texts
 share would make them hot; a text that has too few other parts gets further
 sketches by other hashes, until one has enough.
+
+A key of more than ``CROWD`` texts is crowded. A text that has more keys than the
+bound even without its crowded ones needs none of these: whatever is similar to
+it shares one of the others. Texts that lack them get a second, finer sketch
+among themselves, and only what is crowded there too, as in large groups of near
+copies, is compared by crowded keys.
 """
 
 from __future__ import annotations
@@ -33,6 +39,10 @@ SKETCH_BITS = 1024
 BAND = 1.25
 #: Sketches of a text at most; after them all parts of the last are keys.
 ROUNDS = 64
+#: Texts of a key from which on it is crowded.
+CROWD = 24
+#: Pairs per row of a key that are compared in one step, without waiting for fewer.
+AT_ONCE = 20
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -66,6 +76,12 @@ def bands(percent: int) -> Bands:
     return Bands(low, reach, bound, parts, strong)
 
 
+def fine(grid: Bands) -> Bands:
+    """The same bands with as many parts as leave most with one shingle at least."""
+    parts = np.maximum(np.ceil(0.6 * grid.first), grid.bound + 2).astype(np.int64)
+    return Bands(grid.first, grid.reach, grid.bound, parts, np.ones_like(grid.strong))
+
+
 def _parts(size: int, bound: int, strong: int) -> int:
     """The fewest parts of which more than the bound, by a margin, are expected to be strong."""
     def expected(parts: float) -> float:
@@ -121,8 +137,17 @@ def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def keys(sets: Sets, grid: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the texts, and the text of each: similar texts that are not equal share one."""
+@dataclass
+class Keys:
+    """Keys of the texts of a batch. Similar texts that are not equal share one."""
+
+    key: np.ndarray
+    doc: np.ndarray
+    level: np.ndarray  # the band for whose pairs the key is
+    spare: np.ndarray  # how many of the text's keys for that band can be ignored
+
+
+def keys(sets: Sets, grid: Bands, rounds: range = range(ROUNDS)) -> Keys:
     sizes = sets.sizes
     own = np.searchsorted(grid.first, sizes, "right") - 1
     docs, levels = [], []
@@ -137,8 +162,8 @@ def keys(sets: Sets, grid: Bands) -> tuple[np.ndarray, np.ndarray]:
         going = going[sizes[going] <= grid.reach[level[going]]]
     doc = np.concatenate([np.zeros(0, np.int64), *docs])
     level = np.concatenate([np.zeros(0, np.int64), *levels])
-    found, whose = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-    for round_ in range(ROUNDS):
+    made = [(np.zeros(0, _U), *[np.zeros(0, np.int64)] * 3)]
+    for round_ in rounds:
         if not len(doc):
             break
         count, parts = sizes[doc], grid.parts[level]
@@ -152,16 +177,27 @@ def keys(sets: Sets, grid: Bands) -> tuple[np.ndarray, np.ndarray]:
         sketch = np.zeros(total, _U)
         np.bitwise_xor.at(sketch, place, hashes)
         strong = held >= np.repeat(grid.strong[level], parts)
-        enough = np.add.reduceat(strong, base) > grid.bound[level]
-        if round_ == ROUNDS - 1:
+        spare = np.add.reduceat(strong, base) - grid.bound[level] - 1
+        enough = spare >= 0
+        if round_ == rounds[-1]:
             strong |= np.repeat(~enough, parts)
         unit = np.repeat(np.arange(len(doc)), parts)[strong]
         part = np.flatnonzero(strong) - base[unit]
         salt = tb.mix((level[unit].astype(_U) << _U(40)) + (part.astype(_U) << _U(8)) + _U(round_))
-        found.append(tb.mix(sketch[strong] ^ salt))
-        whose.append(doc[unit])
+        made.append((tb.mix(sketch[strong] ^ salt), doc[unit], level[unit], np.where(enough, spare, -1)[unit]))
         doc, level = doc[~enough], level[~enough]
-    return np.concatenate(found), np.concatenate(whose)
+    return Keys(*(np.concatenate(x) for x in zip(*made, strict=True)))
+
+
+_KEYED = "key long, id long, unit long"
+
+
+def _key_rows(ids: np.ndarray, found: Keys) -> pa.RecordBatch:
+    """``unit`` has the band and the keys that can be ignored, in one number."""
+    unit = found.level << 32 | found.spare + 1
+    return pa.RecordBatch.from_arrays(
+        [pa.array(found.key.view(np.int64)), pa.array(ids[found.doc], pa.int64()), pa.array(unit, pa.int64())], names=["key", "id", "unit"]
+    )
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -207,11 +243,42 @@ def _keyed(docs: DataFrame, size: int, grid: Bands) -> DataFrame:
                     seen.add(name)
                 kept = sets.sizes * new
                 sets = Sets(sets.hashes[np.repeat(new, sets.sizes)], np.concatenate([[0], np.cumsum(kept)]))
-                found, whose = keys(sets, grid)
-                ids = part.column(0).to_numpy()[whose]
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(ids, pa.int64())], names=["key", "id"])
+                yield _key_rows(part.column(0).to_numpy(), keys(sets, grid))
+
+    return docs.select("id", "text").mapInArrow(run, _KEYED)
+
+
+def _keyed_again(contents: DataFrame, grid: Bands) -> DataFrame:
+    """A row per key of a finer sketch and set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(1)
+            counts = np.array(held.value_lengths())
+            values = held.flatten().to_numpy(zero_copy_only=False).view(_U)
+            sets = Sets(values, np.concatenate([[0], np.cumsum(counts)]))
+            yield _key_rows(batch.column(0).to_numpy(), keys(sets, grid, range(ROUNDS, ROUNDS + 1)))
 
-    return docs.select("id", "text").mapInArrow(run, "key long, id long")
+    return contents.select("id", "held").mapInArrow(run, _KEYED)
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The rows of keys of several ids, and how many they have."""
+    key = Window.partitionBy("key")
+    several = keyed.withColumns({"least": F.min("id").over(key), "most": F.max("id").over(key)}).where("least != most")
+    return several.select("key", "id", "unit")
+
+
+def _crowds(held: DataFrame) -> DataFrame:
+    """Sets that cannot do without their crowded keys, by what they can ignore for a band."""
+    crowded = held.where(F.col("m") > CROWD).groupBy("rep", "unit").count()
+    return crowded.where(F.col("count") > F.col("unit").bitwiseAND(F.lit((1 << 32) - 1)) - 1).select("rep").distinct()
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Distinct sets by key, with the number of sets of the key, for keys of several."""
+    one = rows.groupBy("key", "rep", "unit").agg(F.lit(1).alias("one"))
+    return one.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1").drop("one")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -258,9 +325,9 @@ def link_groups(
     Equal sets are found by a 128-bit hash and stand for each other, so copies
     are never paired. Texts that share a key are compared with the first of
     those with the key, then, while a key still holds more than one component,
-    with the next ones, in steps that double; what a sketch of fixed size or the
-    sizes rule out is not compared by sets. No pair of texts that share a key
-    and end in different components is left out.
+    with the next ones, in growing steps, or with all if few are left; what a sketch of fixed size or the
+    sizes rule out is not compared by sets. No pair of texts that share a key,
+    and may need it, is left out if it ends in different components.
     """
     grid = bands(percent)
     source = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text}`"].cast("string").alias("text"))
@@ -269,32 +336,35 @@ def link_groups(
     same = ["n", "f1", "f2"]
     classes = stage(named.groupBy(*same).agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     member = stage(named.join(classes.select(*same, "rep"), same).select("id", "rep", "n").distinct(), "members")
-    sets = stage(classes.select("rep", "n", "sketch"), "sets")
+    sets = classes.select("rep", "n", "sketch")
 
-    key = Window.partitionBy("key")
-    keyed = _keyed(source.where("id IS NOT NULL"), size, grid)
-    shared = stage(
-        keyed.withColumns({"least": F.min("id").over(key), "most": F.max("id").over(key)}).where("least != most").select("key", "id"),
-        "shared-keys",
-    )
-    held = shared.join(member.select("id", "rep"), "id").select("key", "rep").distinct()
-    held = held.withColumns({"least": F.min("rep").over(key), "most": F.max("rep").over(key)}).where("least != most")
-    held = stage(held.select("key", "rep", F.row_number().over(key.orderBy("rep")).alias("place")), "held-keys")
-
-    wanted = held.select("rep").distinct()
+    shared = stage(_shared(_keyed(source.where("id IS NOT NULL"), size, grid)), "shared-keys")
+    first = stage(_counted(shared.join(member.select("id", "rep"), "id")), "first-keys")
+    crowded = stage(_crowds(first), "crowded")
+    calm = first.where(F.col("m") <= CROWD).select("key", "rep")
+    wanted = calm.select("rep").union(crowded).distinct()
     texts = source.join(wanted, source["id"] == wanted["rep"], "left_semi")
     contents = stage(_sets(texts, size).where(F.size("held") > 0), "contents")
 
+    again = _keyed_again(contents.join(crowded, contents["id"] == crowded["rep"], "left_semi"), fine(grid))
+    second = stage(_counted(again.withColumnRenamed("id", "rep")), "second-keys")
+    stuck = stage(_crowds(second), "stuck")
+    dense = _counted(second.where(F.col("m") > CROWD).drop("m").join(stuck, "rep", "left_semi"))
+    held = calm.union(second.where(F.col("m") <= CROWD).select("key", "rep")).union(dense.select("key", "rep")).distinct()
+    place = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
+    held = stage(held.withColumn("place", place), "held-keys")
+
     # a document of several sets links them
     edges = member.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     verified = _verified(_nearest_first(held, sets, percent), contents, percent)
     links = stage(verified, "verified")
     tested, low = None, 0
-    most = held.agg(F.max("place")).first()[0] or 0
+    rows, most = held.agg(F.count("*"), F.coalesce(F.max("place"), F.lit(0))).first()
     roots = components(links)
     while low < most:
-        high = max(1, 2 * low)
-        pairs = _open_pairs(held, roots, low, high)
+        still = _open_keys(held, roots)
+        high = most if _pairs_left(still) <= AT_ONCE * rows else max(1, 4 * low)
+        pairs = _open_pairs(still, low, high)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(_with_sketches(pairs, sets).where(_plausible(percent)).select("a", "b"), "pairs")
@@ -305,7 +375,8 @@ def link_groups(
                 links = stage(links.union(more), "links")
                 roots = components(links)
         low = high
-    roots = components(links.union(edges))
+    if not edges.isEmpty():
+        roots = components(links.union(edges))
     return signed.join(roots, signed["id"] == roots["node"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id")
     )
@@ -326,12 +397,23 @@ def _nearest_first(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return plausible.select("a", "b", "count").withColumn("place", place).where("place = 1").select("a", "b")
 
 
-def _open_pairs(held: DataFrame, roots: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs of sets with a key in common, one of places ``low + 1`` to ``high``, in different components."""
+def _open_keys(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of keys that hold more than one component."""
     known = held.join(roots, held["rep"] == roots["node"], "left").select("key", "rep", "place", F.coalesce("root", "rep").alias("root"))
     key = Window.partitionBy("key")
     still = known.withColumns({"least": F.min("root").over(key), "most": F.max("root").over(key)}).where("least != most")
-    still = stage(still.select("key", "rep", "place", "root"), "open-keys")
+    return stage(still.select("key", "rep", "place", "root"), "open-keys")
+
+
+def _pairs_left(still: DataFrame) -> int:
+    """Pairs of rows of one key and different components."""
+    by_root = still.groupBy("key", "root").agg(F.count("*").alias("n"))
+    by_key = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    return by_key.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+
+
+def _open_pairs(still: DataFrame, low: int, high: int) -> DataFrame:
+    """Pairs of sets with a key in common, one of places ``low + 1`` to ``high``, in different components."""
     one = still.where((F.col("place") > low) & (F.col("place") <= high)).select(
         "key", F.col("rep").alias("a"), F.col("place").alias("a_place"), F.col("root").alias("a_root")
     )
