@@ -22,7 +22,7 @@ def texts(spark):
 
 
 def test_ids_are_the_librarys_and_decode_to_the_text(texts):
-    tokens = byte_bpe.encode(texts, RANKS, public_tokenizers.PATTERN, keep=["doc_id", "text"])
+    tokens = byte_bpe.encode(texts, RANKS, keep=["doc_id", "text"])
     rows = byte_bpe.decode(tokens, RANKS, keep=["text", "ids"]).collect()
     assert len(rows) == texts.count()
     for row in rows:
@@ -43,7 +43,7 @@ def test_query_over_a_table(spark):
 
 
 def test_no_documents_and_other_columns(spark, texts):
-    assert byte_bpe.encode(no_documents(spark), RANKS, public_tokenizers.PATTERN).collect() == []
-    one = byte_bpe.encode(texts, RANKS, public_tokenizers.PATTERN)
-    other = byte_bpe.encode(clashing(texts), RANKS, public_tokenizers.PATTERN)
+    assert byte_bpe.encode(no_documents(spark), RANKS).collect() == []
+    one = byte_bpe.encode(texts, RANKS)
+    other = byte_bpe.encode(clashing(texts), RANKS)
     assert collected(one) == collected(other)

@@ -1,29 +1,33 @@
 """Byte-level BPE encoding and decoding in higher-order functions.
 
-A word's bytes are an array of pieces, written in hexadecimal. A fold over the
-array merges, each time, the leftmost of the adjacent pairs whose concatenation
-has the lowest rank, until no pair has one. The ranks are a literal: an array of
-small maps, of which a piece's hash selects one. Decoding takes the pieces
-of the ids from a literal array and concatenates them.
+Documents are taken in batches, each one row: its distinct words, and its
+documents as numbers of these. A word's bytes are an array of pieces, written in
+hexadecimal. A fold over the array merges, each time, the leftmost of the
+adjacent pairs whose concatenation has the lowest rank, until no pair has one.
+The ranks are a literal: an array of small maps, of which a piece's hash selects
+one. Decoding takes the pieces of the ids from a literal array and concatenates
+them.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tsukiori.scratch import stage
+from tsukiori.llm import textbytes as tb
+from tsukiori.llm.pretokens import split
 
 #: Maps that the ranks are spread over.
 BUCKETS = 1 << 14
-#: Documents, about, whose words are counted to find the frequent ones.
-SAMPLE = 20_000
-#: Most words that are encoded once for all documents, and their longest, in bytes.
-FREQUENT, FREQUENT_BYTES = 200_000, 32
+#: Bytes of text of a batch, if a single text is not longer.
+BATCH_BYTES = 16 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -90,52 +94,76 @@ def encode_word(word: Column, ranks: Column) -> Column:
     return _let(word, lambda own: F.coalesce(_let(rank_of(own), lambda r: F.when(r.isNotNull(), F.array(r))), merged(own)))
 
 
-def _hex(word: Column) -> Column:
-    return F.hex(F.encode(word, "UTF-8"))
-
-
-def _frequent(words: DataFrame, ranks: Column) -> DataFrame:
-    """One row: an array of maps from frequent words to their ids, by the words' hash."""
-    top = words.where(F.octet_length("word") <= FREQUENT_BYTES).groupBy("word").count()
-    top = top.orderBy(F.desc("count"), "word").limit(FREQUENT)
-    coded = stage(top.select("word", encode_word(_hex(F.col("word")), ranks).alias("ids")), "frequent-words")
-    held = coded.groupBy(_bucket(F.col("word"), BUCKETS).cast("long").alias("id")).agg(F.collect_list(F.struct("word", "ids")).alias("held"))
-    every = coded.sparkSession.range(BUCKETS).join(held, "id", "left").groupBy().agg(F.array_sort(F.collect_list(F.struct("id", "held"))).alias("rows"))
-    return every.select(F.transform("rows", lambda r: F.map_from_entries(F.coalesce(r["held"], F.array().cast("array<struct<word:string,ids:array<int>>>")))).alias("words"))
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
+def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct pair of hashes is first, and the number of each one's pair."""
+    _, at, same = np.unique(first, return_index=True, return_inverse=True)
+    if (second[at[same]] != second).any():  # two words of one first hash
+        _, at, same = np.unique(np.stack([first, second]), axis=1, return_index=True, return_inverse=True)
+    return at, same.ravel()
+
+
+def _batches(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """A row per batch: its distinct words in hexadecimal, its documents, and the words of each by number."""
+    fields = [T.StructField(name, docs.schema[name].dataType) for name in keep]
+    kind = T.StructType([*fields, T.StructField("numbers", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("docs", T.ArrayType(kind))])
+    count = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = tb.Rolling(8), tb.Rolling(9)
+        for batch in batches:
+            for start, stop in tb.slices(batch.column(count), BATCH_BYTES):
+                part = batch.slice(start, stop - start)
+                hashes, places, per_doc, words = [], [], [], []
+                for first, last in tb.slices(part.column(count)):
+                    data, offsets = tb.utf8(part.column(count).slice(first, last - first))
+                    starts = split(data, offsets)
+                    ends = np.append(starts[1:], len(data))
+                    own = np.stack([r.between(r.prefix(data), starts, ends) for r in rolling])
+                    at, numbers = _distinct(*own)
+                    whole = data.tobytes()
+                    places.append(numbers + len(words))
+                    words += [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+                    hashes.append(own[:, at])
+                    per_doc.append(np.diff(tb.owners(starts, offsets)))
+                at, same = _distinct(*np.concatenate(hashes, axis=1))
+                numbers = same[np.concatenate(places)]
+                distinct = pa.array([words[i].hex().upper() for i in at.tolist()], pa.string())
+                listed = tb.lists(numbers, np.concatenate(per_doc), pa.int32())
+                rows = pa.StructArray.from_arrays([*part.columns[:count], listed], names=[*keep, "numbers"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (distinct, rows)], names=["words", "docs"]
+                )
+
+    return docs.select(*[f"`{c}`" for c in keep], docs[f"`{text}`"].cast("string").alias("__text")).mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """The kept columns of each document, and ``ids`` (array of int): its text in tokens.
 
-    Each match of ``pattern``, a regular expression, is a word and is encoded by
-    itself: by its rank, if it has one, else by merging its bytes as described
-    above. Every single byte must have a rank.
+    A text is split as the byte-level vocabularies ask for (see ``pretokens``),
+    and each word is encoded by itself: by its rank, if it has one, else by
+    merging its bytes as described above. Every single byte must have a rank.
 
-    No document is shuffled. The most frequent words of about ``SAMPLE``
-    documents, ``FREQUENT`` of at most ``FREQUENT_BYTES`` bytes, are encoded
-    first and sent to all tasks, which look them up and encode all other words
-    where they find them; so the sample has a say in the time, not in the result.
+    No document is shuffled. Each distinct word of a batch of ``BATCH_BYTES`` is
+    encoded once; a task holds one batch, or one longer text.
 
     Null and empty texts have no ids. Repeated documents each get their row.
-    Other columns are not looked at, and a kept one named ``ids`` is replaced. The time grows with the
-    square of the longest word.
+    Other columns are not looked at, and a kept one named ``ids`` is replaced.
+    The time grows with the square of the longest word.
     """
     keep = [name for name in dict.fromkeys(keep) if name.lower() != "ids"]
     literal = rank_map(docs.sparkSession, ranks)
-    own = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    words = F.regexp_extract_all(own, F.lit(f"(?U){pattern}"), F.lit(0))
-    every = docs.count()
-    some = docs
-    if every > SAMPLE:
-        some = docs.where(F.xxhash64(own).bitwiseAND(F.lit((1 << 62) - 1)) < F.lit(int(SAMPLE / every * (1 << 62))))
-    frequent = _frequent(some.select(F.explode(words).alias("word")), literal)
-    split = docs.select(*[f"`{c}`" for c in keep], words.alias("__words"), frequent.scalar().alias("__frequent"))
-
-    def ids_of(word: Column) -> Column:
-        known = F.try_element_at(F.get("__frequent", _bucket(word, BUCKETS)), word)
-        return F.coalesce(known, encode_word(_hex(word), literal))
-
-    return split.select(*[f"`{c}`" for c in keep], F.flatten(F.transform("__words", ids_of)).alias("ids"))
+
+    def of_batch(coded: Column) -> Column:
+        def of_document(doc: Column) -> Column:
+            ids = F.flatten(F.transform(doc["numbers"], lambda i: F.get(coded, i)))
+            return F.struct(*[doc[name].alias(name) for name in keep], ids.alias("ids"))
+
+        return F.transform("docs", of_document)
+
+    coded = F.transform("words", lambda word: encode_word(word, literal))
+    return _batches(docs, keep, text).select(F.inline(_let(coded, of_batch)))
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", keep: Iterable[str] = ("doc_id",)) -> DataFrame:

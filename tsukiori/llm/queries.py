@@ -17,7 +17,7 @@ __all__ = ["ORACLES", "QUERIES"]
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's token ids, and the bytes they decode to."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    tokens = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    tokens = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks)
     return byte_bpe.decode(tokens, ranks, keep=["doc_id", "ids"]).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
