@@ -70,7 +70,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the hash of the bytes they decode to."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    tokens = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    tokens = byte_bpe.encode(docs, ranks)
     return byte_bpe.decode(tokens, ranks, keep=["doc_id", "ids"]).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
