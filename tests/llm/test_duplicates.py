@@ -48,6 +48,7 @@ def edited(words, changes):
 @pytest.mark.parametrize(("size", "percent", "crowd"), [(4, 85, 24), (5, 80, 2), (2, 60, 4)])
 def test_groups_are_those_of_all_pairs(spark, monkeypatch, size, percent, crowd):
     monkeypatch.setattr(parity_join, "CROWD", crowd)
+    monkeypatch.setattr(parity_join, "BLOCK", 3)
     random.seed(size)
     passage = [random.choice(WORDS) for _ in range(25)]
     texts = []

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,8 @@ BAND = 1.25
 ROUNDS = 64
 #: Texts of a key from which on it is crowded.
 CROWD = 24
-#: Pairs per row of a key that are compared in one step, without waiting for fewer.
-AT_ONCE = 20
+#: Texts of a block of a crowded key; a task compares the sketches of two blocks.
+BLOCK = 512
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -325,9 +326,9 @@ def link_groups(
     Equal sets are found by a 128-bit hash and stand for each other, so copies
     are never paired. Texts that share a key are compared with the first of
     those with the key, then, while a key still holds more than one component,
-    with the next ones, in growing steps, or with all if few are left; what a sketch of fixed size or the
-    sizes rule out is not compared by sets. No pair of texts that share a key,
-    and may need it, is left out if it ends in different components.
+    with the others; what a sketch of fixed size or the sizes rule out is not
+    compared by sets. No pair of texts that share a key, and may need it, is left
+    out if it ends in different components.
     """
     grid = bands(percent)
     source = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text}`"].cast("string").alias("text"))
@@ -358,25 +359,12 @@ def link_groups(
     edges = member.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     verified = _verified(_nearest_first(held, sets, percent), contents, percent)
     links = stage(verified, "verified")
-    tested, low = None, 0
-    rows, most = held.agg(F.count("*"), F.coalesce(F.max("place"), F.lit(0))).first()
     roots = components(links)
-    while low < most:
-        still = _open_keys(held, roots)
-        high = most if _pairs_left(still) <= AT_ONCE * rows else max(1, 4 * low)
-        pairs = _open_pairs(still, low, high)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(_with_sketches(pairs, sets).where(_plausible(percent)).select("a", "b"), "pairs")
-        if not pairs.isEmpty():
-            more = stage(_verified(pairs, contents, percent), "verified")
-            tested = pairs if tested is None else stage(tested.union(pairs), "tested")
-            if not more.isEmpty():
-                links = stage(links.union(more), "links")
-                roots = components(links)
-        low = high
-    if not edges.isEmpty():
-        roots = components(links.union(edges))
+    still = _open_keys(held, roots)
+    pairs = stage(_open_pairs(still, sets, percent).union(_dense_pairs(still, sets, percent)).distinct(), "pairs")
+    more = stage(_verified(pairs, contents, percent), "verified")
+    if not more.isEmpty() or not edges.isEmpty():
+        roots = components(links.union(more).union(edges))
     return signed.join(roots, signed["id"] == roots["node"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id")
     )
@@ -402,27 +390,49 @@ def _open_keys(held: DataFrame, roots: DataFrame) -> DataFrame:
     known = held.join(roots, held["rep"] == roots["node"], "left").select("key", "rep", "place", F.coalesce("root", "rep").alias("root"))
     key = Window.partitionBy("key")
     still = known.withColumns({"least": F.min("root").over(key), "most": F.max("root").over(key)}).where("least != most")
-    return stage(still.select("key", "rep", "place", "root"), "open-keys")
+    most = F.max("place").over(key)
+    return stage(still.withColumn("most", most).select("key", "rep", "place", "root", "most"), "open-keys")
 
 
-def _pairs_left(still: DataFrame) -> int:
-    """Pairs of rows of one key and different components."""
-    by_root = still.groupBy("key", "root").agg(F.count("*").alias("n"))
-    by_key = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    return by_key.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
-
-
-def _open_pairs(still: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs of sets with a key in common, one of places ``low + 1`` to ``high``, in different components."""
-    one = still.where((F.col("place") > low) & (F.col("place") <= high)).select(
-        "key", F.col("rep").alias("a"), F.col("place").alias("a_place"), F.col("root").alias("a_root")
-    )
-    return (
-        one.join(still.where(F.col("place") > low), "key")
+def _open_pairs(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Plausible pairs of sets that share a key that is not crowded, in different components."""
+    few = still.where(F.col("most") <= CROWD)
+    one = few.select("key", F.col("rep").alias("a"), F.col("place").alias("a_place"), F.col("root").alias("a_root"))
+    pairs = (
+        one.join(few, "key")
         .where((F.col("place") > F.col("a_place")) & (F.col("root") != F.col("a_root")))
-        .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+        .select("a", F.col("rep").alias("b"))
         .distinct()
     )
+    return _with_sketches(pairs, sets).where(_plausible(percent)).select("a", "b")
+
+
+def _dense_pairs(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The same for crowded keys. Their sets are cut into blocks, and a task has two blocks of a key."""
+    blocks = F.floor((F.col("most") - 1) / BLOCK).cast("int")
+    block = F.floor((F.col("place") - 1) / BLOCK).cast("int")
+    many = still.where(F.col("most") > CROWD).join(sets, "rep")
+    rows = many.select(
+        "key", "rep", "root", "n", "sketch", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks)).alias("other")
+    ).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
+        rep, root, n = (group[name].to_numpy() for name in ("rep", "root", "n"))
+        sketch = np.stack(group["sketch"].to_numpy()).view(_U)
+        at = [np.flatnonzero(group["block"].to_numpy() == k) for k in (low, high)]
+        found = []
+        for i in at[0]:
+            others = at[1][at[1] != i]
+            bound = (100 - percent) * (n[i] + n[others]) // (100 + percent)
+            likely = (root[others] != root[i]) & (np.abs(n[others] - n[i]) <= bound)
+            others, bound = others[likely], bound[likely]
+            apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            near = rep[others[apart <= bound]]
+            found.append(np.stack([np.minimum(near, rep[i]), np.maximum(near, rep[i])], axis=1))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+    return rows.groupBy("key", "low", "high").applyInPandas(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
