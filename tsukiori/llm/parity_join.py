@@ -43,7 +43,7 @@ ROUNDS = 64
 #: Texts of a key from which on it is crowded.
 CROWD = 24
 #: Texts of a block of a crowded key; a task compares the sketches of two blocks.
-BLOCK = 512
+BLOCK = 4096
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
