@@ -92,6 +92,23 @@ def test_odd_rows_in_files(spark, tmp_path):
     assert simple8b.read_token_ids(spark, str(tmp_path / "none")).collect() == []
 
 
+def test_added_tokens_are_those_of_the_library(spark, tmp_path):
+    library = Tokenizer.from_file(TOKENIZER)
+    end = "<|endoftext|>"
+    texts = [f"a page end {end} next", f"{end}{end}", f"x{end}'s {end}\n\n{end}", "half <|endo", "ftext|> of one", f"é {end}é  {end}", f"<{end[1:-1]} >", "", None, f"  {end}"]
+    random = np.random.default_rng(3)
+    texts += ["".join(random.choice(["a", " ", "\n", "'s", "é", "9", "<|", end, end[:6], end[6:]], random.integers(0, 25))) for _ in range(2000)]
+    data, offsets = tb.utf8(pa.array(texts))
+    ids, counts = simple8b.Encoder(TOKENIZER).ids(data, offsets)
+    want = [library.encode(text or "", add_special_tokens=False).ids for text in texts]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    docs = spark.createDataFrame(list(enumerate(texts[:40])), "doc_id long, text string")
+    simple8b.write_token_ids(docs, str(tmp_path / "added"), TOKENIZER, end_id=2)
+    rows = simple8b.checksums(simple8b.read_token_ids(spark, str(tmp_path / "added"))).orderBy("doc_id").collect()
+    assert [r["ids_crc32"] for r in rows] == [zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for x in want[:40]]
+    assert [r["start"] for r in rows] == [sum(len(x) + 1 for x in want[:i]) for i in range(40)]
+
+
 def greedy(word, pieces):
     count = 0
     while word:

@@ -14,6 +14,7 @@ of the first word of each block of ``BLOCK`` ids).
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -172,24 +173,66 @@ def unpack(words: pa.Array, blocks: pa.Array, counts: np.ndarray) -> np.ndarray:
     return decode(flat, following - starts, np.minimum(BLOCK, counts[doc] - within * BLOCK))
 
 
-_loaded: dict[str, WordCache] = {}
+class Encoder:
+    """The ids of texts by a byte-level tokenizer file.
 
+    Texts are cut at the file's added tokens, each of which is one id; what lies
+    between is split into words as if it were a text, as the library does.
+    """
 
-def _word_cache(path: str) -> WordCache:
-    """The ids of single words by a byte-level tokenizer file, kept for the life of a worker."""
-    if path not in _loaded:
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        added = tokenizer.get_added_tokens_decoder()
+        if any(token.single_word or token.lstrip or token.rstrip for token in added.values()):
+            raise ValueError("an added token depends on what is beside it")
+        if len({token.normalized for token in added.values()}) > 1:
+            raise ValueError("the added tokens are not matched all at once")
+        self.added = {token.content.encode(): number for number, token in added.items() if token.content}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.pattern = re.compile(b"|".join(map(re.escape, longest_first))) if longest_first else None
+        tokenizer.encode_special_tokens = True  # in a word there is none, and none may arise between two
         tokenizer.no_padding()
         tokenizer.no_truncation()
 
         def encode(words: str) -> list[int]:
             return tokenizer.encode_batch_fast([words], add_special_tokens=False)[0].ids
 
-        _loaded[path] = WordCache(encode)
+        self.cache = WordCache(encode)
+
+    def _added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Starts, ends and ids of the added tokens in the texts, a row of three for each."""
+        whole, rows = data.tobytes(), []
+        if self.pattern is not None and self.pattern.search(whole):
+            for start, stop in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                rows += [(m.start(), m.end(), self.added[m[0]]) for m in self.pattern.finditer(whole, start, stop)]
+        return np.array(rows, np.int64).reshape(-1, 3)
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and how many of them each text has."""
+        added = self._added(data, offsets)
+        starts = split(data, np.concatenate([offsets, added[:, 0], added[:, 1]]))
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        inside = np.searchsorted(added[:, 0], starts, "right") > np.searchsorted(added[:, 1], starts, "right")
+        found, counts = self.cache.look_up(data, starts[~inside], ends[~inside])
+        if len(added):
+            place = np.searchsorted(starts[~inside], added[:, 0])  # the words before it
+            at = np.concatenate([[0], np.cumsum(counts)])[place]
+            found, counts = np.insert(found, at, added[:, 2]), np.insert(counts, place, 1)
+            starts = np.insert(starts[~inside], place, added[:, 0])
+        reach = np.concatenate([[0], np.cumsum(counts)])[tb.owners(starts, offsets)]
+        return found, np.diff(reach)
+
+
+_loaded: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer file, kept for the life of a worker."""
+    if path not in _loaded:
+        _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
@@ -200,8 +243,9 @@ def write_token_ids(
 
     ``tokenizer`` is a file of the tokenizers library, present on every worker,
     of a byte-level kind, which encodes each word of its split by itself; so each
-    worker keeps what the library made of words. Special tokens are neither added
-    nor recognised in texts. Documents go to
+    worker keeps what the library made of words. Added tokens of the file, special
+    or not, are recognised in texts as the library does by default; special tokens
+    are not added. Documents go to
     files by ranges of ``order``, whose bounds Spark samples, and are sorted
     within; so the files in order hold all documents in ascending order. Only
     the texts are shuffled, once.
@@ -222,14 +266,12 @@ def write_token_ids(
     ]
 
     def make() -> tb.Work:
-        cache, before = _word_cache(tokenizer), 0
+        encoder, before = _encoder(tokenizer), 0
 
         def work(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
             nonlocal before
-            starts = split(data, offsets)
-            found, per_word = cache.look_up(data, starts, np.append(starts[1:], len(data)))
-            reach = np.concatenate([[0], np.cumsum(per_word)])[tb.owners(starts, offsets)]
-            counts = np.diff(reach) + 1
+            found, counts = encoder.ids(data, offsets)
+            counts = counts + 1
             ends = np.cumsum(counts)
             ids = np.full(int(ends[-1]), end_id, np.int64)
             inner = np.ones(len(ids), bool)
