@@ -18,24 +18,23 @@ from tsukiori.scratch import stage
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Least share of a text that must be in its main language.
-MAIN_LANGUAGE = 0.5
 #: Words of a shingle, and the similarity in hundredths from which texts are near duplicates.
 SHINGLE, SIMILAR = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language, which fills in a null ``lang``.
+    """Documents in known languages, the main one of which fills in a null ``lang``.
 
-    Rejected are texts that are null or have no letter, and those of which no
-    language has ``MAIN_LANGUAGE``. The model learns from the labelled documents;
+    Rejected are texts that are null or have no letter, and those no word of
+    which has a script of a learned language. Texts of several languages stay,
+    whatever the share of the main one. The model learns from the labelled documents;
     if there are none, no text with letters is rejected.
     """
     model = language_spans.train(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = language_spans.label_spans(docs, model, keep=COLUMNS)
-    kept = found.where((F.col("lang_pred") != language_spans.UNKNOWN) & (F.col("score") >= MAIN_LANGUAGE))
+    kept = found.where((F.col("lang_pred") != language_spans.UNKNOWN) & F.col("fits"))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

@@ -246,6 +246,15 @@ def test_pipeline_on_odd_documents(spark, tmp_path):
     assert {4, 6, 8} <= {r["doc_id"] for r in made.collect()} or made.isEmpty()
 
 
+def test_pipeline_keeps_texts_of_several_languages(spark, tmp_path):
+    english, german = "the house and the garden of the old man with the dog", "der Hund und die Katze auf dem Dach von der Straße"
+    russian = "собака и кошка в саду у старого дома"
+    texts = [(english, "en"), (german, "de"), (russian, "ru")] * 5 + [(f"{english}. {german}! {russian}", None), ("สวัสดีชาวโลก ภาษาไทย", None), ("12 34", None)]
+    docs = spark.createDataFrame([(i, t, n, "a", len(t)) for i, (t, n) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()}
+    assert set(kept) == set(range(16)) and kept[15] == "ru"
+
+
 def test_pipeline_keeps_what_brute_force_keeps(spark):
     """On a given table: no contaminated document stays, no two near duplicates, and clean ones do."""
     sf_dir = "/root/testdata/sf0.001"

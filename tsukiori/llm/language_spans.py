@@ -224,8 +224,9 @@ def label_spans(
     Adds ``lang_pred`` (the language with most bytes of words; ties: the first by
     name), ``score`` (its share of them, 0 to 1) and ``spans`` (array of struct
     of start, end, lang: from a span's first to after its last word, in
-    characters). A text that is null or has no letter, or any text under a model
-    that has learned no language, is ``und``, with score 0 and no spans.
+    characters) and ``fits`` (does any word have a script that a learned language
+    uses?). A text that is null or has no letter, or any text under a model that
+    has learned no language, is ``und``, with score 0 and no spans, and fits not.
 
     Repeated documents each get their row; other columns are not looked at, and
     kept ones with the added names are replaced. No shuffle; the model, of fixed
@@ -236,6 +237,7 @@ def label_spans(
         rolling = tb.Rolling(6)
         names = np.array([*model.languages, UNKNOWN], object)
         n = len(model.languages)
+        used = int(np.bitwise_or.reduce(model.scripts)) if n else 0
 
         def work(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
             count = len(offsets) - 1
@@ -247,6 +249,7 @@ def label_spans(
             share = np.bincount(doc * max(n, 1) + label, weights=ends - starts, minlength=count * max(n, 1)).reshape(count, -1)
             best = np.where(known, share.argmax(axis=1), n)
             score = np.where(known, share.max(axis=1) / np.maximum(share.sum(axis=1), 1), 0.0)
+            fits = known & (np.bincount(doc[(words.script & used) != 0], minlength=count) > 0)
             opens = np.ones(len(doc), bool)
             opens[1:] = (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])
             opens = np.flatnonzero(opens)
@@ -267,6 +270,7 @@ def label_spans(
                 pa.array(names[best], pa.string()),
                 pa.array(score, pa.float64()),
                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), spans),
+                pa.array(fits, pa.bool_()),
             ]
 
         return work
@@ -276,5 +280,6 @@ def label_spans(
         T.StructField("lang_pred", T.StringType()),
         T.StructField("score", T.DoubleType()),
         T.StructField("spans", T.ArrayType(span)),
+        T.StructField("fits", T.BooleanType()),
     ]
     return tb.per_document(docs, text, keep, outputs, make)
