@@ -105,6 +105,16 @@ def test_spans_of_mixed_texts(spark):
     assert got["lang_pred"] == "ru" and 0.3 < got["score"] < 0.6
 
 
+def test_rare_languages_are_learned_and_copies_count_once(spark):
+    rows = [(f"the house number {i} and the garden", "en") for i in range(400)] + [("der Hund und die Katze", "de")]
+    once = language_spans.train(spark.createDataFrame(rows, "text string, lang string"), sample=20)
+    copies = [("a very common text", "en")] * 300 + [("der Hund und die Katze", "de")] * 50
+    more = language_spans.train(spark.createDataFrame(rows[:10] + copies, "text string, lang string"), sample=100)
+    single = language_spans.train(spark.createDataFrame([*rows[:10], *dict.fromkeys(copies)], "text string, lang string"), sample=100)
+    assert once.languages == more.languages == ["de", "en"]
+    assert np.array_equal(more.weights, single.weights)
+
+
 def test_odd_documents_have_a_language(spark):
     docs = odd_documents(spark)
     model = language_spans.train(docs)

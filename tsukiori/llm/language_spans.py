@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tsukiori.llm import textbytes as tb
 
-#: Labelled documents to learn from, about; with fewer, all.
+#: Labelled texts to learn from for each language, about; with fewer, all.
 SAMPLE = 20_000
 #: What a switch of language costs, in nats.
 PENALTY = 12.0
@@ -115,18 +115,20 @@ def read_words(rolling: tb.Rolling, data: np.ndarray, offsets: np.ndarray) -> Wo
 
 
 def train(labelled: DataFrame, *, text: str = "text", language: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learn from about ``sample`` of the rows with text and language, or all if there are fewer.
+    """Learn from about ``sample`` distinct texts of each language, or all if there are fewer.
 
-    The sample takes texts by their hash, so copies are in or out together. What
-    comes to the driver is a count per language and feature.
+    So every language with a labelled text is learned, whatever the others have,
+    and copies count once. The texts of a language are those of least hash, up to
+    a bound from its estimated number of distinct ones. What comes to the driver
+    is a count per language and feature.
     """
     rows = labelled.select(
         labelled[f"`{text}`"].cast("string").alias("text"), labelled[f"`{language}`"].cast("string").alias("lang")
     ).where("text IS NOT NULL AND lang IS NOT NULL")
-    every = rows.select("lang").count()
-    if every > sample:
-        share = int(sample / every * (1 << 62))
-        rows = rows.where(F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) < F.lit(share))
+    distinct = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("every"))
+    place = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    sampled = (F.col("every") <= sample) | (place < F.lit(float(sample)) / F.col("every") * float(1 << 62))
+    rows = rows.join(F.broadcast(distinct), "lang").where(sampled).select("text", "lang").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, totals = tb.Rolling(6), {}
