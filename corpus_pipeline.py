@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsukiori.llm import byte_bpe, language_spans, line_windows, parity_join, wu_manber
@@ -59,11 +59,32 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
 
 
+def _words(text: Column) -> Column:
+    """The words of ``wu_manber`` in a text, joined by spaces."""
+    plain = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.array_join(F.regexp_extract_all(plain, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)), " ")
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents no word of which lies in a passage of the benchmark."""
+    """Documents without a passage of the benchmark: a window of words, or a short item as whole lines.
+
+    An item of fewer words than a window is a passage only where it takes up
+    one or more whole lines of a document, or all of it; lines without words do
+    not count.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = wu_manber.find_test_items(docs, benchmark, keep=COLUMNS)
-    return found.where(~F.col("contaminated")).select(*COLUMNS)
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).withColumn("words", _words(F.col("text")))
+    size = F.size(F.split("words", " "))
+    found = wu_manber.find_test_items(docs, items.where(size >= wu_manber.WINDOW), keep=COLUMNS)
+    left = found.where(~F.col("contaminated")).select(*COLUMNS)
+    short = items.where((F.col("words") != "") & (size < wu_manber.WINDOW)).select(F.col("words").alias("item_id"), "text").distinct()
+    if short.isEmpty():
+        return left
+    found = wu_manber.find_test_items(left, short, keep=COLUMNS)
+    lines = F.filter(F.transform(F.split("text", "\n"), _words), lambda line: line != "")
+    body = F.concat(F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n"))
+    whole = F.exists("item_ids", lambda item: F.regexp_like(body, F.concat(F.lit("\n"), F.replace(item, F.lit(" "), F.lit("[ \n]")), F.lit("\n"))))
+    return found.where(~F.coalesce(whole, F.lit(False))).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

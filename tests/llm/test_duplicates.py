@@ -255,6 +255,17 @@ def test_pipeline_keeps_texts_of_several_languages(spark, tmp_path):
     assert set(kept) == set(range(16)) and kept[15] == "ru"
 
 
+def test_pipeline_drops_short_items_as_whole_lines_only(spark, tmp_path):
+    long = "one two three four five six seven eight nine ten eleven"
+    items = [(1, "yes"), (2, "The answer is"), (3, long), (4, None), (5, "..."), (6, "What is\n2+2?"), (7, "ÉTÉ")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = ["oh yes, I think so", "the answer is 7\nyes it is", "one two three four five six seven eight nine", "we ask what is 2+2? here", "an été", None, "...", "yes/no"]
+    gone = ["Yes!", "a line\n yes. \r\nmore", "the Answer is:", f"so {long} follow", "a\nwhat is\n2+2?\nb", "x\nWhat is 2+2?", "ÉTÉ\nb", "the\n--\nanswer is"]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(kept + gone)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(len(kept)))
+
+
 def test_pipeline_keeps_what_brute_force_keeps(spark):
     """On a given table: no contaminated document stays, no two near duplicates, and clean ones do."""
     sf_dir = "/root/testdata/sf0.001"
