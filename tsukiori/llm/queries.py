@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsukiori.llm import byte_bpe, language_spans, line_windows, multi_index, parity_join, simple8b, suffix_dedup, weak_pii, wordpiece, wu_manber
+from tsukiori.llm import (
+    byte_bpe,
+    collocations,
+    language_spans,
+    line_windows,
+    multi_index,
+    packing,
+    parity_join,
+    ranked_search,
+    simple8b,
+    suffix_dedup,
+    weak_pii,
+    wordpiece,
+    wu_manber,
+)
 from tsukiori.llm.registry import ORACLES, QUERIES, query, table
 from tsukiori.scratch import new_path
 
@@ -175,3 +189,80 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth."""
     vectors = table(spark, sf_dir, "embeddings")
     return multi_index.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
+@query("op11_ranked_search", """
+WITH own AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+    FROM documents),
+sizes AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM own GROUP BY doc_id),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+wanted AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+    FROM benchmark),
+tf AS (
+    SELECT doc_id, term, count(*) AS tf FROM own
+    WHERE term IN (SELECT term FROM wanted) GROUP BY doc_id, term),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+added AS (
+    SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS score
+    FROM tf JOIN sizes USING (doc_id) JOIN weights USING (term), totals),
+scores AS (
+    SELECT item_id, doc_id, CAST(sum(score) AS BIGINT) AS score
+    FROM wanted JOIN added USING (term) GROUP BY item_id, doc_id),
+ranked AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+""")
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that match each benchmark item best."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+@query("op12_collocations", """
+WITH pieces AS (
+    SELECT lang, i, string_split_regex(piece, '[ \\t]+') AS split
+    FROM (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS i,
+                 unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+          FROM documents)),
+words AS (SELECT lang, list_filter(split, lambda w: w <> '') AS w FROM pieces),
+phrases AS (
+    SELECT lang, size, array_to_string(w[p:p + size - 1], ' ') AS phrase, CAST(count(*) AS BIGINT) AS a
+    FROM words, range(1, 6) AS s(size), unnest(range(1, len(w) - size + 2)) AS t(p)
+    GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM phrases WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM phrases WHERE size > 1 AND a >= 100),
+cuts AS (
+    SELECT c.lang, c.phrase, c.a, k, f.a AS l, b.a AS r, n,
+           CAST((1000 * CAST(c.a AS HUGEINT) * n) // (CAST(f.a AS HUGEINT) * b.a) AS BIGINT) AS score
+    FROM candidates c, unnest(range(1, size)) AS t(k), totals, phrases f, phrases b
+    WHERE totals.lang = c.lang AND f.lang = c.lang AND b.lang = c.lang
+      AND f.phrase = array_to_string(w[1:k], ' ') AND b.phrase = array_to_string(w[k + 1:], ' ')),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts),
+inside AS (
+    SELECT DISTINCT s.lang, s.phrase FROM candidates s JOIN (
+        SELECT lang, a, array_to_string(w[p:p + m - 1], ' ') AS phrase
+        FROM candidates, unnest(range(2, size)) AS t(m), unnest(range(1, size - m + 2)) AS u(p)) o
+    ON s.lang = o.lang AND s.phrase = o.phrase AND 100 * o.a >= 100 * s.a),
+ranked AS (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank,
+           phrase, a, l, r, n, score
+    FROM lowest ANTI JOIN inside USING (lang, phrase) WHERE place = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language that are more than their words suggest."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_packing")
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in training sequences."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.checksums(packing.pack(table(spark, sf_dir, "documents"), tokenizer, end_id=1))
