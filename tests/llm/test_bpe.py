@@ -1,6 +1,9 @@
 """Byte-level BPE against the tiktoken library."""
 
+import base64
 import hashlib
+import random
+import time
 
 import public_tokenizers
 import pytest
@@ -30,6 +33,32 @@ def test_ids_are_the_librarys_and_decode_to_the_text(texts):
         assert bytes(row["decoded"]) == (row["text"] or "").encode()
 
 
+@pytest.mark.parametrize("most", [0, 30])
+def test_ids_do_not_depend_on_what_is_encoded_before(spark, texts, monkeypatch, most):
+    monkeypatch.setattr(byte_bpe, "MOST", most)
+    monkeypatch.setattr(byte_bpe, "LONG", 12)
+    for row in byte_bpe.encode(texts, RANKS, keep=["text"]).collect():
+        assert row["ids"] == LIBRARY.encode_ordinary(row["text"] or "")
+
+
+def test_words_of_a_hundred_kilobytes(spark):
+    generator = random.Random(5)
+    long = ["a" * 100_000, "".join(generator.choices("abcdeé中文字", k=100_000)), base64.b64encode(generator.randbytes(200_000)).decode(), "é" * 65_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "doc_id long, text string")
+    start = time.monotonic()
+    rows = {r["doc_id"]: r["ids"] for r in byte_bpe.encode(docs, RANKS).collect()}
+    assert time.monotonic() - start < 120
+    for i, text in enumerate(long):
+        assert rows[i] == LIBRARY.encode_ordinary(text)
+
+
+def test_long_words_are_merged_as_by_the_fold():
+    generator = random.Random(6)
+    for _ in range(300):
+        word = "".join(generator.choices("abnotheriesñé中", k=generator.randrange(1, 60)))
+        assert byte_bpe.merge_long(word.encode(), RANKS) == LIBRARY.encode_ordinary(word)
+
+
 def test_query_over_a_table(spark):
     sf_dir = "/root/testdata/sf0.001"
     texts = {row["doc_id"]: row["text"] or "" for row in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}

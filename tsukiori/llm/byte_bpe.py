@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding in higher-order functions.
 
-Documents are taken in batches, each one row: its distinct words, and its
-documents as numbers of these. A word's bytes are an array of pieces, written in
-hexadecimal. A fold over the array merges, each time, the leftmost of the
+The frequent words of a table are encoded first, each once. Then documents are
+taken in batches, each one row: its distinct words, with their ids or still to be
+encoded, and its documents as numbers of these. A word's bytes are an array of
+pieces, written in hexadecimal. A fold over the array merges, each time, the leftmost of the
 adjacent pairs whose concatenation has the lowest rank, until no pair has one.
 The ranks are a literal: an array of small maps, of which a piece's hash selects
 one. Decoding takes the pieces of the ids from a literal array and concatenates
@@ -12,6 +13,7 @@ them.
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,11 +25,14 @@ from pyspark.sql import types as T
 
 from tsukiori.llm import textbytes as tb
 from tsukiori.llm.pretokens import split
+from tsukiori.scratch import stage
 
 #: Maps that the ranks are spread over.
 BUCKETS = 1 << 14
-#: Bytes of text of a batch, if a single text is not longer.
-BATCH_BYTES = 16 << 20
+#: Words, at most, that are encoded before, and how many of them a task folds.
+MOST, FOLDED = 1 << 21, 20_000
+#: Bytes of the longest word that is folded.
+LONG = 32
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -70,20 +75,17 @@ def encode_word(word: Column, ranks: Column) -> Column:
         return F.try_element_at(F.get(ranks, _bucket(piece, BUCKETS)), piece)
 
     def merge(pieces: Column, _: Column) -> Column:
-        pairs = F.zip_with(
-            F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.slice(pieces, F.lit(2), F.size(pieces)),
-            lambda left, right: rank_of(F.concat(left, right)),
-        )
+        pairs = F.transform(pieces, lambda piece, i: rank_of(F.concat(piece, F.get(pieces, i + 1))))
 
         def at(place: Column) -> Column:
-            both = F.concat(F.element_at(pieces, place), F.element_at(pieces, place + 1))
-            return F.concat(F.slice(pieces, F.lit(1), place - 1), F.array(both), F.slice(pieces, place + 2, F.size(pieces)))
+            both = F.transform(pieces, lambda piece, i: F.when(i + 1 == place, F.concat(piece, F.get(pieces, place))).when(i != place, piece))
+            return F.filter(both, lambda piece: piece.isNotNull())
 
         def lowest(found: Column) -> Column:
             place = F.array_position(found, F.array_min(found)).cast("int")  # null where no pair has a rank
-            return F.coalesce(_let(place, lambda p: F.when(p > 0, at(p))), F.array_append(pieces, F.lit("")))
+            return _let(place, lambda p: F.when(p > 0, at(p)).otherwise(F.array_append(pieces, F.lit(""))))
 
-        done = (F.size(pieces) < 2) | (F.element_at(pieces, -1) == "")  # an empty piece marks the end
+        done = F.element_at(pieces, -1) == ""  # an empty piece marks the end
         return F.when(done, pieces).otherwise(_let(pairs, lowest))
 
     def merged(own: Column) -> Column:
@@ -94,6 +96,34 @@ def encode_word(word: Column, ranks: Column) -> Column:
     return _let(word, lambda own: F.coalesce(_let(rank_of(own), lambda r: F.when(r.isNotNull(), F.array(r))), merged(own)))
 
 
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for a long word, by a heap of its pairs: time grows with its length, not the square."""
+    if word in ranks:
+        return [ranks[word]]
+    size = len(word)
+    end, before = list(range(1, size + 1)), list(range(-1, size - 1))  # of the piece that starts there
+    heap = [(rank, i, i + 1, i + 2) for i in range(size - 1) if (rank := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, start, middle, stop = heapq.heappop(heap)
+        if end[start] != middle or end[middle] != stop:  # one of the two is in another piece by now
+            continue
+        end[start], end[middle] = stop, 0
+        if stop < size:
+            before[stop] = start
+            if (rank := ranks.get(word[start : end[stop]])) is not None:
+                heapq.heappush(heap, (rank, start, stop, end[stop]))
+        if start:
+            left = before[start]
+            if (rank := ranks.get(word[left:stop])) is not None:
+                heapq.heappush(heap, (rank, left, start, stop))
+    ids, at = [], 0
+    while at < size:
+        ids.append(ranks[word[at : end[at]]])
+        at = end[at]
+    return ids
+
+
 def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each distinct pair of hashes is first, and the number of each one's pair."""
     _, at, same = np.unique(first, return_index=True, return_inverse=True)
@@ -102,35 +132,119 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, same.ravel()
 
 
-def _batches(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """A row per batch: its distinct words in hexadecimal, its documents, and the words of each by number."""
+class _Words:
+    """The words of some texts, and which of them are distinct."""
+
+    def __init__(self, rolling: tuple[tb.Rolling, tb.Rolling], texts: pa.Array):
+        self.data, self.offsets = tb.utf8(texts)
+        self.starts = split(self.data, self.offsets)
+        self.ends = np.append(self.starts[1:], len(self.data))[: len(self.starts)]
+        hashes = np.stack([r.between(r.prefix(self.data), self.starts, self.ends) for r in rolling])
+        self.first, self.number = _distinct(*hashes)
+        self.hashes, self.lengths = hashes[:, self.first], (self.ends - self.starts)[self.first]
+
+    def spelled(self, which: np.ndarray) -> list[bytes]:
+        """The given ones of the distinct words."""
+        whole, at = self.data.tobytes(), self.first[which]
+        return [whole[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
+
+
+class Known:
+    """The ids of words that are encoded already, by two 64-bit hashes of the word."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array):
+        data, offsets = tb.flat(words)
+        hashes = np.stack([r.between(r.prefix(data), offsets[:-1], offsets[1:]) for r in (tb.Rolling(8), tb.Rolling(9))])
+        order = np.argsort(hashes[0])
+        self.hashes, ids = hashes[:, order], ids.take(pa.array(order))
+        self.values = ids.flatten().to_numpy().astype(np.int32)
+        self.bounds = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 for an unknown one."""
+        if not self.hashes.shape[1]:
+            return np.full(hashes.shape[1], -1)
+        at = np.minimum(np.searchsorted(self.hashes[0], hashes[0]), self.hashes.shape[1] - 1)
+        return np.where((self.hashes[:, at] == hashes).all(axis=0), at, -1)
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at some places in turn, and how many each has; none at -1."""
+        counts = np.where(places < 0, 0, self.bounds[places + 1] - self.bounds[places])
+        within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        return self.values[np.repeat(self.bounds[places], counts) + within], counts
+
+
+def _word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """``word`` (binary) and ``n`` of the words of the table that are not long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = tb.Rolling(8), tb.Rolling(9)
+        for batch in batches:
+            for start, stop in tb.slices(batch.column(0), 2 * tb.SLICE_BYTES):
+                words = _Words(rolling, batch.column(0).slice(start, stop - start))
+                short = np.flatnonzero(words.lengths <= LONG)
+                counts = np.bincount(words.number, minlength=len(words.first))[short]
+                yield pa.RecordBatch.from_arrays([pa.array(words.spelled(short), pa.binary()), pa.array(counts, pa.int64())], names=["word", "n"])
+
+    rows = docs.select(docs[f"`{text}`"].cast("string")).mapInArrow(run, "word binary, n long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _known(docs: DataFrame, text: str, literal: Column) -> Known:
+    """The most frequent words of the table, ``MOST`` at most, each of them encoded once.
+
+    They are those of a number of occurrences from which on there are no more;
+    numbers are compared by eighths of their binary logarithm.
+    """
+    counts = stage(_word_counts(docs, text).where(F.col("n") >= 2).withColumn("level", F.floor(8 * F.log2("n")).cast("int")), "words")
+    levels, total, least = counts.groupBy("level").count().orderBy(F.desc("level")).collect(), 0, None
+    for row in levels:
+        if total + row["count"] > MOST:
+            break
+        total, least = total + row["count"], row["level"]
+    if least is None:
+        return Known(pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32())))
+    chosen = counts.where(F.col("level") >= least).select("word").repartition(-(-total // FOLDED), F.xxhash64("word"))
+    made = chosen.select("word", encode_word(F.hex("word"), literal).alias("ids")).toArrow()
+    return Known(made.column("word").combine_chunks(), made.column("ids").combine_chunks())
+
+
+def _batches(docs: DataFrame, keep: list[str], text: str, known: Known, ranks: dict[bytes, int]) -> DataFrame:
+    """A row per batch: its distinct words, its documents, and the words of each document by number.
+
+    A word has its ids, if they are known or it is long, or else its bytes in hexadecimal.
+    """
     fields = [T.StructField(name, docs.schema[name].dataType) for name in keep]
     kind = T.StructType([*fields, T.StructField("numbers", T.ArrayType(T.IntegerType()))])
-    schema = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("docs", T.ArrayType(kind))])
+    word = T.StructType([T.StructField("word", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("words", T.ArrayType(word)), T.StructField("docs", T.ArrayType(kind))])
     count = len(keep)
+    sent = docs.sparkSession.sparkContext.broadcast((known, ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = tb.Rolling(8), tb.Rolling(9)
+        known, ranks = sent.value
         for batch in batches:
-            for start, stop in tb.slices(batch.column(count), BATCH_BYTES):
+            for start, stop in tb.slices(batch.column(count)):
                 part = batch.slice(start, stop - start)
-                hashes, places, per_doc, words = [], [], [], []
-                for first, last in tb.slices(part.column(count)):
-                    data, offsets = tb.utf8(part.column(count).slice(first, last - first))
-                    starts = split(data, offsets)
-                    ends = np.append(starts[1:], len(data))
-                    own = np.stack([r.between(r.prefix(data), starts, ends) for r in rolling])
-                    at, numbers = _distinct(*own)
-                    whole = data.tobytes()
-                    places.append(numbers + len(words))
-                    words += [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-                    hashes.append(own[:, at])
-                    per_doc.append(np.diff(tb.owners(starts, offsets)))
-                at, same = _distinct(*np.concatenate(hashes, axis=1))
-                numbers = same[np.concatenate(places)]
-                distinct = pa.array([words[i].hex().upper() for i in at.tolist()], pa.string())
-                listed = tb.lists(numbers, np.concatenate(per_doc), pa.int32())
-                rows = pa.StructArray.from_arrays([*part.columns[:count], listed], names=[*keep, "numbers"])
+                words = _Words(rolling, part.column(count))
+                places = known.find(words.hashes)
+                values, counts = known.ids(places)
+                long = np.flatnonzero(words.lengths > LONG)
+                merged = [merge_long(w, ranks) for w in words.spelled(long)]
+                if len(long):
+                    before = np.concatenate([[0], np.cumsum(counts)])[long]
+                    sizes = [len(ids) for ids in merged]
+                    values = np.insert(values, np.repeat(before, sizes), [i for ids in merged for i in ids])
+                    counts[long] = sizes
+                new = (places < 0) & (words.lengths <= LONG)
+                spelled = np.full(len(new), None, object)
+                spelled[new] = [w.hex().upper() for w in words.spelled(np.flatnonzero(new))]
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()), mask=pa.array(new))
+                distinct = pa.StructArray.from_arrays([pa.array(spelled, pa.string()), ids], names=["word", "ids"])
+                per_doc = np.diff(tb.owners(words.starts, words.offsets))
+                rows = pa.StructArray.from_arrays([*part.columns[:count], tb.lists(words.number, per_doc, pa.int32())], names=[*keep, "numbers"])
                 yield pa.RecordBatch.from_arrays(
                     [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (distinct, rows)], names=["words", "docs"]
                 )
@@ -145,15 +259,18 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", keep
     and each word is encoded by itself: by its rank, if it has one, else by
     merging its bytes as described above. Every single byte must have a rank.
 
-    No document is shuffled. Each distinct word of a batch of ``BATCH_BYTES`` is
-    encoded once; a task holds one batch, or one longer text.
+    The words of the table are counted, and the ``MOST`` most frequent of them
+    encoded first, once; they go to all tasks. Others, which are rare, are encoded
+    once in each batch of two megabytes, or one longer text, that has them. What
+    is shuffled is counts of words. Words of more than ``LONG`` bytes are merged
+    by a heap in Python, because a fold takes the square of their length.
 
     Null and empty texts have no ids. Repeated documents each get their row.
     Other columns are not looked at, and a kept one named ``ids`` is replaced.
-    The time grows with the square of the longest word.
     """
     keep = [name for name in dict.fromkeys(keep) if name.lower() != "ids"]
     literal = rank_map(docs.sparkSession, ranks)
+    known = _known(docs, text, literal)
 
     def of_batch(coded: Column) -> Column:
         def of_document(doc: Column) -> Column:
@@ -162,8 +279,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", keep
 
         return F.transform("docs", of_document)
 
-    coded = F.transform("words", lambda word: encode_word(word, literal))
-    return _batches(docs, keep, text).select(F.inline(_let(coded, of_batch)))
+    coded = F.transform("words", lambda word: F.coalesce(word["ids"], encode_word(word["word"], literal)))
+    return _batches(docs, keep, text, known, ranks).select(F.inline(_let(coded, of_batch)))
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
