@@ -52,8 +52,9 @@ class Filter:
 
 
 def _filter(keys: DataFrame) -> Filter:
-    """The set of the keys (long); its bits are put together in tasks, 2**16 in each."""
+    """The set of the keys (long), written once; its bits are put together in tasks, 2**16 in each."""
     least, most = FILTER
+    keys = stage(keys, "keys")
     digits = min(max((16 * keys.count()).bit_length(), least), most)
     places = keys.select(F.shiftrightunsigned("key", 64 - digits).alias("place")).distinct()
 
