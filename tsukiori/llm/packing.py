@@ -13,10 +13,7 @@ dealt to steps of equal numbers of tokens, the sizes evenly spread over the step
 from __future__ import annotations
 
 import functools
-import zlib
 from bisect import bisect_right, insort
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,6 +32,8 @@ SIZES = (256, 512, 1024, 2048)
 GROUP = 4000
 #: Tokens of a step, a multiple of the largest size.
 STEP = 1 << 17
+#: Bytes of an id: all ids are little-endian unsigned 32-bit integers.
+WIDTH = 4
 
 _PLAN = "key long, start long, length long, size int, local long, offset long"
 
@@ -45,13 +44,14 @@ def _encoder(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``doc_tokens`` and ``ids`` (array of int) of each document, ``end_id`` last."""
-    outputs = [T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    """``doc_id``, ``doc_tokens`` and ``ids`` (binary) of each document, ``end_id`` last."""
+    outputs = [T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
 
     def work(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         found, counts = _encoder(tokenizer).ids(data, offsets)
-        ids = np.insert(found, np.cumsum(counts), end_id)
-        return [pa.array(counts + 1, pa.int64()), tb.lists(ids, counts + 1, pa.int32())]
+        ids = np.insert(found, np.cumsum(counts), end_id).astype("<u4")
+        ends = np.concatenate([[0], np.cumsum(counts + 1) * WIDTH]).astype(np.int32)
+        return [pa.array(counts + 1, pa.int64()), pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids)])]
 
     source = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text"))
     return tb.per_document(source, "text", ["doc_id"], outputs, lambda: work)
@@ -154,7 +154,7 @@ def pack(
     """The pieces of all documents, in sequences of the given context sizes.
 
     Columns ``doc_id``, ``start`` (ids of the document before the piece), ``length``,
-    ``ids`` (array of int), ``doc_tokens`` (ids of the document, the end id included),
+    ``ids`` (binary, ``WIDTH`` bytes each), ``doc_tokens`` (ids of the document, the end id included),
     ``sequence_id`` (long, from 0 without gaps), ``offset`` (in the sequence, from 0
     without gaps), ``size`` (of the sequence) and ``step`` (from 0 without gaps).
 
@@ -186,7 +186,7 @@ def pack(
     pieces = numbered.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("pieces"))
 
     def cut(piece: Column) -> Column:
-        ids = F.slice("ids", (piece["start"] + 1).cast("int"), piece["length"].cast("int"))
+        ids = F.substring("ids", (piece["start"] * WIDTH + 1).cast("int"), (piece["length"] * WIDTH).cast("int"))
         return F.struct("doc_id", *[piece[x].alias(x) for x in fields], ids.alias("ids"), "doc_tokens")
 
     rows = tokens.join(pieces, "key").select(F.inline(F.transform("pieces", cut)))
@@ -194,24 +194,9 @@ def pack(
 
 
 def sequences(pieces: DataFrame, pad_id: int) -> DataFrame:
-    """``sequence_id``, ``step``, ``ids`` (padded to the sequence's size) and ``n_pad`` of each sequence."""
+    """``sequence_id``, ``step``, ``ids`` (binary, padded to the sequence's size) and ``n_pad`` of each sequence."""
     rows = pieces.groupBy("sequence_id", "step", "size").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
-    rows = rows.withColumn("ids", F.flatten(F.transform("parts", lambda part: part["ids"])))
-    n_pad = F.col("size") - F.size("ids")
-    return rows.select("sequence_id", "step", F.concat("ids", F.array_repeat(F.lit(pad_id), n_pad)).alias("ids"), n_pad.cast("long").alias("n_pad"))
-
-
-def checksums(pieces: DataFrame) -> DataFrame:
-    """The pieces, with ``ids_crc32`` (of the ids as little-endian unsigned 32-bit integers) in place of ``ids``."""
-    others = [field for field in pieces.schema if field.name != "ids"]
-    schema = T.StructType([*others, T.StructField("ids_crc32", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.columns[-1]
-            data = memoryview(lists.flatten().to_numpy().astype("<u4")).cast("B")
-            ends = np.cumsum(lists.value_lengths().to_numpy()) * 4
-            sums = [zlib.crc32(data[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums, pa.int64())], names=schema.names)
-
-    return pieces.select(*[f"`{field.name}`" for field in others], "ids").mapInArrow(run, schema)
+    ids = F.aggregate("parts", F.lit(b""), lambda made, part: F.concat(made, part["ids"]))
+    n_pad = F.col("size") - (F.length("whole") / WIDTH).cast("int")
+    pad = F.unhex(F.repeat(F.lit(pad_id.to_bytes(WIDTH, "little").hex()), n_pad))
+    return rows.withColumn("whole", ids).select("sequence_id", "step", F.concat("whole", pad).alias("ids"), n_pad.cast("long").alias("n_pad"))

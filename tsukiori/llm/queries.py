@@ -265,4 +265,5 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in training sequences."""
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.checksums(packing.pack(table(spark, sf_dir, "documents"), tokenizer, end_id=1))
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer, end_id=1)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
