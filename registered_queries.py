@@ -855,6 +855,86 @@ def read_json_lines(spark, sf_dir):
     return readers.read_json_lines(spark, path, ORDER_SCHEMA)
 
 
+#: Every 7th order has a cell too many, others one too few, a price that is none, or a key beyond a long.
+def _odd_lines(spark, sf_dir):
+    orders = orders_by_month(spark, sf_dir)
+    kind = F.col("o_orderkey") % 7
+    cells = [F.col(c).cast("string") for c in orders.columns]
+    price = F.when(kind == 2, F.lit("a lot")).otherwise(cells[3])
+    key = F.when(kind == 3, F.concat(cells[0], F.lit("00000000000000000000"))).otherwise(cells[0])
+    line = F.concat_ws(",", key, *cells[1:3], price, *cells[4:])
+    line = F.when(kind == 0, F.concat(line, F.lit(",more"))).when(kind == 1, F.concat_ws(",", *cells[:4])).otherwise(line)
+    return orders.columns, orders.select(line.alias("line"))
+
+
+def _odd_csv(spark, sf_dir):
+    path = new_path(spark, "orders-odd")
+    columns, lines = _odd_lines(spark, sf_dir)
+    lines.toDF(",".join(columns)).write.options(header=True, quote="", sep="\u0001").csv(path)  # lines as they are
+    return readers.read_csv_checked(spark, path, ORDER_SCHEMA, known={})
+
+
+@query(f"{ALL_ORDERS_SQL} WHERE o_orderkey % 7 > 3")
+def read_csv_checked(spark, sf_dir):
+    """The rows of an input in which others do not fit."""
+    return _odd_csv(spark, sf_dir).rows
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT CASE o_orderkey % 7 WHEN 2 THEN 'o_totalprice' WHEN 3 THEN 'o_orderkey' ELSE 'record' END AS reason,
+  o_orderkey % 7 AS kind, count(*) AS n FROM orders_by_month WHERE o_orderkey % 7 < 4 GROUP BY ALL""")
+def read_csv_rejects(spark, sf_dir):
+    """The other records, by what is wrong with them, with the key they can be told by."""
+    rejects = _odd_csv(spark, sf_dir).rejects
+    key = F.coalesce(F.get_json_object("record", "$.o_orderkey"), F.split("record", ",")[0])
+    key = F.regexp_replace(key, "0{20}$", "").cast("long")
+    return rejects.groupBy(F.array_join("reasons", ",").alias("reason"), (key % 7).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def _odd_json(spark, sf_dir):
+    path = new_path(spark, "orders-odd-json")
+    orders = orders_by_month(spark, sf_dir)
+    kind = F.col("o_orderkey") % 7
+    whole = F.to_json(F.struct("*"))
+    line = F.when(kind == 0, F.expr("left(line, length(line) - 9)")).when(kind == 1, F.replace("line", F.lit('"o_totalprice":'), F.lit('"o_totalprice":"x",".":'))).otherwise(F.col("line"))
+    orders.withColumn("line", whole).select(line.alias("value")).write.text(path)
+    return readers.read_json_checked(spark, path, ORDER_SCHEMA)
+
+
+@query(f"{ALL_ORDERS_SQL} WHERE o_orderkey % 7 > 1")
+def read_json_checked(spark, sf_dir):
+    """The lines of a JSON input that fit, where others are cut off or hold a text for a number."""
+    return _odd_json(spark, sf_dir).rows
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT o_orderkey, 'record' AS reason FROM orders_by_month WHERE o_orderkey % 7 < 2""")
+def read_json_rejects(spark, sf_dir):
+    """The other lines, whole, with the key read from them."""
+    key = F.regexp_extract("record", r'"o_orderkey":(\d+)', 1).cast("long")
+    return _odd_json(spark, sf_dir).rejects.select(key.alias("o_orderkey"), F.array_join("reasons", ",").alias("reason"))
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+  CASE WHEN yearmonth < '199501' THEN NULL ELSE o_orderpriority END AS o_orderpriority, yearmonth FROM orders_by_month""")
+def read_months_parquet(spark, sf_dir):
+    """Months of three layouts as one frame: a column that came later, one that went, a type that changed."""
+    path = new_path(spark, "orders-layouts")
+    orders = orders_by_month(spark, sf_dir)
+    early = orders.filter("yearmonth < '199501'").drop("o_orderpriority").withColumn("clerk", F.lit("x"))
+    middle = orders.filter("yearmonth >= '199501' AND yearmonth < '199701'").withColumn("o_custkey", F.col("o_custkey").cast("string"))
+    for rows in (early, middle, orders.filter("yearmonth >= '199701'")):
+        writers.write_partitioned(rows, path, ["yearmonth"], rebalance=True)
+    return readers.read_months_parquet(spark, path, ORDER_SCHEMA).rows
+
+
+@query(f"WITH {ORDERS_SQL} SELECT * FROM orders_by_month WHERE yearmonth IN (SELECT DISTINCT yearmonth FROM orders_by_month ORDER BY yearmonth DESC LIMIT 3)")
+def retain_latest_listed(spark, sf_dir):
+    """The latest months of a table, found from its directories."""
+    path = new_path(spark, "orders-latest")
+    writers.write_partitioned(orders_by_month(spark, sf_dir), path, ["yearmonth"], rebalance=True)
+    rows = spark.read.schema(ORDER_SCHEMA).parquet(path)
+    return aggregate.retain_latest(rows, 3, months=readers.partition_values(spark, path))
+
+
 @query(ONE_MONTH_SQL)
 def read_month_parquet(spark, sf_dir):
     path = new_path(spark, "orders-months")
@@ -1158,7 +1238,7 @@ def _labelled(headers: dict[str, str], relation: str) -> str:
   SELECT *, '{MONTH}' AS yearmonth FROM ({_labelled(names.CONNECTION_HEADERS, 'connection_log')})""")
 def run_connection_log(spark, sf_dir):
     """The published Parquet month of a whole run."""
-    output = new_path(spark, "run-connections")
+    output = f'{new_path(spark, "run-connections")}/log'
     jobs.run_connection_log(
         spark, connections(spark, sf_dir), user_master(spark, sf_dir), device_master(spark),
         output, MONTH,
@@ -1172,7 +1252,7 @@ def run_connection_log(spark, sf_dir):
   FROM connections WHERE apid IS NULL AND yearmonth IN ('202401', '202402')""")
 def run_connection_rejects(spark, sf_dir):
     """The rejects of two runs over one input, each once."""
-    output = new_path(spark, "run-rejects")
+    output = f'{new_path(spark, "run-rejects")}/log'
     for month in ("202401", "202402"):
         jobs.run_connection_log(
             spark, connections(spark, sf_dir), user_master(spark, sf_dir), device_master(spark), output, month

@@ -6,9 +6,10 @@ landing the rows are Spark jobs.
 
 from __future__ import annotations
 
+import json
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,9 +18,13 @@ from tsukiori.catalog.types import infer_column_types
 from tsukiori.errors import ContractError
 from tsukiori.functions.naming import name_mapping
 from tsukiori.sinks import files
+from tsukiori.sinks.writers import write_csv
 from tsukiori.sources.readers import read_csv_text
 
 
+#: Folder of a warehouse with a file for each table: what was crawled, and what came of it.
+MANIFESTS = "_crawled"
+
 # How landed files are written and registered tables are read: standard CSV.
 LANDED_CSV = {
     "header": "true",
@@ -68,16 +73,39 @@ def register_external_table(
 ) -> None:
     """Register a CSV directory in the catalog, or point a table of these columns to it.
 
-    A table of that name with other columns raises ``ContractError``, unless
+    Pointing it there is one change of the catalog, so the table is there at any
+    time. A table of that name with other columns raises ``ContractError``, unless
     ``replace`` says to drop it. Files are never deleted.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     check_registered(spark, database, table, types, replace=replace)
-    # External: dropping the entry leaves the files where they are.
-    spark.sql(f"DROP TABLE IF EXISTS `{database}`.`{table}`")
+    name = f"`{database}`.`{table}`"
+    if spark.catalog.tableExists(name):
+        if _registered_columns(spark, name) == _columns(types) and _reads_line_breaks(spark, name) == multi_line:
+            spark.sql(f"ALTER TABLE {name} SET LOCATION '{_escaped(location)}'")
+            spark.catalog.refreshTable(name)
+            return
+        spark.sql(f"DROP TABLE {name}")  # external: this leaves the files where they are
     spark.sql(table_ddl(database, table, types, location, multi_line))
 
 
+def _columns(types: dict[str, str]) -> list[tuple[str, str]]:
+    return [(name, type_.upper()) for name, type_ in types.items()]
+
+
+def _registered_columns(spark: SparkSession, name: str) -> list[tuple[str, str]]:
+    return [(c.name, c.dataType.upper()) for c in spark.catalog.listColumns(name)]
+
+
+def _described(spark: SparkSession, name: str) -> dict[str, str]:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()
+    return {row["col_name"]: row["data_type"] for row in rows}
+
+
+def _reads_line_breaks(spark: SparkSession, name: str) -> bool:
+    return "multiline=true" in _described(spark, name).get("Storage Properties", "").lower()
+
+
 def check_registered(
     spark: SparkSession, database: str, table: str, types: dict[str, str], *, replace: bool = False
 ) -> None:
@@ -86,8 +114,8 @@ def check_registered(
         return
     if spark.catalog.getTable(f"`{database}`.`{table}`").tableType != "EXTERNAL":
         raise ContractError(f"{database}.{table} is not an external table")
-    registered = [(c.name, c.dataType.upper()) for c in spark.catalog.listColumns(f"`{database}`.`{table}`")]
-    if registered != [(name, type_.upper()) for name, type_ in types.items()] and not replace:
+    registered = _registered_columns(spark, f"`{database}`.`{table}`")
+    if registered != _columns(types) and not replace:
         raise ContractError(f"{database}.{table} has other columns: {registered}, found {list(types.items())}")
 
 
@@ -112,7 +140,18 @@ def crawl_table(
 
     With ``database``, a table of the catalog that has other columns stops this
     before anything is landed, unless ``replace`` is set.
+
+    A manifest in the warehouse has the sizes and times of the files that were
+    crawled. If they and the options are the same, and what was landed is
+    still there, the files are not read again, and the same table is returned.
     """
+    folder, kept = (f"{warehouse.rstrip('/')}/{name}" for name in (table, f"{MANIFESTS}/{table}.json"))
+    seen = json.loads(json.dumps({"files": files.statuses(spark, path), "options": csv_options | {"multi_line": multi_line}}))
+    manifest = json.loads(files.read_text(spark, kept) or "{}")
+    if manifest.get("seen") == seen and files.exists(spark, f"{manifest['table']['location']}/_SUCCESS"):
+        if database is not None:
+            check_registered(spark, database, table, manifest["table"]["types"], replace=replace)
+        return CrawledTable(**manifest["table"])
     source = read_csv_text(spark, path, multi_line=multi_line, **csv_options)
     mapping = name_mapping(source.columns)
     english = source.toDF(*mapping.values())
@@ -120,9 +159,11 @@ def crawl_table(
     types = {c: found[c] for c in english.columns}
     if database is not None:
         check_registered(spark, database, table, types, replace=replace)
-    location = f"{warehouse.rstrip('/')}/{table}/version-{uuid.uuid4().hex}"
+    location = f"{folder}/version-{uuid.uuid4().hex}"
     english.write.options(**LANDED_CSV).csv(location)
-    return CrawledTable(table, location, mapping, types, multi_line)
+    landed = CrawledTable(table, location, mapping, types, multi_line)
+    files.write_text(spark, kept, json.dumps({"seen": seen, "table": asdict(landed)}))
+    return landed
 
 
 def crawl_directory(
@@ -140,8 +181,10 @@ def crawl_directory(
     """Every ``*.csv`` of a directory as a catalog table named after its file.
 
     A crawl that finds the columns a table already has lands its rows in a new
-    folder and switches the table to it; the folder before is deleted. If any
-    table has other columns, nothing is switched, unless ``replace`` is set.
+    folder and switches the table to it in one change. The folder before stays for
+    those who still read it, until the next switch; older ones are deleted. If any
+    table has other columns, nothing is switched, unless ``replace`` is set. Files
+    that have not changed since the last crawl are not read.
 
     With ``mappings``, the source names of each table's columns are written there
     as ``<table>_mapping.csv``; with ``ddl``, the statements of the crawl to that
@@ -158,22 +201,24 @@ def crawl_directory(
         )
         if mappings:
             columns = column_mapping_table(spark, table.mapping).toDF(*names.MAPPING_HEADERS)
-            columns.write.mode("overwrite").option("header", True).csv(
-                f"{mappings}/{name}_mapping.csv"
-            )
+            write_csv(columns, f"{mappings}/{name}_mapping.csv")
         return table
 
     found = [f for f in files.list_names(spark, directory) if f.endswith(".csv")]
     with ThreadPoolExecutor(concurrent) as pool:
         tables = list(pool.map(crawl, found))
     for table in tables:
+        name = f"`{database}`.`{table.name}`"
+        before = _described(spark, name).get("Location", "") if spark.catalog.tableExists(name) else ""
+        folder, _, version = table.location.rpartition("/")
+        if before.endswith(f"/{version}"):
+            continue
         register_external_table(
             spark, database, table.name, table.types, table.location,
             multi_line=table.multi_line, replace=replace,
         )
-        folder, _, version = table.location.rpartition("/")
         for old in files.list_names(spark, folder):
-            if old != version:
+            if old not in (version, before.rpartition("/")[2]):
                 files.delete(spark, f"{folder}/{old}")
     if ddl:
         files.write_text(spark, ddl, ddl_script(tables, database))

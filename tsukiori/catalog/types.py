@@ -19,15 +19,12 @@ def _cell_rank(cell: Column) -> Column:
     """What a column's type depends on, by cell: null for a blank, else a number.
 
     0 and 1: an integer for INT and BIGINT; 2: one for BIGINT that a DOUBLE would
-    round; 4: a decimal; 8: text. Without its digits a number is ``-``, ``.`` or
-    ``-.`` or nothing, so a pattern is tried on few cells.
+    round; 4: a decimal; 8: text. The pattern is tried once a cell.
     """
-    rest = F.translate(cell, "0123456789", "")
-    digits = F.length(F.ltrim(cell, F.lit("-")))
+    digits = F.octet_length(cell) - cell.startswith("-").cast("int")  # of an integer
     whole = F.when(digits <= 9, 0).when(digits <= _DOUBLE_DIGITS, 1).when(digits <= 18, 2).otherwise(8)
-    integer = ((rest == "") | ((rest == "-") & cell.startswith("-"))) & (digits > 0)
-    decimal = rest.isin(".", "-.") & cell.rlike(rf"\A{NUMBER_PATTERN}\z")
-    return F.when(cell != "", F.when(integer, whole).when(decimal, 4).otherwise(8))
+    number = cell.rlike(rf"\A{NUMBER_PATTERN}\z")
+    return F.when(cell != "", F.when(~number, 8).when(cell.contains("."), 4).otherwise(whole))
 
 
 def infer_column_types(df: DataFrame) -> DataFrame:
@@ -38,7 +35,9 @@ def infer_column_types(df: DataFrame) -> DataFrame:
     DOUBLE would round. One global aggregate finds all columns in one pass,
     without a row per cell.
     """
-    ranks = df.agg(*[F.bit_or(_cell_rank(F.col(f"`{c}`"))).alias(f"_{i}") for i, c in enumerate(df.columns)])
+    # Ranks first, then their aggregate: the code generated for both in one was half as fast.
+    cells = df.select(*[_cell_rank(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(df.columns)])
+    ranks = cells.agg(*[F.bit_or(c).alias(c) for c in cells.columns])
 
     def type_of(seen: Column) -> Column:
         def has(bit: int) -> Column:

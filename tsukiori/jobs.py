@@ -1,9 +1,9 @@
 """The monthly runs: read, check, publish. Also a command line for spark-submit.
 
-Nothing is published before the month is known to hold rows. Counts are read
-from what has been written, not from counters of running tasks, which a lost
-executor would raise twice. A month that goes to several outputs is computed
-once, into a table in the scratch folder of the cluster, which is deleted at the end.
+Nothing is published before the month is known to hold rows. A month that goes to
+several outputs is computed once, into a table in the scratch folder of the
+cluster, which is deleted at the end. The job that writes this table counts its
+rows, and what they lack, on the way; no job only counts.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tsukiori import names, schemas
@@ -23,17 +23,18 @@ from tsukiori.catalog.crawl import crawl_directory
 from tsukiori.errors import EmptyDataError
 from tsukiori.functions.dates import check_month
 from tsukiori.operators import quality
-from tsukiori.operators.aggregate import null_counts
 from tsukiori.operators.geocode import extend_gazetteer, unresolved_addresses
 from tsukiori.operators.shape import filter_month, relabel
 from tsukiori.plans.access_points import access_point_rows
 from tsukiori.plans.connections import connection_log
 from tsukiori.plans.recordings import recording_summary
-from tsukiori.scratch import cleaned, staged
+from tsukiori.scratch import cleaned, staged_counted
 from tsukiori.sinks import writers
 from tsukiori.sources.readers import (
+    CheckedInput,
     conform,
     read_catalog_table,
+    read_csv_checked,
     read_csv_table,
     read_csv_text,
     read_first_available,
@@ -46,12 +47,16 @@ log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class RunReport:
-    """What a run did; ``missing`` has the empty values of each column of the month's rows."""
+    """What a run did; ``missing`` has the empty values of each column of the month's rows.
+
+    ``malformed`` counts the records of the whole input that did not fit its schema.
+    """
 
     month: str
     accepted: int
     rejected: int
     missing: dict[str, int] = field(default_factory=dict)
+    malformed: int = 0
 
 
 def run_access_point_list(
@@ -68,9 +73,13 @@ def run_access_point_list(
     single_file: bool = False,
     resolve: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
     resolve_tasks: int = 1,
+    malformed: DataFrame | None = None,
 ) -> RunReport:
     """Publish the list, the common table and the backup of a month, and its rejects.
 
+    With ``malformed``, the rejects of reading (see ``CheckedInput``), these are
+    written too, under ``<output>/malformed`` in the part of this run's month.
+
     With ``resolve``, addresses that the gazetteer lacks are asked once each, in
     ``resolve_tasks`` tasks (see ``extend_gazetteer``). With ``replace_all`` the
     list and the table of all other months are deleted.
@@ -88,16 +97,19 @@ def run_access_point_list(
                 "rejected": quality.any_missing(rows, required),
             }
         )
-        with staged(tagged, "access-points", ("rejected",)) as month_rows:
+        unread = _write_malformed(malformed, output, month, job_id)
+        counts = {"rejected": F.count_if("rejected"), "accepted": F.count_if(~F.col("rejected"))}
+        counts |= {f"missing {c}": F.count_if(quality.is_missing(rows, c)) for c in rows.columns}
+        with staged_counted(tagged, "access-points", counts, ("rejected",)) as (month_rows, seen):
             good = month_rows.filter(~F.col("rejected")).drop("rejected", quality.REASONS)
             bad = month_rows.filter("rejected").drop("rejected")
-            accepted = good.count()
-            if accepted == 0 and bad.isEmpty():
+            accepted, rejected = seen["accepted"], seen["rejected"]
+            if accepted + rejected == 0:
                 raise EmptyDataError(f"no access points in month {month}")
-            rejected = _write_rejects(bad, "year_month", output, month, job_id)
+            _write_rejects(bad, "year_month", output, month, job_id, rejected)
             if accepted == 0:
                 raise EmptyDataError(f"no publishable access points in month {month}")
-            missing = null_counts(month_rows, rows.columns).first().asDict()
+            missing = {c: seen[f"missing {c}"] for c in rows.columns}
             published = relabel(good, names.ACCESS_POINT_HEADERS)
             writers.write_month_csv(published, output, month, replace_all=replace_all, single_file=single_file)
             writers.write_partitioned(
@@ -108,7 +120,7 @@ def run_access_point_list(
                 replace_all=replace_all,
             )
             writers.write_backup_csv(published, output, month, keep=keep_backups, single_file=single_file)
-    return RunReport(month, accepted, rejected, missing)
+    return RunReport(month, accepted, rejected, missing, unread)
 
 
 def run_connection_log(
@@ -123,11 +135,13 @@ def run_connection_log(
     format: str = "parquet",
     replace_all: bool = False,
     single_file: bool = False,
+    malformed: DataFrame | None = None,
 ) -> RunReport:
     """Publish the connection log of a month, and the month's rows without a device id.
 
     Rejected rows are written even if no row of the month can be published.
     Those without a month go to a part of their own, which each run replaces.
+    ``malformed``, the rejects of reading, go to ``<output>_rejects/malformed``.
     """
     output = output.rstrip("/")
     with cleaned(spark):
@@ -135,35 +149,50 @@ def run_connection_log(
         published = relabel(checked.accepted, names.CONNECTION_HEADERS)
         row_month = F.col(names.PARTITION_COLUMN)
         bad = checked.rejected.filter((row_month == month) | row_month.isNull())
-        with staged(bad, "rejects") as bad, staged(published, "connections") as rows:
-            accepted = rows.count()
-            if accepted == 0 and bad.isEmpty():
+        unread = _write_malformed(malformed, f"{output}_rejects", month, job_id)
+        every = F.count(F.lit(1))
+        with (
+            staged_counted(bad, "rejects", {"own": F.count(row_month), "all": every}) as (bad, lost),
+            staged_counted(published, "connections", {"rows": every}) as (rows, seen),
+        ):
+            accepted, rejected = seen["rows"], lost["own"]
+            if accepted + lost["all"] == 0:
                 raise EmptyDataError(f"no connections in month {month}")
             own, homeless = bad.filter(row_month.isNotNull()), bad.filter(row_month.isNull())
-            rejected = _write_rejects(own, names.PARTITION_COLUMN, f"{output}_rejects", month, job_id)
-            _write_rejects(homeless, names.PARTITION_COLUMN, f"{output}_rejects", "unknown", job_id)
+            _write_rejects(own, names.PARTITION_COLUMN, f"{output}_rejects", month, job_id, rejected)
+            _write_rejects(homeless, names.PARTITION_COLUMN, f"{output}_rejects", "unknown", job_id, lost["all"] - rejected)
             if accepted == 0:
                 raise EmptyDataError(f"no publishable connections in month {month}")
             if format == "csv":
                 writers.write_connection_csv(rows, output, month, replace_all=replace_all, single_file=single_file)
             else:
                 writers.write_month_parquet(rows, output, month, replace_all=replace_all)
-    return RunReport(month, accepted, rejected)
+    return RunReport(month, accepted, rejected, malformed=unread)
+
+
+def _write_malformed(malformed: DataFrame | None, output: str, month: str, job_id: str) -> int:
+    """Replace a run's table of records that could not be read as rows; returns their number."""
+    if malformed is None:
+        return 0
+    seen = Observation()
+    logged = malformed.withColumns({"logged_at": quality.log_time(), "job_id": F.lit(job_id)})
+    with writers.replaced(malformed.sparkSession, f"{output}/malformed/{names.PARTITION_COLUMN}={month}") as written:
+        logged.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(written)
+    if seen.get["n"]:
+        log.warning("job %s, month %s: %d records do not fit the input's schema", job_id, month, seen.get["n"])
+    return seen.get["n"]
 
 
-def _write_rejects(
-    bad: DataFrame, month_column: str, output: str, month: str, job_id: str
-) -> int:
+def _write_rejects(bad: DataFrame, month_column: str, output: str, month: str, job_id: str, rejected: int) -> None:
     """Replace the reject table of a month; only their number goes to the log."""
     directory = f"{output}/rejects/{names.PARTITION_COLUMN}={month}"
     entries = quality.reject_report(bad, month_column, job_id).withColumnRenamed(
         names.PARTITION_COLUMN, "row_month"
     )
-    entries.write.mode("overwrite").parquet(directory)
-    rejected = bad.sparkSession.read.schema(entries.schema).parquet(directory).count()
+    with writers.replaced(bad.sparkSession, directory) as written:
+        entries.write.parquet(written)
     if rejected:
         log.warning("job %s, month %s: %d rows rejected", job_id, month, rejected)
-    return rejected
 
 
 def _arguments(argv: list[str] | None) -> argparse.Namespace:
@@ -241,17 +270,17 @@ def _named_function(name: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 def _access_points(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.input:
-        source = read_csv_table(spark, args.input, schemas.ACCESS_POINT, **_dialect(args))
+        source = read_csv_checked(spark, args.input, schemas.ACCESS_POINT, **_dialect(args))
     else:
         database, table = args.catalog_table.split(".", 1)
-        source = conform(read_catalog_table(spark, database, table), schemas.ACCESS_POINT)
+        source = CheckedInput(conform(read_catalog_table(spark, database, table), schemas.ACCESS_POINT), None)
     if args.gazetteer:
         gazetteer = spark.read.schema(schemas.GAZETTEER).parquet(args.gazetteer)
     else:
         gazetteer = spark.createDataFrame([], schemas.GAZETTEER)
     run_access_point_list(
         spark,
-        source,
+        source.rows,
         read_csv_table(spark, args.status_master, schemas.STATUS_MASTER, names.STATUS_MASTER_NAMES, **_dialect(args)),
         gazetteer,
         args.output,
@@ -262,17 +291,18 @@ def _access_points(spark: SparkSession, args: argparse.Namespace) -> None:
         single_file=args.single_file,
         resolve=_named_function(args.resolver) if args.resolver else None,
         resolve_tasks=args.resolver_tasks,
+        malformed=source.rejects,
     )
 
 
 def _connections(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.input:
-        source = read_csv_table(spark, args.input, schemas.CONNECTION, **_dialect(args))
+        source = read_csv_checked(spark, args.input, schemas.CONNECTION, **_dialect(args))
     else:
-        source = conform(read_month_parquet(spark, args.input_table, args.month), schemas.CONNECTION)
+        source = CheckedInput(conform(read_month_parquet(spark, args.input_table, args.month), schemas.CONNECTION), None)
     run_connection_log(
         spark,
-        source,
+        source.rows,
         read_csv_table(spark, args.user_master, schemas.USER_MASTER, names.USER_MASTER_NAMES, **_dialect(args)),
         read_csv_table(spark, args.device_master, schemas.DEVICE_MASTER, names.DEVICE_MASTER_NAMES, **_dialect(args)),
         args.output,
@@ -281,6 +311,7 @@ def _connections(spark: SparkSession, args: argparse.Namespace) -> None:
         format=args.format,
         replace_all=args.replace_all,
         single_file=args.single_file,
+        malformed=source.rejects,
     )
 
 
@@ -294,7 +325,7 @@ def _recordings(spark: SparkSession, args: argparse.Namespace) -> None:
         "duration_by_scenario": summary.duration_by_scenario,
         "count_by_model": summary.count_by_model,
     }.items():
-        df.write.mode("overwrite").options(**writers.CSV_OPTIONS).csv(f"{args.output}/{name}")
+        writers.write_csv(df, f"{args.output}/{name}")
 
 
 def _sql(spark: SparkSession, args: argparse.Namespace) -> None:

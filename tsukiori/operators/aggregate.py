@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +36,18 @@ def distinct_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns).distinct()
 
 
-def retain_latest(df: DataFrame, n: int = 1, column: str = names.PARTITION_COLUMN) -> DataFrame:
-    """Rows of the ``n`` latest months that occur.
+def retain_latest(
+    df: DataFrame, n: int = 1, column: str = names.PARTITION_COLUMN, months: Iterable[str] | None = None
+) -> DataFrame:
+    """Rows of the ``n`` latest months that occur, or of ``months`` if they are given.
 
-    The months, ``n`` values at most, are fetched first: as constants they prune
-    the other partitions of a table.
+    As constants the months prune the other partitions of a table. Given
+    (``sources.readers.partition_values`` lists those of a table), no row is read
+    to find them; else they, ``n`` values at most, are fetched first.
     """
-    months = distinct_keys(df, [column]).filter(F.col(column).isNotNull())
-    latest = [row[0] for row in months.orderBy(F.desc(column)).limit(n).collect()]
+    if months is None:
+        found = distinct_keys(df, [column]).filter(F.col(column).isNotNull())
+        latest = [row[0] for row in found.orderBy(F.desc(column)).limit(n).collect()]
+    else:
+        latest = sorted(set(months), reverse=True)[:n]
     return df.filter(F.col(column).isin(latest))

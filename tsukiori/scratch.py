@@ -11,10 +11,10 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from tsukiori.sinks import files
 
@@ -59,6 +59,20 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Iter
         _made.remove(path)
 
 
+@contextmanager
+def staged_counted(
+    df: DataFrame, name: str, counts: Mapping[str, Column], partition_by: tuple[str, ...] = ()
+) -> Iterator[tuple[DataFrame, dict[str, int]]]:
+    """The same, with aggregates of all its rows, taken by the job that writes them.
+
+    They are of the tasks that write, which count once each, whatever is run
+    again. So no job only counts.
+    """
+    seen = Observation()
+    with staged(df.observe(seen, *[column.alias(key) for key, column in counts.items()]), name, partition_by) as rows:
+        yield rows, seen.get
+
+
 def clean(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables made by this driver, but for the first ``since`` that are left."""
     while len(_made) > since:

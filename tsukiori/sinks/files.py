@@ -48,6 +48,62 @@ def make_parent(spark: SparkSession, path: str) -> None:
     fs.mkdirs(p.getParent())
 
 
+def statuses(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, bytes and time of change of a file, or of all files below a directory, sorted."""
+    fs, p = _resolve(spark, path)
+    base, found = fs.makeQualified(p).toString(), []
+    listed = fs.listFiles(p, True)
+    while listed.hasNext():
+        status = listed.next()
+        found.append((status.getPath().toString().removeprefix(base), status.getLen(), status.getModificationTime()))
+    return sorted(found)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file; null if it is missing."""
+    fs, p = _resolve(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"{source.toString()} was not renamed to {target.toString()}")
+
+
+def publish(spark: SparkSession, source: str, target: str) -> None:
+    """Put a finished directory in the place of what is at the target, by renames.
+
+    What was there is set aside under a name that readers skip, and deleted last;
+    if the second rename fails, it is put back, and if the driver is lost between
+    the two, the next call does so.
+    """
+    fs, new = _resolve(spark, source)
+    _, place = _resolve(spark, target)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{place.getName()}.before")
+    if fs.exists(aside):
+        if fs.exists(place):
+            fs.delete(aside, True)
+        else:
+            _rename(fs, aside, place)
+    fs.mkdirs(place.getParent())
+    if not fs.exists(place):
+        _rename(fs, new, place)
+        return
+    _rename(fs, place, aside)
+    try:
+        _rename(fs, new, place)
+    except BaseException:
+        _rename(fs, aside, place)
+        raise
+    fs.delete(aside, True)
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     """Rename; an existing file of the target's name is replaced in the same step.
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import fnmatch
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,22 @@ CSV_OPTIONS = {
 }
 
 
+@contextmanager
+def replaced(spark: SparkSession, path: str) -> Iterator[str]:
+    """A folder beside the path to write to, which takes its place if the block ends well.
+
+    If the block fails, what is at the path stays as it is. Readers of the folder
+    above skip both names that are used on the way.
+    """
+    folder, _, name = path.rstrip("/").rpartition("/")
+    written = f"{folder}/.{name}.parts-{uuid.uuid4().hex}"
+    try:
+        yield written
+        files.publish(spark, written, path)
+    finally:
+        files.delete(spark, written)
+
+
 def write_partitioned(
     df: DataFrame,
     path: str,
@@ -34,19 +51,23 @@ def write_partitioned(
 ) -> None:
     """Write a table partitioned by ``keys``.
 
-    Partitions that occur in ``df`` are replaced; the others stay, unless
-    ``replace_all`` empties the table first. ``rebalance`` shuffles by the keys
-    to evenly sized files, splitting a large partition over several tasks.
+    Partitions that occur in ``df`` are replaced, each once all are written; the
+    others stay, unless ``replace_all`` puts a new table in the place of the old
+    one. ``rebalance`` shuffles by the keys to evenly sized files, splitting a
+    large partition over several tasks.
     """
     if rebalance:
         df = df.hint("rebalance", *[F.col(k) for k in keys])
-    writer = df.write.format(format).mode("overwrite").partitionBy(*keys)
-    writer = writer.option("partitionOverwriteMode", "static" if replace_all else "dynamic")
+    writer = df.write.format(format).partitionBy(*keys)
     if compression:
         writer = writer.option("compression", compression)
     if format == "csv":
         writer = writer.options(**CSV_OPTIONS)
-    writer.save(path)
+    if replace_all:
+        with replaced(df.sparkSession, path) as written:
+            writer.save(written)
+    else:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").save(path)
 
 
 def write_month_parquet(
@@ -68,13 +89,13 @@ def write_csv(df: DataFrame, path: str, *, single_file: bool = False) -> None:
     """Write CSV with a header under exactly this path, replacing what is there.
 
     That is a directory of files, written in parallel, or with ``single_file`` one
-    file, which one task writes. The number of rows has no say in it.
+    file, which one task writes. The number of rows has no say in it. Either is
+    written beside its place and put there by a rename, once it is whole.
     """
     spark = df.sparkSession
     if not single_file:
-        if files.is_file(spark, path):
-            files.delete(spark, path)
-        df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+        with replaced(spark, path) as written:
+            df.write.options(**CSV_OPTIONS).csv(written)
         return
     folder, _, name = path.rstrip("/").rpartition("/")
     parts = f"{folder}/_{name}.parts-{uuid.uuid4().hex}"  # readers of the folder skip such names
@@ -158,7 +179,8 @@ def drop_other_months(spark: SparkSession, root: str, month: str) -> None:
 
 def write_csv_quoted(df: DataFrame, path: str) -> None:
     """Write CSV with every cell in quotes; null and blank both become ``""``."""
-    df.write.mode("overwrite").options(**CSV_OPTIONS, quoteAll=True).csv(path)
+    with replaced(df.sparkSession, path) as written:
+        df.write.options(**CSV_OPTIONS, quoteAll=True).csv(written)
 
 
 def sql_to_csv(spark: SparkSession, query: str, path: str | None = None) -> DataFrame:
@@ -170,6 +192,6 @@ def sql_to_csv(spark: SparkSession, query: str, path: str | None = None) -> Data
     result = spark.sql(query)
     if path is None:
         return result
-    result.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    write_csv(result, path)
     read_back = {**CSV_OPTIONS, "emptyValue": "", "nullValue": "\0", "multiLine": True}
     return spark.read.schema(result.schema).options(**read_back).csv(path)
