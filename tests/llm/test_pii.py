@@ -1,6 +1,7 @@
 """Personal data: base spans against the patterns as given, and what the model adds."""
 
 import random
+import time
 import re
 
 from tests.llm.rows import clashing, collected, no_documents, odd_documents
@@ -45,6 +46,28 @@ def test_base_spans_are_those_of_the_patterns():
         assert w.base_spans(text) == brute(text)
 
 
+def test_a_megabyte_takes_seconds():
+    start = time.monotonic()
+    for text in ("9" * 1_000_000, "1." * 500_000, "1 " * 500_000, "a@" * 500_000, "+1(" * 300_000, "Maria " * 160_000, "12 Main " * 120_000, "a" * 1_000_000 + "@"):
+        found = w.base_spans(text)
+        for span in w.candidates(text)[:100]:
+            w.votes(text, span, False)
+        assert all(s < e for _, s, e in found)
+    assert time.monotonic() - start < 60
+
+
+def test_names_and_streets_of_lists_are_candidates(spark):
+    lines = [
+        f"some plain words {i} here. {'Maria Lopez' if i % 2 else 'Peter Smith'} lives at {i + 3} Main Street, chapter {i}, version {i}.2"
+        for i in range(40)
+    ]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    for row in w.find_personal_data(docs, keep=["doc_id", "text"]).collect():
+        added = {(s["kind"], row["text"][s["start"] : s["end"]]) for s in row["spans"]}
+        i = row["doc_id"]
+        assert added == {("name", "Maria Lopez" if i % 2 else "Peter Smith"), ("address", f"{i + 3} Main Street")}
+
+
 def test_candidates_do_not_overlap():
     random.seed(2)
     for _ in range(5000):

@@ -1,7 +1,8 @@
 """Personal data by weak supervision: labelers vote on spans, a model weighs the votes.
 
 Base spans come from four fixed patterns. Other spans are candidates: texts with
-digits, names after a title, values after a cue word. Patterns, word lists and
+digits, names after a title, values after a cue word, listed given names with a
+capitalised word, and numbers with the name of a street. Patterns, word lists and
 context vote for or against each. Expectation-maximisation over the counts of
 vote patterns estimates how reliable each labeler is, and with that how likely
 each pattern means personal data; a logistic model of votes and shape, trained
@@ -30,7 +31,7 @@ ADDED_KINDS = ("address", "id", "name", "secret", "telephone")
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _EMAIL_HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -60,12 +61,21 @@ def _emails(text: str) -> Iterator[Span]:
         at = text.find("@", max(at + 1, done))
 
 
+def _addresses(text: str) -> Iterator[Span]:
+    """What the pattern of an ip matches: of numbers joined by dots, each four in turn."""
+    for match in _DOTTED.finditer(text):
+        parts, start = match[0].split("."), match.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = start + sum(map(len, four)) + 3
+            if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255 for part in four):
+                yield "ip", start, end
+            start = end + 1
+
+
 def base_spans(text: str) -> list[Span]:
-    """Spans of the fixed patterns, by kind, then start."""
-    found = list(_emails(text))
-    for match in _IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0")[:4] or 0) <= 255 for part in match[0].split(".")):
-            found.append(("ip", *match.span()))
+    """Spans of the fixed patterns, by kind, then start; time grows with the text's length."""
+    found = [*_emails(text), *_addresses(text)]
     for match in _CARD.finditer(text):
         digits = match[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and _luhn(digits):
@@ -90,6 +100,13 @@ _GIVEN = frozenset(
     "marie mark martin mary michael miguel paul peter pierre robert sarah sofia susan thomas".split()
 )
 _STREETS = frozenset("street st. avenue ave road rd. lane drive straße strasse platz rue calle avenida plaza".split())
+_CAPITAL = r"[A-ZÀ-Þ][\w'-]+"
+_NAMED = re.compile(rf"\b(?:{'|'.join(name.title() for name in sorted(_GIVEN))})\b(?: {_CAPITAL}){{1,2}}")
+_PLACED = re.compile(
+    rf"\b[0-9]{{1,5}}[a-z]?,? (?:{_CAPITAL} ){{1,3}}(?:Street|Avenue|Ave|Road|Drive|Lane|St\.|Rd\.)"
+    rf"|\b[0-9]{{1,5}},? (?:rue|avenue|calle|avenida|plaza)(?: de| du| del)?(?: la)? {_CAPITAL}"
+    rf"|\b[A-ZÀ-Þ]\w{{2,30}}?(?:straße|strasse|platz) [0-9]{{1,4}}\b"
+)
 _CUES = frozenset(
     "password passwd pwd secret token key login phone tel telephone call mobile fax contact ssn passport account iban "
     "customer patient born birth dob id name address".split()
@@ -108,6 +125,8 @@ _WORDS = re.compile(r"[^\W\d_]+\.?")
 def candidates(text: str) -> list[Span]:
     """Spans worth a vote, none empty and none overlapping another."""
     found: list[Span] = [("name", *match.span(1)) for match in _TITLED.finditer(text)]
+    found += [("name", *match.span()) for match in _NAMED.finditer(text)]
+    found += [("address", *match.span()) for match in _PLACED.finditer(text)]
     found += [("secret", *match.span(1)) for match in _CUED.finditer(text)]
     done = 0
     for match in _DIGITS.finditer(text):
@@ -168,7 +187,7 @@ def _random(kind: str, value: str, before: list[str], text: str, span: Span) ->
 
 def _gazetteer(kind: str, value: str, before: list[str], text: str, span: Span) -> int:
     words = {word.lower() for word in _WORDS.findall(value)}
-    if words & _GIVEN or _next_word(text, span[2]) in _STREETS:
+    if words & _GIVEN or _next_word(text, span[2]) in _STREETS or kind == "address" and any(w.endswith(tuple(_STREETS)) for w in words):
         return 1
     return -1 if words & _PLAIN else 0
 
