@@ -219,6 +219,15 @@ def test_few_vectors(spark):
     assert multi_index.nearest(frame, frame.limit(0), 20).collect() == []
 
 
+def test_vectors_of_one_id_and_of_other_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.1, 0.2]), (2, [0.9, 0.0]), (2, [0.9, 0.0]), (3, [0.5, 0.5, 0.5]), (4, [1.0, 0.0, 0.0]), (None, [5.0, 5.0]), (5, [0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = multi_index.nearest(frame, frame.where("vec_id IN (1, 4)"), 20).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == [(1, 1, 2, 0.9), (1, 2, 2, 0.1), (4, 1, 3, 0.5)]
+    own = multi_index.nearest(frame, frame.where("vec_id = 2"), 20).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in own) == [(1, 1, 0.1), (1, 1, 0.9), (2, 2, 0.09000000000000001), (2, 2, 0.09000000000000001)]
+
+
 def test_probing_finds_all_codes_within_a_radius():
     random_ = np.random.default_rng(9)
     codes = random_.integers(0, 2**64, 3000, dtype=np.uint64)

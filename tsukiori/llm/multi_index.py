@@ -113,36 +113,37 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_block(
-    codes: Codes, radius: int, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its id, and ids and scores of its k nearest in the block that the index finds.
+    codes: Codes, radius: int, keys: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query_keys: np.ndarray, queries: np.ndarray, k: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query: ids and scores of its k nearest in the block that the index finds, but for the row of its key.
 
     The radius grows where it holds fewer than k.
     """
     index = Index(codes.of(vectors))
-    for query_id, query, code in zip(query_ids, queries, codes.of(queries), strict=True):
-        others = int(np.count_nonzero(ids != query_id))
+    for own, query, code in zip(query_keys, queries, codes.of(queries), strict=True):
+        others = int(np.count_nonzero(keys != own))
         for reach in range(radius, _BITS + _TABLES, _TABLES):
             at = index.within(code, min(reach, _BITS))
-            at = at[ids[at] != query_id]
+            at = at[keys[at] != own]
             if len(at) >= min(k, others):
                 break
         scores = (vectors[at] * query).sum(axis=1)  # row by row, so equal vectors have equal scores
         best = _best(scores, ids[at], k)
-        yield query_id, ids[at][best], scores[best]
+        yield ids[at][best], scores[best]
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``id`` and ``vector`` (array of double) of the vectors that take part.
 
     Without those that are null, zero, or hold a null or non-finite component,
-    and those with a null id. Of several rows of one id, the least vector.
+    and those with a null id. Rows equal in both are one; ``key`` tells it from
+    the others, of the same id too.
     """
     vector = F.col(f"`{vector_col}`").cast("array<double>")
     odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col(f"`{id_col}`").isNotNull() & vector.isNotNull() & ~odd & F.exists(vector, lambda x: x != 0)
-    rows = vectors.where(good).select(F.col(f"`{id_col}`").cast("long").alias("id"), vector.alias("vector"))
-    return rows.groupBy("id").agg(F.min("vector").alias("vector"))
+    rows = vectors.where(good).select(F.col(f"`{id_col}`").cast("long").alias("id"), vector.alias("vector")).distinct()
+    return rows.withColumn("key", F.xxhash64("id", "vector"))
 
 
 def _sampled(rows: DataFrame, every: int, wanted: int, salt: int) -> DataFrame:
@@ -156,17 +157,17 @@ def _matrix(column: pd.Series, size: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, size))
 
 
-def _exact(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+def _exact(rows: DataFrame, keys: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
     """The k nearest rows of a few queries, by all scores; each task passes on k for each query."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, pd.DataFrame] = {}
         for batch in batches:
-            own, vectors = batch["id"].to_numpy(), _matrix(batch["vector"], queries.shape[1])
-            for query_id, query in zip(ids, queries, strict=True):
-                part = pd.DataFrame({"query": query_id, "id": own, "score": (vectors * query).sum(axis=1), "vector": batch["vector"]})
-                part = pd.concat([best[query_id], part[own != query_id]]) if query_id in best else part[own != query_id]
-                best[query_id] = part.iloc[_best(part["score"].to_numpy(), part["id"].to_numpy(), k)]
+            own, vectors = batch["key"].to_numpy(), _matrix(batch["vector"], queries.shape[1])
+            for asked, query in zip(keys, queries, strict=True):
+                part = pd.DataFrame({"query": asked, "id": batch["id"], "score": (vectors * query).sum(axis=1), "vector": batch["vector"]})
+                part = pd.concat([best[asked], part[own != asked]]) if asked in best else part[own != asked]
+                best[asked] = part.iloc[_best(part["score"].to_numpy(), part["id"].to_numpy(), k)]
         yield from best.values()
 
     found = rows.mapInPandas(run, "query long, id long, score double, vector array<double>")
@@ -178,10 +179,10 @@ def _radius(rows: DataFrame, codes: Codes, every: int, k: int, reach: float) ->
     """The radius that holds a share of the true neighbours of a sample of rows."""
     sample = _sampled(rows, every, CALIBRATION, 2).toPandas()
     size = len(codes.mean)
-    found = _exact(rows, sample["id"].to_numpy(), _matrix(sample["vector"], size), k).select("query", "vector").toPandas()
+    found = _exact(rows, sample["key"].to_numpy(), _matrix(sample["vector"], size), k).select("query", "vector").toPandas()
     if found.empty:
         return _BITS
-    own = dict(zip(sample["id"], codes.of(_matrix(sample["vector"], size)), strict=True))
+    own = dict(zip(sample["key"], codes.of(_matrix(sample["vector"], size)), strict=True))
     mine = np.array([own[q] for q in found["query"]], np.uint64)
     apart = np.bitwise_count(mine ^ codes.of(_matrix(found["vector"], size)))
     return int(np.quantile(apart, reach, method="higher"))
@@ -203,15 +204,24 @@ def nearest(
     the id, and each task has one block of either; it passes on k rows a query.
 
     Vectors that take no part (see ``usable``) are neither queries nor found.
-    Those of another length than most, or than the shortest of several such
-    lengths, take no part either. Repeated rows count once. Without vectors or
-    queries there are no rows. Other columns are not looked at.
+    Repeated rows count once. Several vectors of one id are each a candidate, of
+    each other too, and each a query, with ranks of its own. A vector is compared
+    with those of its length only; each length has an index of its own. Without
+    vectors or queries there are no rows. Other columns are not looked at.
     """
     rows = stage(usable(vectors, id_col, vector_col), "vectors")
     asked = usable(queries, id_col, vector_col)
-    lengths = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    size, every = (lengths["size"], lengths["count"]) if lengths else (1, 0)
-    rows, asked = (x.where(F.size("vector") == size) for x in (rows, asked))
+    lengths = rows.groupBy(F.size("vector").alias("size")).count().orderBy("size").collect()
+    found = None
+    for row in lengths:
+        of_length = (x.where(F.size("vector") == row["size"]) for x in (rows, asked))
+        part = _nearest(*of_length, row["size"], row["count"], k, reach)
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, size: int, every: int, k: int, reach: float) -> DataFrame:
+    """The same for usable vectors of one length, of which there are ``every``."""
     codes = learn(_matrix(_sampled(rows, every, SAMPLE, 1).toPandas()["vector"], size))
     radius = _radius(rows, codes, every, k, reach)
     n_queries = asked.count()
@@ -219,30 +229,31 @@ def nearest(
     index = rows.select(
         F.pmod(F.xxhash64("id"), F.lit(index_blocks)).cast("int").alias("i"),
         F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"),
-        "id", "vector",
+        "key", "id", "vector",
     )
     asking = asked.select(
         F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))).alias("i"),
         F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(query_blocks)).cast("int").alias("q"),
-        "id", "vector",
+        "key", "id", "vector",
     )
 
     def run(own: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
         found = list(
             search_block(
-                codes, radius, own["id"].to_numpy(), _matrix(own["vector"], size),
-                those["id"].to_numpy(), _matrix(those["vector"], size), k,
+                codes, radius, own["key"].to_numpy(), own["id"].to_numpy(), _matrix(own["vector"], size),
+                those["key"].to_numpy(), _matrix(those["vector"], size), k,
             )
         )
-        ids = np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)])
-        scores = np.concatenate([np.zeros(0), *(x[2] for x in found)])
-        asked_by = np.repeat(np.array([x[0] for x in found], np.int64), [len(x[1]) for x in found])
-        return pd.DataFrame({"query_id": asked_by, "vec_id": ids, "score": scores})
+        ids = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in found)])
+        scores = np.concatenate([np.zeros(0), *(x[1] for x in found)])
+        counts = [len(x[0]) for x in found]
+        asked_by = {c: np.repeat(those[x].to_numpy(np.int64), counts) for c, x in (("key", "key"), ("query_id", "id"))}
+        return pd.DataFrame(asked_by | {"vec_id": ids, "score": scores})
 
     found = (
         index.groupBy("i", "q")
         .cogroup(asking.groupBy("i", "q"))
-        .applyInPandas(run, "query_id long, vec_id long, score double")
+        .applyInPandas(run, "key long, query_id long, vec_id long, score double")
     )
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
