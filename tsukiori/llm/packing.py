@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tsukiori.llm import textbytes as tb
+from tsukiori.llm.pretokens import WordCache
 from tsukiori.llm.simple8b import Encoder
 from tsukiori.scratch import stage
 
@@ -34,13 +35,17 @@ GROUP = 4000
 STEP = 1 << 17
 #: Bytes of an id: all ids are little-endian unsigned 32-bit integers.
 WIDTH = 4
+#: Words whose ids a worker keeps.
+CACHED = 1 << 18
 
 _PLAN = "key long, start long, length long, size int, local long, offset long"
 
 
 @functools.cache
 def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+    encoder = Encoder(path)
+    encoder.cache = WordCache(encoder.cache.encode, CACHED)
+    return encoder
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
