@@ -30,7 +30,7 @@ from tsukiori.scratch import stage
 #: Maps that the ranks are spread over.
 BUCKETS = 1 << 14
 #: Words, at most, that are encoded before, and how many of them a task folds.
-MOST, FOLDED = 1 << 21, 20_000
+MOST, FOLDED = 1 << 20, 20_000
 #: Bytes of the longest word that is folded.
 LONG = 32
 
@@ -152,20 +152,31 @@ class _Words:
 class Known:
     """The ids of words that are encoded already, by two 64-bit hashes of the word."""
 
-    def __init__(self, words: pa.Array, ids: pa.Array):
-        data, offsets = tb.flat(words)
-        hashes = np.stack([r.between(r.prefix(data), offsets[:-1], offsets[1:]) for r in (tb.Rolling(8), tb.Rolling(9))])
-        order = np.argsort(hashes[0])
-        self.hashes, ids = hashes[:, order], ids.take(pa.array(order))
-        self.values = ids.flatten().to_numpy().astype(np.int32)
-        self.bounds = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]).astype(np.int64)
+    def __init__(self, packed: Iterable[tuple[bytes, bytes, bytes]] = ()):
+        """Of some words at a time, what ``pack`` makes of them."""
+        parts = [(np.frombuffer(h, np.uint64).reshape(2, -1), np.frombuffer(n, np.int32), np.frombuffer(v, np.int32)) for h, n, v in packed]
+        hashes = np.concatenate([np.zeros((2, 0), np.uint64), *(x[0] for x in parts)], axis=1)
+        counts, self.values = (np.concatenate([np.zeros(0, np.int32), *(x[i] for x in parts)]) for i in (1, 2))
+        self.order = np.argsort(hashes[0])
+        self.hashes = hashes[:, self.order]
+        self.bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+    @staticmethod
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes, numbers of ids, and ids of each batch of words, as bytes."""
+        rolling = tb.Rolling(8), tb.Rolling(9)
+        for batch in batches:
+            data, offsets = tb.flat(batch.column(0))
+            hashes = np.stack([r.between(r.prefix(data), offsets[:-1], offsets[1:]) for r in rolling])
+            arrays = hashes, batch.column(1).value_lengths().to_numpy(), batch.column(1).flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=["hashes", "counts", "ids"])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each word, -1 for an unknown one."""
-        if not self.hashes.shape[1]:
+        if not len(self.order):
             return np.full(hashes.shape[1], -1)
-        at = np.minimum(np.searchsorted(self.hashes[0], hashes[0]), self.hashes.shape[1] - 1)
-        return np.where((self.hashes[:, at] == hashes).all(axis=0), at, -1)
+        at = np.minimum(np.searchsorted(self.hashes[0], hashes[0]), len(self.order) - 1)
+        return np.where((self.hashes[:, at] == hashes).all(axis=0), self.order[at], -1)
 
     def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words at some places in turn, and how many each has; none at -1."""
@@ -180,7 +191,7 @@ def _word_counts(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = tb.Rolling(8), tb.Rolling(9)
         for batch in batches:
-            for start, stop in tb.slices(batch.column(0), 2 * tb.SLICE_BYTES):
+            for start, stop in tb.slices(batch.column(0)):
                 words = _Words(rolling, batch.column(0).slice(start, stop - start))
                 short = np.flatnonzero(words.lengths <= LONG)
                 counts = np.bincount(words.number, minlength=len(words.first))[short]
@@ -203,10 +214,10 @@ def _known(docs: DataFrame, text: str, literal: Column) -> Known:
             break
         total, least = total + row["count"], row["level"]
     if least is None:
-        return Known(pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32())))
+        return Known()
     chosen = counts.where(F.col("level") >= least).select("word").repartition(-(-total // FOLDED), F.xxhash64("word"))
-    made = chosen.select("word", encode_word(F.hex("word"), literal).alias("ids")).toArrow()
-    return Known(made.column("word").combine_chunks(), made.column("ids").combine_chunks())
+    made = chosen.select("word", encode_word(F.hex("word"), literal).alias("ids"))
+    return Known(made.mapInArrow(Known.pack, "hashes binary, counts binary, ids binary").collect())
 
 
 def _batches(docs: DataFrame, keep: list[str], text: str, known: Known, ranks: dict[bytes, int]) -> DataFrame:
