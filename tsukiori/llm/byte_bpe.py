@@ -31,6 +31,8 @@ from tsukiori.scratch import stage
 BUCKETS = 1 << 14
 #: Words, at most, that are encoded before, and how many of them a task folds.
 MOST, FOLDED = 1 << 20, 20_000
+#: Bytes of text of a batch, if a single text is not longer.
+BATCH_BYTES = 1 << 20
 #: Bytes of the longest word that is folded.
 LONG = 32
 
@@ -157,7 +159,7 @@ class Known:
         parts = [(np.frombuffer(h, np.uint64).reshape(2, -1), np.frombuffer(n, np.int32), np.frombuffer(v, np.int32)) for h, n, v in packed]
         hashes = np.concatenate([np.zeros((2, 0), np.uint64), *(x[0] for x in parts)], axis=1)
         counts, self.values = (np.concatenate([np.zeros(0, np.int32), *(x[i] for x in parts)]) for i in (1, 2))
-        self.order = np.argsort(hashes[0])
+        self.order = np.argsort(hashes[0]).astype(np.int32)
         self.hashes = hashes[:, self.order]
         self.bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
@@ -191,7 +193,7 @@ def _word_counts(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = tb.Rolling(8), tb.Rolling(9)
         for batch in batches:
-            for start, stop in tb.slices(batch.column(0)):
+            for start, stop in tb.slices(batch.column(0), BATCH_BYTES):
                 words = _Words(rolling, batch.column(0).slice(start, stop - start))
                 short = np.flatnonzero(words.lengths <= LONG)
                 counts = np.bincount(words.number, minlength=len(words.first))[short]
@@ -236,7 +238,7 @@ def _batches(docs: DataFrame, keep: list[str], text: str, known: Known, ranks: d
         rolling = tb.Rolling(8), tb.Rolling(9)
         known, ranks = sent.value
         for batch in batches:
-            for start, stop in tb.slices(batch.column(count)):
+            for start, stop in tb.slices(batch.column(count), BATCH_BYTES):
                 part = batch.slice(start, stop - start)
                 words = _Words(rolling, part.column(count))
                 places = known.find(words.hashes)
@@ -272,7 +274,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", keep
 
     The words of the table are counted, and the ``MOST`` most frequent of them
     encoded first, once; they go to all tasks. Others, which are rare, are encoded
-    once in each batch of two megabytes, or one longer text, that has them. What
+    once in each batch of ``BATCH_BYTES``, or one longer text, that has them. What
     is shuffled is counts of words. Words of more than ``LONG`` bytes are merged
     by a heap in Python, because a fold takes the square of their length.
 
