@@ -217,8 +217,9 @@ def _known(docs: DataFrame, text: str, literal: Column) -> Known:
         total, least = total + row["count"], row["level"]
     if least is None:
         return Known()
-    chosen = counts.where(F.col("level") >= least).select("word").repartition(-(-total // FOLDED), F.xxhash64("word"))
-    made = chosen.select("word", encode_word(F.hex("word"), literal).alias("ids"))
+    # Dealt by a job of its own: the plan that holds the ranks then has no exchange, and is made and described once.
+    chosen = stage(counts.where(F.col("level") >= least).select("word").repartition(-(-total // FOLDED), F.xxhash64("word")), "frequent-words")
+    made = chosen.select("word", _let(literal, lambda ranks: encode_word(F.hex("word"), ranks)).alias("ids"))
     return Known(made.mapInArrow(Known.pack, "hashes binary, counts binary, ids binary").collect())
 
 
@@ -292,8 +293,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", keep
 
         return F.transform("docs", of_document)
 
-    coded = F.transform("words", lambda word: F.coalesce(word["ids"], encode_word(word["word"], literal)))
-    return _batches(docs, keep, text, known, ranks).select(F.inline(_let(coded, of_batch)))
+    def coded(own: Column) -> Column:  # the ranks are bound, so that a plan holds them once
+        return F.transform("words", lambda word: F.coalesce(word["ids"], encode_word(word["word"], own)))
+
+    return _batches(docs, keep, text, known, ranks).select(F.inline(_let(_let(literal, coded), of_batch)))
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
