@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from tsukiori.llm import textbytes as tb
 from tsukiori.llm.pretokens import WordCache
 from tsukiori.llm.simple8b import Encoder
-from tsukiori.scratch import stage
+from tsukiori.scratch import new_path, stage
 
 #: Context sizes in tokens, ascending powers of two.
 SIZES = (256, 512, 1024, 2048)
@@ -177,7 +177,10 @@ def pack(
     lengths only. Of each group, the numbers of its sequences meet in one place.
     """
     tokens = encode_documents(docs, tokenizer, end_id, doc_id=doc_id, text=text)
-    tokens = stage(tokens.withColumn("key", F.monotonically_increasing_id()), "tokens")
+    tokens = tokens.withColumn("key", F.monotonically_increasing_id())
+    path = new_path(docs.sparkSession, "tokens")
+    tokens.write.option("compression", "zstd").parquet(path)
+    tokens = docs.sparkSession.read.schema(tokens.schema).parquet(path)
     planned = stage(_planned(tokens, sizes), "plan")
     made = planned.groupBy("group", "size").agg((F.max("local") + 1).alias("n"))
     made = stage(made.withColumn("before", F.sum("n").over(Window.partitionBy("size").orderBy("group")) - F.col("n")), "sequences")
