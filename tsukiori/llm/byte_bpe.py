@@ -2,9 +2,10 @@
 
 The frequent words of a table are encoded first, each once. Then documents are
 taken in batches, each one row: its distinct words, with their ids or still to be
-encoded, and its documents as numbers of these. A word's bytes are an array of
-pieces, written in hexadecimal. A fold over the array merges, each time, the leftmost of the
-adjacent pairs whose concatenation has the lowest rank, until no pair has one.
+encoded, and its documents as numbers of these. A word is written in hexadecimal, and
+its pieces are an array of where each starts, at first its bytes. A fold over the array
+merges, each time, the leftmost of the adjacent pairs whose concatenation has the lowest
+rank, by taking out the second one's start, until no pair has one.
 The ranks are a literal: an array of small maps, of which a piece's hash selects
 one. Decoding takes the pieces of the ids from a literal array and concatenates
 them.
@@ -76,24 +77,24 @@ def encode_word(word: Column, ranks: Column) -> Column:
     def rank_of(piece: Column) -> Column:
         return F.try_element_at(F.get(ranks, _bucket(piece, BUCKETS)), piece)
 
-    def merge(pieces: Column, _: Column) -> Column:
-        pairs = F.transform(pieces, lambda piece, i: rank_of(F.concat(piece, F.get(pieces, i + 1))))
+    def merged(own: Column) -> Column:
+        end = F.length(own) + 1
 
-        def at(place: Column) -> Column:
-            both = F.transform(pieces, lambda piece, i: F.when(i + 1 == place, F.concat(piece, F.get(pieces, place))).when(i != place, piece))
-            return F.filter(both, lambda piece: piece.isNotNull())
+        def piece(starts: Column, at: Column, count: int, start: Column) -> Column:  # null where fewer follow
+            return F.substring(own, start, F.get(starts, at + count) - start)
 
-        def lowest(found: Column) -> Column:
-            place = F.array_position(found, F.array_min(found)).cast("int")  # null where no pair has a rank
-            return _let(place, lambda p: F.when(p > 0, at(p)).otherwise(F.array_append(pieces, F.lit(""))))
+        def merge(starts: Column, _: Column) -> Column:
+            pairs = F.transform(F.transform(starts, lambda start, i: piece(starts, i, 2, start)), rank_of)
+            lowest = _let(pairs, lambda found: F.array_position(found, F.array_min(found)).cast("int"))  # null where no pair has a rank
+            both = _let(lowest, lambda at: F.when(at > 0, F.array_remove(starts, F.get(starts, at))).otherwise(F.array_append(starts, F.lit(0))))
+            return F.when(F.element_at(starts, -1) == 0, starts).otherwise(both)  # a zero marks the end
 
-        done = F.element_at(pieces, -1) == ""  # an empty piece marks the end
-        return F.when(done, pieces).otherwise(_let(pairs, lowest))
+        def ids(starts: Column) -> Column:
+            first = F.filter(starts, lambda start: (start > 0) & (start < end))
+            return F.transform(F.transform(first, lambda start, i: piece(starts, i, 1, start)), rank_of)
 
-    def merged(own: Column) -> Column:
-        singles = F.transform(F.sequence(F.lit(1), F.length(own), F.lit(2)), lambda i: F.substring(own, i, F.lit(2)))
-        pieces = _let(singles, lambda parts: F.aggregate(parts, parts, merge))
-        return F.transform(F.filter(pieces, lambda p: p != ""), rank_of)
+        bounds = _let(F.sequence(F.lit(1), end, F.lit(2)), lambda singles: F.aggregate(singles, singles, merge))
+        return _let(bounds, ids)
 
     return _let(word, lambda own: F.coalesce(_let(rank_of(own), lambda r: F.when(r.isNotNull(), F.array(r))), merged(own)))
 
