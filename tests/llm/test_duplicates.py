@@ -12,6 +12,7 @@ import corpus_pipeline
 from tests.llm.rows import WORDS, clashing, collected, no_documents, odd_documents
 from tsukiori.llm import anchors, multi_index, parity_join, suffix_dedup, suffixes
 from tsukiori.llm import textbytes as tb
+from tsukiori.scratch import stage
 
 
 def sets_of(text, size):
@@ -179,6 +180,22 @@ def test_repeats_across_buckets(spark):
     assert {r["copy"]: r["count"] for r in found} == {0: 500, 2: 200}
 
 
+def test_buckets_follow_the_number_of_suffixes(spark, monkeypatch):
+    """As many as are needed for buckets of bounded size, with the same result."""
+    rows = [(5, 5, 5, i, 0, i) for i in range(300)] + [(i // 2, i // 2, 1, i, 1, 0) for i in range(200)]
+    table = spark.createDataFrame(rows, suffixes.SCHEMA)
+
+    def found():  # states 2 and 3 both say that all is equal; which row stands for others is free
+        return sorted((r["copy"], r["id"], r["state"] > 1) for r in suffixes.repeated(table, "test").collect())
+
+    whole, sizes = found(), []
+    monkeypatch.setattr(suffixes, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(suffixes, "stage", lambda df, name: sizes.append(df.rdd.getNumPartitions()) or stage(df, name))
+    assert found() == whole
+    assert len(whole) == 500
+    assert sizes == [25]
+
+
 # ---------------------------------------------------------------------------
 
 

@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsukiori.scratch import stage
+from tsukiori.scratch import stage, staged_counted
 
 #: The words of a suffix, and whose it is.
 WORDS = ("lead", "key", "rest")
 OWNER = ("id", "copy", "place")
+#: Suffixes of a bucket, about, if there are more of them than the shuffle's partitions hold so.
+BUCKET_ROWS = 1 << 20
 SCHEMA = "lead long, key long, rest long, id long, copy long, place long"
 
 
@@ -109,13 +111,20 @@ def repeated(suffixes: DataFrame, name: str) -> DataFrame:
     State 1: another has the same ``lead`` and ``key``; 2 and 3: the same ``rest``
     as well. Of those equal in all three, at least one has state 3 if there are
     suffixes of the same ``lead`` and ``key`` that differ in ``rest``: it stands
-    for them when those are looked at closer. A task holds the words of its bucket. Only the first and last row of
-    each bucket come to the driver.
+    for them when those are looked at closer.
+
+    The suffixes are written and counted in one job, so that splitters are sampled
+    from the table, and the buckets are as many as their number asks for: a task
+    holds the words of about ``BUCKET_ROWS`` rows at most, however many suffixes
+    there are and however many of them are equal. The table is deleted once
+    the buckets are sorted. Only the first and last row of each bucket come to the driver.
     """
-    parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = suffixes.select(*WORDS, *OWNER).repartitionByRange(parts, *WORDS, *OWNER)
-    found = ranged.mapInArrow(_bucket, f"id long, copy long, place long, state int, edge int, {SCHEMA.split(', id')[0]}")
-    found = stage(found.withColumn("part", F.spark_partition_id()), name)
+    least = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with staged_counted(suffixes.select(*WORDS, *OWNER), f"{name}-suffixes", {"rows": F.count(F.lit(1))}) as (rows, seen):
+        parts = max(least, -(-seen.get("rows", 0) // BUCKET_ROWS))
+        ranged = rows.repartitionByRange(parts, *WORDS, *OWNER)
+        found = ranged.mapInArrow(_bucket, f"id long, copy long, place long, state int, edge int, {SCHEMA.split(', id')[0]}")
+        found = stage(found.withColumn("part", F.spark_partition_id()), name)
     edges = found.where("edge > 0").select("part", "edge", *WORDS).collect()
     first = {row["part"]: row for row in edges if row["edge"] & 1}
     last = {row["part"]: row for row in edges if row["edge"] & 2}
