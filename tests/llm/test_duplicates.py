@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.rows import WORDS, clashing, collected, no_documents, odd_documents
-from tsukiori.llm import anchors, multi_index, parity_join, suffix_dedup, suffixes
+from tsukiori.llm import anchors, language_spans, multi_index, parity_join, suffix_dedup, suffixes
 from tsukiori.llm import textbytes as tb
 from tsukiori.scratch import stage
 
@@ -91,6 +91,53 @@ def test_similar_sets_share_a_key():
                 assert len(common) > min(spare)
 
 
+def test_sketches_have_few_keys():
+    """Not many more than the bound asks for, and nearly all of one sketch, at a similarity with a small margin too."""
+    random_ = np.random.default_rng(5)
+    made = [np.unique(random_.integers(0, 2**63, n, dtype=np.uint64)) for n in random_.integers(50, 1500, 300)]
+    sets = parity_join.Sets(np.concatenate(made), np.cumsum([0, *map(len, made)]))
+    for percent, most in ((80, 0.42), (85, 0.3)):
+        grid = parity_join.bands(percent)
+        for found in (parity_join.keys(sets, grid), parity_join.keys(sets, parity_join.fine(grid), range(64, 65))):
+            assert len(found.key) < most * len(sets.hashes)
+
+
+def test_a_large_group_of_near_copies_needs_no_second_sketch(spark, monkeypatch):
+    """Its keys are crowded, but comparing with the first of each makes it one component."""
+    again = []
+    monkeypatch.setattr(parity_join, "CROWD", 4)
+    monkeypatch.setattr(parity_join, "_keyed_again", lambda contents, grid, f=parity_join._keyed_again: again.append(contents.count()) or f(contents, grid))
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([*base[: 3 * k], f"x{k}", *base[3 * k + 1 :]])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = parity_join.link_groups(docs, size=5, percent=80).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_groups(rows, 5, 80)
+    assert sum(again) == 0
+
+
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    """Every key is crowded, those of the second sketch too."""
+    monkeypatch.setattr(parity_join, "CROWD", 0)
+    monkeypatch.setattr(parity_join, "BLOCK", 3)
+    random.seed(100)
+    rows = []
+    for length in (5, 20, 90, 300):
+        base = [random.choice(WORDS) + str(random.randrange(60)) for _ in range(length)]
+        rows += [(len(rows) + k, " ".join(edited(base, random.randrange(1 + length // 6)))) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = parity_join.link_groups(docs, size=5, percent=80).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_groups(rows, 5, 80)
+
+
+def test_language_counts_come_as_arrow(spark, monkeypatch):
+    """As rows they would fill the driver: there is one for each language and feature."""
+    docs = spark.createDataFrame([("the house", "en"), ("das Haus", "de"), ("дом", "ru"), ("no language", None)], "text string, lang string")
+    for name in ("toPandas", "collect"):
+        monkeypatch.setattr(type(docs), name, lambda self: pytest.fail("rows in the driver"))
+    assert language_spans.train(docs).languages == ["de", "en", "ru"]
+    assert language_spans.train(docs.limit(0)).languages == []
+
+
 def test_odd_documents_have_groups(spark):
     docs = odd_documents(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.dropDuplicates().collect()]

@@ -154,10 +154,11 @@ def train(labelled: DataFrame, *, text: str = "text", language: str = "lang", sa
             )
 
     counts = rows.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    table = counts.toPandas()
-    languages = sorted(set(table["lang"]))
+    table = counts.toArrow()  # not a Row for each count
+    languages = sorted(table["lang"].unique().to_pylist())
     seen = np.zeros((len(languages), _FEATURES))
-    np.add.at(seen, (np.searchsorted(np.array(languages, str), table["lang"].to_numpy(str)), table["feature"].to_numpy()), table["n"].to_numpy())
+    at = pc.index_in(table["lang"], value_set=pa.array(languages, pa.string()))
+    np.add.at(seen, (at.to_numpy(), table["feature"].to_numpy()), table["n"].to_numpy())
     parts = seen[:, :_PIECES] + 0.5, seen[:, _PIECES : _PIECES + _WORDS] + 0.5
     weights = np.concatenate([np.log(part / part.sum(axis=1, keepdims=True)) for part in parts], axis=1)
     used = seen[:, _PIECES + _WORDS :]

@@ -5,16 +5,19 @@ part is the exclusive or of its shingles' hashes. A shingle that one of two sets
 lacks changes one part, so the number of parts that differ is at most the size of
 the symmetric difference. A similarity bounds that size; with more parts than the
 bound, two similar sets have an equal part. So texts that share no part need not
-be compared. The bound, and with it the number of parts, goes by bands of set
-sizes. Parts of a single shingle are no keys, because passages that many texts
-share would make them hot; a text that has too few other parts gets further
-sketches by other hashes, until one has enough.
-
-A key of more than ``CROWD`` texts is crowded. A text that has more keys than the
-bound even without its crowded ones needs none of these: whatever is similar to
-it shares one of the others. Texts that lack them get a second, finer sketch
-among themselves, and only what is crowded there too, as in large groups of near
-copies, is compared by crowded keys.
+be compared. The number of parts goes by bands of set sizes, the bound by a
+text's own size. Parts of a single shingle are no keys, because passages that many
+texts share would make them hot; a text that has too few other parts gets further
+sketches by other hashes, until one has enough. Of enough parts, those first in an
+order that all texts share are its keys: some more than the bound, because what
+comes before the first part that two similar sets share differs between them.
+
+Texts are compared with the first of those that share a key; most of a group of near
+copies become one component by that. A key whose sets still have more than ``CROWD``
+others in other components, on average, is crowded. A text that has more keys than
+the bound even without its crowded ones needs none of these: whatever else is similar
+to it shares one of the others. Texts that lack them get a second, finer sketch among
+themselves, and only what is crowded there too is compared by crowded keys.
 """
 
 from __future__ import annotations
@@ -37,10 +40,10 @@ from tsukiori.scratch import stage
 #: Bits of the small sketch that two texts are compared by before their sets are.
 SKETCH_BITS = 1024
 #: Ratio of the bounds of a size band.
-BAND = 1.25
+BAND = 1.5
 #: Sketches of a text at most; after them all parts of the last are keys.
 ROUNDS = 64
-#: Texts of a key from which on it is crowded.
+#: Sets of other components that a set of a key has, on average; beyond that the key is crowded.
 CROWD = 24
 #: Texts of a block of a crowded key; a task compares the sketches of two blocks.
 BLOCK = 4096
@@ -53,12 +56,18 @@ _GOLD = _U(0x9E3779B97F4A7C15)
 class Bands:
     """Bands of sizes, and what holds for pairs whose smaller set is in a band."""
 
+    percent: int
     first: np.ndarray  # least size
+    last: np.ndarray  # greatest size
     reach: np.ndarray  # greatest size of the larger set
-    bound: np.ndarray  # greatest symmetric difference
     parts: np.ndarray
     strong: np.ndarray  # shingles that a part must have to be a key
 
+    def bound(self, level: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The greatest symmetric difference of a set of some size and a similar one, as a pair of the band."""
+        other = np.where(size > self.last[level], self.last[level], size * 100 // self.percent)
+        return (100 - self.percent) * (size + other) // (100 + self.percent)
+
 
 def bands(percent: int) -> Bands:
     """Bands for a Jaccard similarity of ``percent`` hundredths at least."""
@@ -70,29 +79,43 @@ def bands(percent: int) -> Bands:
         size = max(size + 1, int(size * BAND))
     low = np.array(first, np.int64)
     high = np.append(low[1:], size) - 1
-    reach = high * 100 // percent
-    bound = (100 - percent) * (high + reach) // (100 + percent)
-    strong = np.where(low >= 2.5 * (bound + 1), 2, 1)
-    parts = np.array([_parts(*x) for x in zip(low.tolist(), bound.tolist(), strong.tolist(), strict=True)])
-    return Bands(low, reach, bound, parts, strong)
+    none = np.zeros_like(low)
+    grid = Bands(percent, low, high, high * 100 // percent, none, none.copy())
+    for level in range(len(low)):
+        grid.parts[level], grid.strong[level] = _parts(grid, level)
+    return grid
 
 
 def fine(grid: Bands) -> Bands:
     """The same bands with as many parts as leave most with one shingle at least."""
-    parts = np.maximum(np.ceil(0.6 * grid.first), grid.bound + 2).astype(np.int64)
-    return Bands(grid.first, grid.reach, grid.bound, parts, np.ones_like(grid.strong))
+    most = grid.bound(np.arange(len(grid.first)), grid.last)
+    parts = np.maximum(np.ceil(0.6 * grid.first), most + 2).astype(np.int64)
+    return Bands(grid.percent, grid.first, grid.last, grid.reach, parts, np.ones_like(parts))
+
+
+def _more(bound: np.ndarray) -> np.ndarray:
+    """Keys beyond those that the bound asks for, at most: so many crowded ones can be ignored."""
+    return 1 + bound // 10
 
 
-def _parts(size: int, bound: int, strong: int) -> int:
-    """The fewest parts of which more than the bound, by a margin, are expected to be strong."""
-    def expected(parts: float) -> float:
-        mean = size / parts
-        return parts * (1 - np.exp(-mean) * (1 + mean * (strong > 1)))
+def _parts(grid: Bands, level: int) -> tuple[int, int]:
+    """How many parts, and shingles of a strong one, so that sets of all sizes are expected to have strong parts enough.
 
-    choices = (bound + 1) * np.linspace(1, 3, 41)
-    wanted = bound + 1 + 0.7 * np.sqrt(bound + 1)
-    good = [c for c in choices if expected(c) >= wanted]
-    return int(np.ceil(good[0] if good else max(choices, key=expected)))
+    The fewest by a margin, else those by which the least margin is greatest; of
+    two shingles if that leaves most sets with enough in a few sketches.
+    """
+    size = np.array([grid.first[level], grid.last[level], grid.reach[level]])
+    bound = grid.bound(np.full(3, level), size)
+    choices = np.unique(np.maximum(bound.max() + 1, np.ceil(size[1] * np.linspace(0.2, 1.2, 101)))).astype(np.int64)[:, None]
+    mean = size / choices
+    for strong in (2, 1):
+        expected = choices * (1 - np.exp(-mean) * (1 + mean * (strong > 1)))
+        enough = ((expected - bound - 1) / np.sqrt(bound + 1)).min(axis=1)
+        ample = np.flatnonzero(((expected - bound - 1 - _more(bound)) / np.sqrt(bound + 1)).min(axis=1) >= 0.7)
+        best = int(ample[0] if len(ample) else enough.argmax())
+        if strong == 1 or enough[best] >= -0.25:
+            break
+    return int(choices[best, 0]), strong
 
 
 @dataclass
@@ -155,7 +178,7 @@ def keys(sets: Sets, grid: Bands, rounds: range = range(ROUNDS)) -> Keys:
     level = own.copy()
     going = np.flatnonzero(sizes > 0)
     while len(going):  # as the smaller set in its own band, as the larger in bands below
-        some = going[grid.bound[level[going]] > 0]
+        some = going[grid.bound(level[going], sizes[going]) > 0]
         docs.append(some)
         levels.append(level[some])
         level[going] -= 1
@@ -167,7 +190,7 @@ def keys(sets: Sets, grid: Bands, rounds: range = range(ROUNDS)) -> Keys:
     for round_ in rounds:
         if not len(doc):
             break
-        count, parts = sizes[doc], grid.parts[level]
+        count, parts, bound = sizes[doc], grid.parts[level], grid.bound(level, sizes[doc])
         hashes = sets.hashes[_ragged(sets.bounds[doc], count)]
         place = tb.mix(hashes + tb.random_words(round_, 1)) >> _U(32)
         place = (place * np.repeat(parts, count).astype(_U) >> _U(32)).astype(np.int64)
@@ -178,14 +201,20 @@ def keys(sets: Sets, grid: Bands, rounds: range = range(ROUNDS)) -> Keys:
         sketch = np.zeros(total, _U)
         np.bitwise_xor.at(sketch, place, hashes)
         strong = held >= np.repeat(grid.strong[level], parts)
-        spare = np.add.reduceat(strong, base) - grid.bound[level] - 1
+        spare = np.minimum(np.add.reduceat(strong, base, dtype=np.int64) - bound - 1, _more(bound))
         enough = spare >= 0
         if round_ == rounds[-1]:
             strong |= np.repeat(~enough, parts)
         unit = np.repeat(np.arange(len(doc)), parts)[strong]
         part = np.flatnonzero(strong) - base[unit]
         salt = tb.mix((level[unit].astype(_U) << _U(40)) + (part.astype(_U) << _U(8)) + _U(round_))
-        made.append((tb.mix(sketch[strong] ^ salt), doc[unit], level[unit], np.where(enough, spare, -1)[unit]))
+        key = tb.mix(sketch[strong] ^ salt)
+        order = np.lexsort((key, unit))  # the first keys of each unit
+        key, unit = key[order], unit[order]
+        place = np.arange(len(unit)) - np.searchsorted(unit, unit)
+        kept = ~enough[unit] | (place <= (bound + spare)[unit])
+        key, unit = key[kept], unit[kept]
+        made.append((key, doc[unit], level[unit], np.where(enough, spare, -1)[unit]))
         doc, level = doc[~enough], level[~enough]
     return Keys(*(np.concatenate(x) for x in zip(*made, strict=True)))
 
@@ -270,16 +299,18 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return several.select("key", "id", "unit")
 
 
-def _crowds(held: DataFrame) -> DataFrame:
+def _crowds(still: DataFrame) -> DataFrame:
     """Sets that cannot do without their crowded keys, by what they can ignore for a band."""
-    crowded = held.where(F.col("m") > CROWD).groupBy("rep", "unit").count()
+    crowded = still.where("crowded").groupBy("rep", "unit").count()
     return crowded.where(F.col("count") > F.col("unit").bitwiseAND(F.lit((1 << 32) - 1)) - 1).select("rep").distinct()
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """Distinct sets by key, with the number of sets of the key, for keys of several."""
+def _placed(rows: DataFrame) -> DataFrame:
+    """Distinct sets by key, numbered, for keys of several."""
+    key = Window.partitionBy("key")
     one = rows.groupBy("key", "rep", "unit").agg(F.lit(1).alias("one"))
-    return one.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1").drop("one")
+    placed = one.withColumns({"place": F.row_number().over(key.orderBy("rep")), "m": F.count("*").over(key)})
+    return placed.where("m > 1").drop("one", "m")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -326,8 +357,8 @@ def link_groups(
     Equal sets are found by a 128-bit hash and stand for each other, so copies
     are never paired. Texts that share a key are compared with the first of
     those with the key, then, while a key still holds more than one component,
-    with the others; what a sketch of fixed size or the sizes rule out is not
-    compared by sets. No pair of texts that share a key, and may need it, is left
+    with those of the others; what a sketch of fixed size or the sizes rule out is
+    not compared by sets. No pair of texts that share a key, and may need it, is left
     out if it ends in different components.
     """
     grid = bands(percent)
@@ -340,31 +371,29 @@ def link_groups(
     sets = classes.select("rep", "n", "sketch")
 
     shared = stage(_shared(_keyed(source.where("id IS NOT NULL"), size, grid)), "shared-keys")
-    first = stage(_counted(shared.join(member.select("id", "rep"), "id")), "first-keys")
-    crowded = stage(_crowds(first), "crowded")
-    calm = first.where(F.col("m") <= CROWD).select("key", "rep")
-    wanted = calm.select("rep").union(crowded).distinct()
-    texts = source.join(wanted, source["id"] == wanted["rep"], "left_semi")
+    first = stage(_placed(shared.join(member.select("id", "rep"), "id")), "first-keys")
+    texts = source.join(first.select("rep").distinct(), source["id"] == F.col("rep"), "left_semi")
     contents = stage(_sets(texts, size).where(F.size("held") > 0), "contents")
-
-    again = _keyed_again(contents.join(crowded, contents["id"] == crowded["rep"], "left_semi"), fine(grid))
-    second = stage(_counted(again.withColumnRenamed("id", "rep")), "second-keys")
-    stuck = stage(_crowds(second), "stuck")
-    dense = _counted(second.where(F.col("m") > CROWD).drop("m").join(stuck, "rep", "left_semi"))
-    held = calm.union(second.where(F.col("m") <= CROWD).select("key", "rep")).union(dense.select("key", "rep")).distinct()
-    place = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-    held = stage(held.withColumn("place", place), "held-keys")
-
+    near = stage(_verified(_nearest_first(first, sets, percent), contents, percent), "verified")
+    roots = components(near)
+    still = _open_keys(first, roots)
+    more = stage(_verified(_open_pairs(still, sets, percent), contents, percent), "verified")
     # a document of several sets links them
     edges = member.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    verified = _verified(_nearest_first(held, sets, percent), contents, percent)
-    links = stage(verified, "verified")
-    roots = components(links)
-    still = _open_keys(held, roots)
-    pairs = stage(_open_pairs(still, sets, percent).union(_dense_pairs(still, sets, percent)).distinct(), "pairs")
-    more = stage(_verified(pairs, contents, percent), "verified")
-    if not more.isEmpty() or not edges.isEmpty():
-        roots = components(links.union(more).union(edges))
+    links = near.union(more).union(edges)
+
+    crowded = stage(_crowds(still), "crowded")
+    if not crowded.isEmpty():
+        again = _keyed_again(contents.join(crowded, contents["id"] == crowded["rep"], "left_semi"), fine(grid))
+        second = stage(_placed(again.withColumnRenamed("id", "rep")), "second-keys")
+        near = stage(_verified(_nearest_first(second, sets, percent), contents, percent), "verified")
+        links = links.union(near)
+        still = _open_keys(second, components(links))
+        pairs = _open_pairs(still, sets, percent).union(_dense_pairs(still, sets, percent)).distinct()
+        links = links.union(stage(_verified(stage(pairs, "pairs"), contents, percent), "verified"))
+        roots = components(links)
+    elif not more.isEmpty() or not edges.isEmpty():
+        roots = components(links)
     return signed.join(roots, signed["id"] == roots["node"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id")
     )
@@ -386,33 +415,38 @@ def _nearest_first(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_keys(held: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of keys that hold more than one component."""
-    known = held.join(roots, held["rep"] == roots["node"], "left").select("key", "rep", "place", F.coalesce("root", "rep").alias("root"))
+    """The rows of keys that hold more than one component.
+
+    ``main`` is the component of most sets of the key. The sets of a key that is
+    not crowded have ``CROWD`` others in other components on average, so the pairs of
+    them are in proportion to the rows, however large its components are.
+    """
+    known = held.join(roots, held["rep"] == roots["node"], "left").select("key", "rep", "unit", F.coalesce("root", "rep").alias("root"))
     key = Window.partitionBy("key")
-    still = known.withColumns({"least": F.min("root").over(key), "most": F.max("root").over(key)}).where("least != most")
-    most = F.max("place").over(key)
-    return stage(still.withColumn("most", most).select("key", "rep", "place", "root", "most"), "open-keys")
+    sizes = known.withColumn("m", F.count("*").over(key)).withColumn("own", F.count("*").over(Window.partitionBy("key", "root")))
+    still = sizes.where("own < m").withColumn("main", F.max(F.struct("own", "root")).over(key)["root"])
+    still = still.withColumn("crowded", F.avg(F.col("m") - F.col("own")).over(key) > CROWD)
+    return stage(still.select("key", "rep", "unit", "root", "main", "crowded"), "open-keys")
 
 
 def _open_pairs(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Plausible pairs of sets that share a key that is not crowded, in different components."""
-    few = still.where(F.col("most") <= CROWD)
-    one = few.select("key", F.col("rep").alias("a"), F.col("place").alias("a_place"), F.col("root").alias("a_root"))
-    pairs = (
-        one.join(few, "key")
-        .where((F.col("place") > F.col("a_place")) & (F.col("root") != F.col("a_root")))
-        .select("a", F.col("rep").alias("b"))
-        .distinct()
-    )
+    few = still.where("NOT crowded")
+    one = few.where("root != main").select("key", F.col("rep").alias("one"), F.col("root").alias("one_root"))
+    apart = F.col("root") != F.col("one_root")
+    pairs = one.join(few, "key").where(apart & ((F.col("root") == F.col("main")) | (F.col("rep") > F.col("one"))))
+    pairs = pairs.select(F.least("one", "rep").alias("a"), F.greatest("one", "rep").alias("b")).distinct()
     return _with_sketches(pairs, sets).where(_plausible(percent)).select("a", "b")
 
 
 def _dense_pairs(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The same for crowded keys. Their sets are cut into blocks, and a task has two blocks of a key."""
+    """The same for crowded keys, of sets that need them. A key's sets are cut into blocks, and a task has two of them."""
+    key = Window.partitionBy("key")
+    many = still.where("crowded").join(_crowds(still), "rep", "left_semi").select("key", "rep", "root")
+    many = many.withColumns({"place": F.row_number().over(key.orderBy("rep")), "most": F.count("*").over(key)})
     blocks = F.floor((F.col("most") - 1) / BLOCK).cast("int")
     block = F.floor((F.col("place") - 1) / BLOCK).cast("int")
-    many = still.where(F.col("most") > CROWD).join(sets, "rep")
-    rows = many.select(
+    rows = many.join(sets, "rep").select(
         "key", "rep", "root", "n", "sketch", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks)).alias("other")
     ).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
 
