@@ -16,8 +16,8 @@ Texts are compared with the first of those that share a key; most of a group of
 copies become one component by that. A key whose sets still have more than ``CROWD``
 others in other components, on average, is crowded. A text that has more keys than
 the bound even without its crowded ones needs none of these: whatever else is similar
-to it shares one of the others. Texts that lack them get a second, finer sketch among
-themselves, and only what is crowded there too is compared by crowded keys.
+to it shares one of the others. Texts that lack them in a band get a second, finer sketch
+for it among themselves, and only what is crowded there too is compared by crowded keys.
 """
 
 from __future__ import annotations
@@ -279,17 +279,22 @@ def _keyed(docs: DataFrame, size: int, grid: Bands) -> DataFrame:
 
 
 def _keyed_again(contents: DataFrame, grid: Bands) -> DataFrame:
-    """A row per key of a finer sketch and set."""
+    """A row per key of a finer sketch and set, of the bands in ``levels``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch.column(1)
+            held, levels = batch.column(1), batch.column(2)
             counts = np.array(held.value_lengths())
             values = held.flatten().to_numpy(zero_copy_only=False).view(_U)
             sets = Sets(values, np.concatenate([[0], np.cumsum(counts)]))
-            yield _key_rows(batch.column(0).to_numpy(), keys(sets, grid, range(ROUNDS, ROUNDS + 1)))
+            found = keys(sets, grid, range(ROUNDS, ROUNDS + 1))
+            wanted = np.zeros((len(counts), len(grid.first)), bool)
+            wanted[np.repeat(np.arange(len(counts)), np.array(levels.value_lengths())), levels.flatten().to_numpy(zero_copy_only=False)] = True
+            kept = wanted[found.doc, found.level]
+            found = Keys(found.key[kept], found.doc[kept], found.level[kept], found.spare[kept])
+            yield _key_rows(batch.column(0).to_numpy(), found)
 
-    return contents.select("id", "held").mapInArrow(run, _KEYED)
+    return contents.select("id", "held", "levels").mapInArrow(run, _KEYED)
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
@@ -300,9 +305,11 @@ def _shared(keyed: DataFrame) -> DataFrame:
 
 
 def _crowds(still: DataFrame) -> DataFrame:
-    """Sets that cannot do without their crowded keys, by what they can ignore for a band."""
+    """Sets that cannot do without their crowded keys, and the bands for whose pairs, by what they can ignore for a band."""
     crowded = still.where("crowded").groupBy("rep", "unit").count()
-    return crowded.where(F.col("count") > F.col("unit").bitwiseAND(F.lit((1 << 32) - 1)) - 1).select("rep").distinct()
+    return crowded.where(F.col("count") > F.col("unit").bitwiseAND(F.lit((1 << 32) - 1)) - 1).groupBy("rep").agg(
+        F.collect_set(F.shiftright("unit", 32)).alias("levels")
+    )
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -384,7 +391,7 @@ def link_groups(
 
     crowded = stage(_crowds(still), "crowded")
     if not crowded.isEmpty():
-        again = _keyed_again(contents.join(crowded, contents["id"] == crowded["rep"], "left_semi"), fine(grid))
+        again = _keyed_again(contents.join(crowded, contents["id"] == crowded["rep"]), fine(grid))
         second = stage(_placed(again.withColumnRenamed("id", "rep")), "second-keys")
         near = stage(_verified(_nearest_first(second, sets, percent), contents, percent), "verified")
         links = links.union(near)
