@@ -16,6 +16,12 @@ RANKS = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
+def described(spark):
+    """What the driver keeps of the queries that have run."""
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+
+
 @pytest.fixture(scope="module")
 def texts(spark):
     more = ["don't we'll ''s x\"'s \n's  's", "<|endoftext|>", "aaaaaaaaaaaaaaaaa", " \u0085  x", "naïve²½ ٣٤"]
@@ -71,6 +77,14 @@ def test_query_over_a_table(spark):
         assert row["decoded_sha256"] == hashlib.sha256(texts[row["doc_id"]].encode()).hexdigest()
 
 
+def test_plans_do_not_spell_the_ranks(spark, texts):
+    tokens = byte_bpe.encode(texts, RANKS)
+    for frame in (tokens, byte_bpe.decode(tokens, RANKS)):
+        assert len(frame._jdf.queryExecution().toString()) < 200_000
+    longest = max(len(d) for d in described(spark))
+    assert longest < 200_000  # of the plans that ran on the way
+
+
 def test_no_documents_and_other_columns(spark, texts):
     assert byte_bpe.encode(no_documents(spark), RANKS).collect() == []
     one = byte_bpe.encode(texts, RANKS)

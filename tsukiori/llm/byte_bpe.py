@@ -6,16 +6,16 @@ encoded, and its documents as numbers of these. A word is written in hexadecimal
 its pieces are an array of where each starts, at first its bytes. A fold over the array
 merges, each time, the leftmost of the adjacent pairs whose concatenation has the lowest
 rank, by taking out the second one's start, until no pair has one.
-The ranks are a literal: an array of small maps, of which a piece's hash selects
-one. Decoding takes the pieces of the ids from a literal array and concatenates
-them.
+The ranks are the value of a scalar subquery: an array of small maps, of which a
+piece's hash selects one. Decoding takes the pieces of the ids from an array, in the
+same way, and concatenates them. As literals they would be written out in each plan's
+description, which the driver makes, logs and keeps for every query.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import json
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -49,21 +49,26 @@ def _bucket(piece: Column, buckets: int) -> Column:
 
 
 def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """The literal: an array of maps from pieces, in hexadecimal, to ranks."""
+    """An array of maps from pieces, in hexadecimal, to ranks."""
     rows = [(piece.hex().upper(), rank) for piece, rank in ranks.items()]
     placed = spark.createDataFrame(rows, "piece string, rank int").select("*", _bucket(F.col("piece"), BUCKETS).alias("at"))
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for row in placed.toLocalIterator():
         buckets[row["at"]][row["piece"]] = row["rank"]
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+    return _value(spark, buckets, "array<map<string,int>>")
 
 
-def piece_array(ranks: dict[bytes, int]) -> Column:
-    """The literal: pieces in hexadecimal, by rank; null where no piece has it."""
+def piece_array(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """Pieces in hexadecimal, by rank; null where no piece has it."""
     pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex().upper()
-    return F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
+    return _value(spark, pieces, "array<string>")
+
+
+def _value(spark: SparkSession, value: list, kind: str) -> Column:
+    """The value, which a plan names but does not spell; for a column, as functions with lambdas take no subquery."""
+    return spark.createDataFrame([(value,)], f"value {kind}").coalesce(1).scalar()
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -204,7 +209,7 @@ def _word_counts(docs: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _known(docs: DataFrame, text: str, literal: Column) -> Known:
+def _known(docs: DataFrame, text: str, ranks: Column) -> Known:
     """The most frequent words of the table, ``MOST`` at most, each of them encoded once.
 
     They are those of a number of occurrences from which on there are no more;
@@ -220,7 +225,7 @@ def _known(docs: DataFrame, text: str, literal: Column) -> Known:
         return Known()
     # Dealt by a job of its own: the plan that holds the ranks then has no exchange, and is made and described once.
     chosen = stage(counts.where(F.col("level") >= least).select("word").repartition(-(-total // FOLDED), F.xxhash64("word")), "frequent-words")
-    made = chosen.select("word", _let(literal, lambda ranks: encode_word(F.hex("word"), ranks)).alias("ids"))
+    made = chosen.select("word", ranks.alias("__ranks")).select("word", _let(F.col("__ranks"), lambda own: encode_word(F.hex("word"), own)).alias("ids"))
     return Known(made.mapInArrow(Known.pack, "hashes binary, counts binary, ids binary").collect())
 
 
@@ -284,8 +289,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", keep
     Other columns are not looked at, and a kept one named ``ids`` is replaced.
     """
     keep = [name for name in dict.fromkeys(keep) if name.lower() != "ids"]
-    literal = rank_map(docs.sparkSession, ranks)
-    known = _known(docs, text, literal)
+    placed = rank_map(docs.sparkSession, ranks)
+    known = _known(docs, text, placed)
 
     def of_batch(coded: Column) -> Column:
         def of_document(doc: Column) -> Column:
@@ -297,7 +302,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", keep
     def coded(own: Column) -> Column:  # the ranks are bound, so that a plan holds them once
         return F.transform("words", lambda word: F.coalesce(word["ids"], encode_word(word["word"], own)))
 
-    return _batches(docs, keep, text, known, ranks).select(F.inline(_let(_let(literal, coded), of_batch)))
+    rows = _batches(docs, keep, text, known, ranks).select("words", "docs", placed.alias("__ranks"))
+    return rows.select(F.inline(_let(_let(F.col("__ranks"), coded), of_batch)))
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
@@ -307,6 +313,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", keep
     named ``decoded`` is replaced. No shuffle.
     """
     keep = [name for name in dict.fromkeys(keep) if name.lower() != "decoded"]
-    pieces = piece_array(ranks)
-    text = F.array_join(F.transform(F.col(f"`{ids}`"), lambda i: F.get(pieces, i)), "")
-    return tokens.select(*[f"`{c}`" for c in keep], F.unhex(text).alias("decoded"))
+    placed = piece_array(tokens.sparkSession, ranks)
+    rows = tokens.select(*[f"`{c}`" for c in keep], tokens[f"`{ids}`"].alias("__ids"), placed.alias("__pieces"))
+    text = _let(F.col("__pieces"), lambda pieces: F.array_join(F.transform("__ids", lambda i: F.get(pieces, i)), ""))
+    return rows.select(*[f"`{c}`" for c in keep], F.unhex(text).alias("decoded"))
