@@ -5,7 +5,9 @@ import hashlib
 import random
 import time
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -47,6 +49,37 @@ def test_ids_do_not_depend_on_what_is_encoded_before(spark, texts, monkeypatch,
         assert row["ids"] == LIBRARY.encode_ordinary(row["text"] or "")
 
 
+def test_batches_spell_new_words_only(spark):
+    """Known and long words come as ids, in runs that end at a new word or with the text."""
+    long = "x" * 40
+    docs = spark.createDataFrame([(1, f"a b {long} new c a"), (2, ""), (3, "new"), (4, None), (5, "a b")], "doc_id long, text string")
+    words = {w: LIBRARY.encode_ordinary(w) for w in ("a", " a", " b", " c")}
+    packed = byte_bpe.Known.pack([pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words]), pa.array(list(words.values()), pa.list_(pa.int32()))], names=["word", "ids"])])
+    known = byte_bpe.Known([tuple(column[0].as_py() for column in batch.columns) for batch in packed])
+    rows = byte_bpe._batches(docs.coalesce(1), ["doc_id"], "text", known, RANKS).collect()
+    assert [w for row in rows for w in row["words"]] == [" new".encode().hex().upper(), "new".encode().hex().upper()]
+    parts = {doc["doc_id"]: [tuple(part) for part in doc["parts"]] for row in rows for doc in row["docs"]}
+    before, after = LIBRARY.encode_ordinary(f"a b {long}"), LIBRARY.encode_ordinary(" c a")
+    assert parts == {1: [(before, None), (None, 0), (after, None)], 2: [], 3: [(None, 1)], 4: [], 5: [(LIBRARY.encode_ordinary("a b"), None)]}
+
+
+def test_ids_that_are_parts_of_characters_decode_to_their_bytes(spark):
+    pieces = [bytes([b]) for b in range(256)]
+    frame = spark.createDataFrame([([RANKS[p] for p in pieces],), ([],), (None,), ([RANKS[b"\xff"], 1 << 20],)], "ids array<int>")
+    decoded = [row["decoded"] for row in byte_bpe.decode(frame, RANKS, keep=[]).collect()]
+    assert [None if d is None else bytes(d) for d in decoded] == [b"".join(pieces), b"", None, b"\xff"]
+
+
+def test_two_words_of_one_first_hash_stay_two():
+    first, second = np.array([7, 5, 7, 7, 5], np.uint64), np.array([1, 2, 3, 1, 2], np.uint64)
+    at, number = byte_bpe._distinct(first, second)
+    assert len(at) == 3
+    assert (first[at[number]] == first).all() and (second[at[number]] == second).all()
+    at, number = byte_bpe._distinct(first, first)
+    assert (at.tolist(), number.tolist()) == ([0, 1], [0, 1, 0, 0, 1])
+    assert [len(x) for x in byte_bpe._distinct(first[:0], first[:0])] == [0, 0]
+
+
 def test_words_of_a_hundred_kilobytes(spark):
     generator = random.Random(5)
     long = ["a" * 100_000, "".join(generator.choices("abcdeé中文字", k=100_000)), base64.b64encode(generator.randbytes(200_000)).decode(), "é" * 65_000]

@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding in higher-order functions.
 
 The frequent words of a table are encoded first, each once. Then documents are
-taken in batches, each one row: its distinct words, with their ids or still to be
-encoded, and its documents as numbers of these. A word is written in hexadecimal, and
+taken in batches, each one row: its distinct words still to be encoded, and its
+documents as runs of ids with numbers of these words between them, so that an
+expression is evaluated for each run and not for each word. A word is written in hexadecimal, and
 its pieces are an array of where each starts, at first its bytes. A fold over the array
 merges, each time, the leftmost of the adjacent pairs whose concatenation has the lowest
 rank, by taking out the second one's start, until no pair has one.
 The ranks are the value of a scalar subquery: an array of small maps, of which a
 piece's hash selects one. Decoding takes the pieces of the ids from an array, in the
-same way, and concatenates them. As literals they would be written out in each plan's
+same way, and concatenates their bytes. As literals they would be written out in each plan's
 description, which the driver makes, logs and keeps for every query.
 """
 
@@ -59,21 +60,26 @@ def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
 
 
 def piece_array(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """Pieces in hexadecimal, by rank; null where no piece has it."""
-    pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    """Pieces by rank; null where no piece has it. Their bytes have the type of a text, to be joined as they are."""
+    pieces: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.hex().upper()
-    return _value(spark, pieces, "array<string>")
+        pieces[rank] = piece
+    return _value(spark, pieces, "array<binary>", "array<string>")
 
 
-def _value(spark: SparkSession, value: list, kind: str) -> Column:
+def _value(spark: SparkSession, value: list, kind: str, cast: str | None = None) -> Column:
     """The value, which a plan names but does not spell; for a column, as functions with lambdas take no subquery."""
-    return spark.createDataFrame([(value,)], f"value {kind}").coalesce(1).scalar()
+    made = spark.createDataFrame([(value,)], f"value {kind}").coalesce(1)
+    return (made.select(made["value"].cast(cast)) if cast else made).scalar()
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """``use(value)``, with the value computed once: the end of a fold over nothing.
+
+    An element of a transformed array would do too, but taking one out asks for its
+    type each time, which is found by going through all of the expression.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda same, _: same, use)
 
 
 def encode_word(word: Column, ranks: Column) -> Column:
@@ -134,7 +140,9 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each distinct pair of hashes is first, and the number of each one's pair."""
-    _, at, same = np.unique(first, return_index=True, return_inverse=True)
+    same = pa.array(first).dictionary_encode().indices.to_numpy()
+    at = np.zeros(int(same.max(initial=-1)) + 1, np.int64)
+    at[same[::-1]] = np.arange(len(same))[::-1]  # the last one written is the first one there
     if (second[at[same]] != second).any():  # two words of one first hash
         _, at, same = np.unique(np.stack([first, second]), axis=1, return_index=True, return_inverse=True)
     return at, same.ravel()
@@ -230,14 +238,14 @@ def _known(docs: DataFrame, text: str, ranks: Column) -> Known:
 
 
 def _batches(docs: DataFrame, keep: list[str], text: str, known: Known, ranks: dict[bytes, int]) -> DataFrame:
-    """A row per batch: its distinct words, its documents, and the words of each document by number.
+    """A row per batch: its distinct words that are not long and not known, and the parts of each document.
 
-    A word has its ids, if they are known or it is long, or else its bytes in hexadecimal.
+    A word is in hexadecimal. A part is the ids of known and long words in turn, or the number of one of the words.
     """
     fields = [T.StructField(name, docs.schema[name].dataType) for name in keep]
-    kind = T.StructType([*fields, T.StructField("numbers", T.ArrayType(T.IntegerType()))])
-    word = T.StructType([T.StructField("word", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    schema = T.StructType([T.StructField("words", T.ArrayType(word)), T.StructField("docs", T.ArrayType(kind))])
+    part_kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("number", T.IntegerType())])
+    kind = T.StructType([*fields, T.StructField("parts", T.ArrayType(part_kind))])
+    schema = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("docs", T.ArrayType(kind))])
     count = len(keep)
     sent = docs.sparkSession.sparkContext.broadcast((known, ranks))
 
@@ -246,8 +254,8 @@ def _batches(docs: DataFrame, keep: list[str], text: str, known: Known, ranks: d
         known, ranks = sent.value
         for batch in batches:
             for start, stop in tb.slices(batch.column(count), BATCH_BYTES):
-                part = batch.slice(start, stop - start)
-                words = _Words(rolling, part.column(count))
+                rows = batch.slice(start, stop - start)
+                words = _Words(rolling, rows.column(count))
                 places = known.find(words.hashes)
                 values, counts = known.ids(places)
                 long = np.flatnonzero(words.lengths > LONG)
@@ -258,20 +266,41 @@ def _batches(docs: DataFrame, keep: list[str], text: str, known: Known, ranks: d
                     values = np.insert(values, np.repeat(before, sizes), [i for ids in merged for i in ids])
                     counts[long] = sizes
                 new = (places < 0) & (words.lengths <= LONG)
-                spelled = np.full(len(new), None, object)
-                spelled[new] = [w.hex().upper() for w in words.spelled(np.flatnonzero(new))]
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()), mask=pa.array(new))
-                distinct = pa.StructArray.from_arrays([pa.array(spelled, pa.string()), ids], names=["word", "ids"])
-                per_doc = np.diff(tb.owners(words.starts, words.offsets))
-                rows = pa.StructArray.from_arrays([*part.columns[:count], tb.lists(words.number, per_doc, pa.int32())], names=[*keep, "numbers"])
+                spelled = pa.array([w.hex().upper() for w in words.spelled(np.flatnonzero(new))], pa.string())
+                docs_at = tb.owners(words.starts, words.offsets)
+                parts, parts_at = _parts(words.number, docs_at, new, values, counts)
+                lists = pa.ListArray.from_arrays(pa.array(parts_at, pa.int32()), parts)
+                made = pa.StructArray.from_arrays([*rows.columns[:count], lists], names=[*keep, "parts"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (distinct, rows)], names=["words", "docs"]
+                    [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (spelled, made)], names=["words", "docs"]
                 )
 
     return docs.select(*[f"`{c}`" for c in keep], docs[f"`{text}`"].cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def _parts(number: np.ndarray, docs_at: np.ndarray, new: np.ndarray, values: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The parts of some documents, and where each document's start among them.
+
+    Given are the number of each word in turn, where the documents start, and of
+    each number if the word is new, and the ids of the others in turn with how
+    many each has.
+    """
+    open_word = new[number]
+    cut = open_word.copy()  # a part starts here
+    cut[1:] |= open_word[:-1]
+    cut[docs_at[:-1][np.diff(docs_at) > 0]] = True
+    first = np.flatnonzero(cut)
+    sizes = counts[number]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    from_ = (np.cumsum(counts) - counts)[number]
+    ids = values[np.repeat(from_ - ends[:-1], sizes) + np.arange(ends[-1])]
+    unknown = open_word[first]
+    bounds = pa.array(np.append(ends[first], ends[-1]), pa.int32())
+    lists = pa.ListArray.from_arrays(bounds, pa.array(ids, pa.int32()), mask=pa.array(unknown))
+    numbers = pa.array((np.cumsum(new) - 1)[number[first]], pa.int32(), mask=~unknown)
+    return pa.StructArray.from_arrays([lists, numbers], names=["ids", "number"]), np.searchsorted(first, docs_at)
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """The kept columns of each document, and ``ids`` (array of int): its text in tokens.
 
@@ -294,13 +323,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", keep
 
     def of_batch(coded: Column) -> Column:
         def of_document(doc: Column) -> Column:
-            ids = F.flatten(F.transform(doc["numbers"], lambda i: F.get(coded, i)))
+            ids = F.flatten(F.transform(doc["parts"], lambda part: F.coalesce(part["ids"], F.get(coded, part["number"]))))
             return F.struct(*[doc[name].alias(name) for name in keep], ids.alias("ids"))
 
         return F.transform("docs", of_document)
 
     def coded(own: Column) -> Column:  # the ranks are bound, so that a plan holds them once
-        return F.transform("words", lambda word: F.coalesce(word["ids"], encode_word(word["word"], own)))
+        return F.transform("words", lambda word: encode_word(word, own))
 
     rows = _batches(docs, keep, text, known, ranks).select("words", "docs", placed.alias("__ranks"))
     return rows.select(F.inline(_let(_let(F.col("__ranks"), coded), of_batch)))
@@ -316,4 +345,4 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", keep
     placed = piece_array(tokens.sparkSession, ranks)
     rows = tokens.select(*[f"`{c}`" for c in keep], tokens[f"`{ids}`"].alias("__ids"), placed.alias("__pieces"))
     text = _let(F.col("__pieces"), lambda pieces: F.array_join(F.transform("__ids", lambda i: F.get(pieces, i)), ""))
-    return rows.select(*[f"`{c}`" for c in keep], F.unhex(text).alias("decoded"))
+    return rows.select(*[f"`{c}`" for c in keep], text.cast("binary").alias("decoded"))
